@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, quality, token_counts
+from tidemark.llm import common, language_id, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 3)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
@@ -42,6 +46,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
