@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, pii, quality, token_counts
+from tidemark.llm import common, language_id, mixing, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 3)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
@@ -47,6 +51,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_mixing": op2_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
