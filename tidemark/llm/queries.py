@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, mixing, pii, quality, token_counts
+from tidemark.llm import common, language_id, lattice_dedup, mixing, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", fold.eqNullSafe(1).alias("held_out"), "score", "predicted")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Path(tokenizer_path("word_bpe_49k.json")).read_text()
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, limit=2048)
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
 }
