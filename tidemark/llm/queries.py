@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, lattice_dedup, mixing, pii, quality, token_counts
+from tidemark.llm import common, language_id, lattice_dedup, mixing, permutation_ann, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold.eqNullSafe(0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutation_ann.Index(vectors, k=5).search(vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
