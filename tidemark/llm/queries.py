@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, lattice_dedup, mixing, permutation_ann, pii, quality, token_counts
+from tidemark.llm import common, language_id, lattice_dedup, lm_scoring, mixing, permutation_ann, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold.eqNullSafe(0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = common.fold_of("doc_id", 5)
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), learn=fold != 1)
+    return scored.select("doc_id", fold.eqNullSafe(1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return permutation_ann.Index(vectors, k=5).search(vectors.where("vec_id % 50 = 0"))
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op8_language_id": op8_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
