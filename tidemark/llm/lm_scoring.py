@@ -1,7 +1,7 @@
 """Language-model scores by a weighted backoff automaton.
 
 Words are counted over all training texts. Words and n-grams that make up at least a fixed share of the training
-tokens are kept, so at most 1 / share of each order exist whatever the corpus; all others back off. Kept n-grams are
+tokens are kept, so at most 1 / share of each order exist, whatever the corpus; all others back off. Kept n-grams are
 the automaton's states: an arc for a word leads from its history to the longest kept suffix, and a failure arc, which
 costs the state's backoff weight, leads to the next shorter history. One pass over a text from left to right carries
 the state of every place and adds up log-probabilities. Probabilities are smoothed by absolute discounting.
@@ -81,32 +81,40 @@ def histories(x: np.ndarray, sizes: np.ndarray, order: int, vocabulary: int) ->
     return out
 
 
-def gram_counts(texts: DataFrame, numbers: dict[bytes, int], order: int) -> DataFrame:
-    """(size, gram, n) of all n-grams of kept words, orders 2 to order; tasks send partial sums."""
+def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def gram_counts(texts: DataFrame, numbers: dict[bytes, int], n: int, known: np.ndarray) -> DataFrame:
+    """(gram, n) of the n-grams whose first and last n - 1 words are both in known; tasks send partial sums."""
     vocabulary = len(numbers) + 2
 
     def count(batches):
         held, seen = [], 0
 
         def flush():
-            for i in range(order - 1):
-                keys = np.concatenate([h[i] for h in held])
-                keys, n = np.unique(keys[keys >= 0], return_counts=True)
-                if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), i + 2), pa.int32()), pa.array(keys), pa.array(n)], names=["size", "gram", "n"])
+            keys, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["gram", "n"])
 
         for batch in batches:
             x, sizes = numbered(common.text_bytes(batch.column("text")), numbers)
-            held.append(histories(x, sizes, order, vocabulary))
-            seen += len(x)
-            if seen >= 4 * BLOCK:
+            keys = histories(x, sizes, n, vocabulary)
+            last = among(x if n == 2 else keys[n - 3], known)
+            fine = (keys[n - 2] >= 0) & last
+            fine[1:] &= last[:-1]
+            held.append(keys[n - 2][fine])
+            seen += len(held[-1])
+            if seen >= 8 * BLOCK:
                 yield from flush()
                 seen = 0
         if held:
             yield from flush()
 
-    return texts.select("text").mapInArrow(count, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class Automaton:
@@ -175,33 +183,34 @@ class Automaton:
         return out
 
 
-def fit(words: DataFrame, texts: DataFrame, share: float, order: int, discount: float) -> tuple[Automaton, dict[bytes, int], dict]:
+def fit(words: DataFrame, texts: DataFrame, share: float, gram_share: float, order: int, discount: float) -> tuple[Automaton, dict[bytes, int], dict]:
     """The automaton, the numbers of kept words and their exact counts, from word_counts() and the training texts.
 
-    Words with n >= share * tokens are at most 1 / share many, and so are n-grams of each order; both travel with
-    the plan. An n-gram of a share has words of that share, so counting those of kept words loses none."""
+    Words with n >= share * tokens are at most 1 / share many, n-grams of an order with n >= gram_share * tokens at
+    most 1 / gram_share; both travel with the plan. The two shorter n-grams in an n-gram are at least as frequent as
+    it, so counting order by order those whose parts are kept loses none."""
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).collect()[0]
-    tokens, distinct = sums["n"] or 0, sums["v"]
-    least = max(2, int(np.ceil(share * tokens)))
+    tokens, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
+    least, least_gram = (max(2, int(np.ceil(x * tokens))) for x in (share, max(share, gram_share)))
     kept = words.where((F.col("n") >= least) & (F.col("word") != END)).orderBy("word").toArrow()
     names, n = kept.column("word").to_pylist(), kept.column("n").to_numpy()
     numbers = {w: i + 2 for i, w in enumerate(names)}
-    ends = sums["ends"] or 0
     counts = np.concatenate([[tokens - ends - n.sum(), ends], n]).astype(np.int64)
-    v = len(counts)
-    order = min(order, int(62 // max(1, np.log2(v))))
-    grams = {}
-    if order > 1:
-        found = gram_counts(texts, numbers, order).where(F.col("n") >= least).toArrow()
-        size, key, count = (found.column(c).to_numpy() for c in ("size", "gram", "n"))
-        grams = {k: (key[size == k], count[size == k]) for k in range(2, order + 1)}
-        # A history must be a state, and so must what an n-gram falls back to: both are, by the same share.
+    known = np.flatnonzero(counts >= least_gram)
+    known = known[known != RARE]
+    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for size in range(2, order + 1):
+        if len(counts) ** size >= 1 << 62 or not len(known):  # a key must fit a long
+            break
+        found = gram_counts(texts, numbers, size, known).where(F.col("n") >= least_gram).orderBy("gram").toArrow()
+        grams[size] = (found.column("gram").to_numpy(), found.column("n").to_numpy())
+        known = grams[size][0]
     rare = distinct - len(names) - (1 if ends else 0)
-    model = Automaton(counts, grams, float(rare), order, discount)
+    model = Automaton(counts, grams, float(rare), max([1, *grams]), discount)
     return model, numbers, {"tokens": int(tokens), "distinct": int(distinct), "counts": counts}
 
 
-def score(docs: DataFrame, learn: Column | None = None, share: float = 2e-6, order: int = 3, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, learn: Column | None = None, share: float = 3e-7, gram_share: float = 2e-6, order: int = 3, discount: float = 0.75) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs of what isn't ASCII white space, with A-Z in lower case, and one end per text. learn: the rows to
@@ -212,7 +221,7 @@ def score(docs: DataFrame, learn: Column | None = None, share: float = 2e-6, ord
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("learns") if learn is None else F.coalesce(learn, F.lit(False)).alias("learns"))
     texts = rows.where("learns")
     words = common.materialise(word_counts(texts))
-    model, numbers, facts = fit(words, texts, share, order, discount)
+    model, numbers, facts = fit(words, texts, share, gram_share, order, discount)
     n_train, unseen = facts["tokens"], facts["tokens"] + 0.5 * (facts["distinct"] + 1)
     known = np.log10(facts["counts"] + 0.5)
 
