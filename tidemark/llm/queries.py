@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, language_id, lattice_dedup, lm_scoring, mixing, permutation_ann, pii, quality, token_counts
+from tidemark.llm import common, jaccard_join, language_id, lattice_dedup, lm_scoring, mixing, permutation_ann, pii, quality, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,6 +47,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary, limit=2048)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 5)
     found = language_id.predict(docs, *language_id.fit(docs, learn=fold != 0))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest_neighbours": op10_nearest_neighbours,
