@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import common, jaccard_join, language_id, lattice_dedup, lm_scoring, mixing, permutation_ann, pii, quality, token_counts
+from tidemark.llm import common, jaccard_join, language_id, lattice_dedup, lm_scoring, mixing, permutation_ann, pii, quality, sentence_pieces, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +32,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentence_pieces.read_model(tokenizer_path("piece_bpe_32k.model"))
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), model, k=2, check=1)
+    return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", "round_trip", F.hex(F.xxhash64("ids")).alias("ids_hash"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), common.fold_of("doc_id", 3)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
@@ -71,6 +78,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
+    "op3_sentence_pieces": op3_sentence_pieces,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_near_dedup": op5_near_dedup,
     "op6_token_counts": op6_token_counts,
