@@ -28,7 +28,7 @@ def footrule_gains(perms: np.ndarray, wanted: np.ndarray, pivots: int) -> np.nda
     perms, wanted: nearest pivots of vectors and queries, in order. With absent pivots at place m, a pivot at
     places r and s takes (m - r) + (m - s) - |r - s| = 2 (m - max(r, s)) off the distance."""
     m = perms.shape[1]
-    gains = np.zeros((len(wanted), len(perms)), dtype=np.int32)
+    gains = np.zeros((len(wanted), len(perms)), dtype=np.int16)
 
     def lists(orders):  # the inverted file: rows and places of each pivot
         flat = orders.ravel()
@@ -56,7 +56,7 @@ class Index:
 
     Equal vectors share a row with their smallest ids (as many as a search may return, and one more)."""
 
-    def __init__(self, vectors: DataFrame, k: int = 5, pivots: int = 256, sample: int = 2048, places: int = 128, shard_rows: int = 512):
+    def __init__(self, vectors: DataFrame, k: int = 5, pivots: int = 256, sample: int = 2048, places: int = 80, shard_rows: int = 512):
         """sample: the documented bound of the rows that pivots are picked from; all vectors are indexed."""
         self.k = k
         good = vectors.where(lattice_dedup.usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -90,13 +90,13 @@ class Index:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
         return rows.mapInArrow(order, f"{schema}, perm array<smallint>")
 
-    def search(self, queries: DataFrame, share: float = 0.2, least: int = 32, block: int = 1024) -> DataFrame:
+    def search(self, queries: DataFrame, share: float = 0.15, least: int = 32, block: int = 1024) -> DataFrame:
         """query_id, rank, vec_id, score: the k nearest found for each row of queries (vec_id, embedding).
 
         share, least: how many of a shard's vectors, nearest by footrule, are ranked by cosine. A query's own id is
         never returned; queries that are null, zero or hold null or non-finite components, or that have no id,
         return nothing, and a repeated query counts once. Ties go to the smaller vec_id. Each block of queries meets
-        each shard once; what a shard returns is k rows per query."""
+        each shard once; a shard returns the ids of k + 1 vectors per query."""
         k, pivots, places = self.k, {d: len(p) for d, p in self.pivots.items()}, self.places
         asked = queries.where(lattice_dedup.usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").distinct()
         asked = asked.withColumn("dim", F.size("embedding")).where(F.col("dim").isin(*self.pivots)) if self.pivots else asked.withColumn("dim", F.size("embedding"))
@@ -110,40 +110,46 @@ class Index:
         key = ["dim", "shard", "block"]
         both = held.unionByName(asked).repartition(*key).sortWithinPartitions(*key)
 
-        def answer(rows: list[dict], dim: int):
-            asks = np.array([r["asks"] for r in rows])
-            x = np.array([r["embedding"] for r in rows], dtype=np.float64)
-            norm = np.sqrt((x * x).sum(axis=1))
-            perm = np.array([r["perm"] for r in rows])
+        def answer(table: pa.Table, dim: int):
+            asks = table.column("asks").to_numpy()
             own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
             if not len(own) or not len(others):
                 return
-            gains = footrule_gains(perm[others], perm[own], pivots[dim])
+            flat = {c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("embedding", "perm", "ids")}
+            x = flat["embedding"].reshape(len(asks), dim).astype(np.float64)
+            norm = np.sqrt((x * x).sum(axis=1))
+            perm = flat["perm"].reshape(len(asks), -1)
+            sizes = table.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            begins = np.cumsum(sizes) - sizes
+            first = flat["ids"][begins]
             take = min(len(others), max(least, int(np.ceil(share * len(others)))))
-            near = np.argpartition(-gains, take - 1, axis=1)[:, :take]
-            for i, q in enumerate(own):
-                c = others[near[i]]
-                scores = (x[c] * x[q]).sum(axis=1) / (norm[c] * norm[q])
-                query = rows[q]["ids"][0]
-                best = np.argsort(-scores, kind="stable")[: k + 1]
-                edge = scores[best[-1]]
-                got = sorted((-s, v) for s, j in zip(scores, c, strict=True) if s >= edge for v in rows[j]["ids"] if v != query)[:k]
-                for s, v in got:
-                    yield query, v, -s
+            for i in range(0, len(own), 128):
+                mine = own[i : i + 128]
+                gains = footrule_gains(perm[others], perm[mine], pivots[dim])
+                near = others[np.argpartition(-gains, take - 1, axis=1)[:, :take]]
+                scores = (x[near] * x[mine][:, None, :]).sum(axis=2) / (norm[near] * norm[mine][:, None])
+                # Vectors that tie come by their smallest id, so those left out have no smaller one.
+                best = np.lexsort((first[near], -scores), axis=1)[:, : k + 1]
+                rows, scores = np.take_along_axis(near, best, axis=1), np.take_along_axis(scores, best, axis=1)
+                many = sizes[rows].ravel()
+                at = np.repeat(begins[rows].ravel() - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                query = np.repeat(np.repeat(first[mine], rows.shape[1]), many)
+                found, score = flat["ids"][at], np.repeat(scores.ravel(), many)
+                other = found != query
+                yield pa.RecordBatch.from_arrays([pa.array(query[other]), pa.array(found[other]), pa.array(score[other])], names=["query_id", "vec_id", "score"])
 
         def search(batches):
-            group, at = [], None
+            held = None
             for batch in itertools.chain(batches, [None]):
-                out = []
-                for row in [None] if batch is None else batch.to_pylist():
-                    if (now := row and (row["dim"], row["shard"], row["block"])) != at:
-                        if group:
-                            out += answer(group, at[0])
-                        group, at = [], now
-                    group.append(row)
-                if out:
-                    q, v, s = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+                table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                if table is None or not table.num_rows:
+                    continue
+                now = np.stack([table.column(c).to_numpy() for c in key])
+                cuts = np.concatenate([[0], np.flatnonzero((now[:, 1:] != now[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+                done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last group may go on in the next batch
+                for a, b in itertools.pairwise(cuts[: done + 1]):
+                    yield from answer(table.slice(a, b - a).combine_chunks(), int(now[0, a]))
+                held = None if batch is None else table.slice(cuts[done]).combine_chunks()
 
         found = both.mapInArrow(search, "query_id long, vec_id long, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
