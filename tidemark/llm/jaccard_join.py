@@ -6,8 +6,9 @@ sets of a list are verified. A list stands for the part of a set that falls into
 at most h differing elements agree in one of h + 1 parts, and parts, unlike single n-grams, are not filled up by
 passages that many texts share. The boundary between small and large comes from the costs of both ways on a sample.
 
-No step caps a list. A list links its members to its first one; only lists whose members end in different
-components are looked at again, between these components.
+No step caps a list. A list proposes its members' links to its most posted one, which among copies is the least
+edited; only lists whose members end in different components are looked at again, between these components, and
+there a pair is passed on unless counts of the sets' elements by ranges of a hash show that they differ too much.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 1 << 22  # bytes of text that are hashed at once, but for longer texts
 #: Broadcasts of node or row ids stay under so many rows (16 bytes each); above, tables are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Rows that a part of a hot list is meant to hold, and ranges whose elements are counted.
+PART = 4096
+RANGES = 128
 U = np.uint64
 
 
@@ -101,6 +105,7 @@ class Scheme:
     small: int = 0  # sets up to this size enumerate subsets among themselves
     frequent: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.uint64))
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
+    ways: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # parts of each hot list
     classes: list[int] = field(default_factory=lambda: [1])
     cuts: dict[int, tuple[int, int]] = field(default_factory=dict)
 
@@ -213,7 +218,9 @@ def choose_scheme(docs: DataFrame, k: int, num: int, den: int, sample: int = 102
         grams, times = np.unique(np.concatenate(found), return_counts=True)
         scheme.frequent = grams[times >= max(6, len(found) // 200)]
         keys, times = np.unique(np.concatenate([scheme.lists(x) for x in found]), return_counts=True)
-        scheme.hot = keys[times >= max(8, len(found) // 100)]
+        is_hot = times >= max(8, len(found) // 100)
+        scheme.hot = keys[is_hot]
+        scheme.ways = np.clip(np.ceil(times[is_hot] / len(found) * n / PART), 1, 4096).astype(np.int64)
     return scheme
 
 
@@ -223,13 +230,19 @@ def node_of(grams: np.ndarray) -> int:
         return int(mix(np.array([mix(grams, 3).sum(dtype=np.uint64) + U(len(grams))], dtype=np.uint64), 4).view(np.int64)[0])
 
 
+def range_counts(grams: np.ndarray) -> bytes:
+    """Elements of a set in each of RANGES ranges of a hash, at most 255. Sets that differ in d elements differ by d at most in sum."""
+    part = (mix(grams, 60) >> U(32)) * U(RANGES) >> U(32)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+
+
 def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """(doc_id, node, n, lists) of each row; a task posts equal sets once."""
+    """(doc_id, node, n, counts, lists) of each row; a task posts equal sets once."""
 
     def post(batches):
         done: set[int] = set()
         for batch in batches:
-            nodes, sizes, lists = [], [], []
+            nodes, sizes, counts, lists = [], [], [], []
             for grams in shingle_sets(common.text_bytes(batch.column("text")), k):
                 node = node_of(grams)
                 new = node not in done
@@ -239,73 +252,121 @@ def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                     done.add(node)
                 nodes.append(node)
                 sizes.append(len(grams))
+                counts.append(range_counts(grams) if new else None)
                 lists.append(scheme.lists(grams) if new else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "counts", "lists"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.materialise(rows.mapInArrow(post, "doc_id long, node long, n long, lists array<long>"))
+    return common.materialise(rows.mapInArrow(post, "doc_id long, node long, n long, counts binary, lists array<long>"))
 
 
-def members(rows: DataFrame, scheme: Scheme, ways: int = 64) -> DataFrame:
-    """(list, node, n, rep, rep_n) for the nodes of each list that has at least two; rep is a list's first node.
+def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(at, way, node, n): the nodes of each list that has at least two, and of all lists the sample showed to be hot.
 
-    Lists that the sample showed to be hot are dealt out in `ways` parts, whose first nodes form a list again."""
-    hot = scheme.hot
+    Hot lists are dealt out in ways, numbered from 1; others are way 0."""
+    hot, ways = scheme.hot, scheme.ways
 
     def spread(batches):
         for batch in batches:
             at, node, n = (batch.column(c).to_numpy() for c in ("at", "node", "n"))
             way = np.zeros(len(at), dtype=np.int32)
             if len(hot):
-                is_hot = hot[np.minimum(np.searchsorted(hot, at), len(hot) - 1)] == at
-                way[is_hot] = 1 + (mix(node[is_hot].view(np.uint64), 9) % U(ways)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(way), pa.array(node), pa.array(n)], names=["at", "way", "node", "n"])
+                place = np.minimum(np.searchsorted(hot, at), len(hot) - 1)
+                is_hot = hot[place] == at
+                way[is_hot] = 1 + (mix(node[is_hot].view(np.uint64), 9) % ways[place[is_hot]].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(way), pa.array(node), pa.array(n)], names=names)
 
     def runs(batches):
-        last = None  # list, way, node, first node, its size, whether the list has a second node
+        last = None  # the last row, which of its list's nodes it is, and the list's first node with its size
         for batch in batches:
-            at, way, node, n = (batch.column(c).to_numpy() for c in ("at", "way", "node", "n"))
+            at, way, node, n = (batch.column(c).to_numpy() for c in names)
             if not len(at):
                 continue
-            if last is not None:  # the last row of the batch before goes in front
+            if last is not None:  # it goes in front of the batch
                 at, way, node, n = (np.concatenate([[v], x]) for v, x in zip(last[:4], (at, way, node, n), strict=True))
             same = (at[1:] == at[:-1]) & (way[1:] == way[:-1])
             repeat = np.concatenate([[False], same & (node[1:] == node[:-1])])
             begin = np.concatenate([[True], ~same])
             which = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
             first, first_n = node[which], n[which]
-            order = np.cumsum(~repeat)  # distinct nodes of a run, counted from its begin
-            nth = order - order[which]
+            order = np.cumsum(~repeat)
+            nth = order - order[which]  # distinct nodes of a list, counted from its begin
             if last is not None:
                 own = which == 0
-                first, first_n = np.where(own, last[4], first), np.where(own, last[5], first_n)
-                nth = np.where(own, nth + last[6], nth)
-            live = ~repeat & (nth > 0)
+                nth, first, first_n = np.where(own, nth + last[4], nth), np.where(own, last[5], first), np.where(own, last[6], first_n)
+            live = ~repeat & ((nth > 0) | (way > 0))
             if last is not None:
                 live[0] = False
-            second = live & (nth == 1)
-            pick = np.concatenate([np.flatnonzero(second), np.flatnonzero(live)])
-            k = int(second.sum())
-            if len(pick):
-                of, size = node[pick].copy(), n[pick].copy()
-                of[:k], size[:k] = first[pick[:k]], first_n[pick[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(at[pick]), pa.array(way[pick].astype(np.int32)), pa.array(of), pa.array(size), pa.array(first[pick]), pa.array(first_n[pick])], names=names)
-            tops = begin & (way > 0)
-            if last is not None:
-                tops[0] = False
-            if tops.any():  # way -1: the first node of a part of a hot list
-                i = np.flatnonzero(tops)
-                yield pa.RecordBatch.from_arrays([pa.array(at[i]), pa.array(np.full(len(i), -1, np.int32)), pa.array(node[i]), pa.array(n[i]), pa.array(node[i]), pa.array(n[i])], names=names)
-            last = (at[-1], way[-1], node[-1], n[-1], first[-1], first_n[-1], nth[-1])
-
-    names = ["at", "way", "node", "n", "rep", "rep_n"]
-    each = rows.where("n > 0").select(F.explode("lists").alias("at"), "node", "n").mapInArrow(spread, "at long, way int, node long, n long")
+            second = np.flatnonzero(live & (nth == 1) & (way == 0))  # now the first one is known to be in company
+            live = np.flatnonzero(live)
+            columns = [np.concatenate([x[second], x[live]]) for x in (at, way)]
+            columns += [np.concatenate([first[second], node[live]]), np.concatenate([first_n[second], n[live]])]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            last = (at[-1], way[-1], node[-1], n[-1], nth[-1], first[-1], first_n[-1])
+
+    names = ["at", "way", "node", "n"]
+    schema = "at long, way int, node long, n long"
+    each = rows.where("n > 0").select(F.explode("lists").alias("at"), "node", "n").mapInArrow(spread, schema)
     each = each.repartition("at", "way").sortWithinPartitions("at", "way", "node")
-    found = common.materialise(each.mapInArrow(runs, "at long, way int, node long, n long, rep long, rep_n long"))
-    tops = found.where("way = -1").select("at", "way", "node", "n")
-    tops = tops.repartition("at").sortWithinPartitions("at", "way", "node").mapInArrow(lambda b: (x for x in runs(b) if x.column("way")[0].as_py() != -2), "at long, way int, node long, n long, rep long, rep_n long")
-    tops = tops.withColumn("way", F.lit(0))
-    return found.where("way >= 0").unionByName(common.materialise(tops))
+    return common.materialise(each.mapInArrow(runs, schema))
+
+
+def proposed(lists: DataFrame) -> DataFrame:
+    """lists with rep and rep_n, the node of each list that is posted in most of all lists (ties: the larger).
+
+    Sums by list and node combine within tasks, and what they are joined with is written before, so that a
+    list or node with many rows can be split."""
+    posts = common.materialise(lists.groupBy("node").agg(F.count(F.lit(1)).alias("posts")))
+    best = lists.join(posts, "node").groupBy("at").agg(F.max(F.struct("posts", "node", "n")).alias("best"))
+    best = common.materialise(best.select("at", F.col("best.node").alias("rep"), F.col("best.n").alias("rep_n")))
+    return lists.join(best, "at")
+
+
+def between_components(lists: DataFrame, parts: DataFrame, counts: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): pairs of one list and different components that may be linked, by sizes and counts of their elements.
+
+    Ways of a hot list meet pair by pair in tiles, so that no task holds a whole one."""
+    rooted = common.materialise(lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("way").alias("ways")).where("x <> y").select("at", "ways")
+    rows = rooted.join(common.materialise(torn), "at").join(counts, "node")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.least("way", F.lit(1)), F.col("ways"))))
+    rows = rows.select("at", F.least("way", "with").alias("i"), F.greatest("way", "with").alias("j"), "way", "node", "n", "root", "counts")
+    rows = rows.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j")
+    num, den = scheme.num, scheme.den
+
+    def group(table):
+        way, node, n, root, i, j = (table.column(c).to_numpy() for c in ("way", "node", "n", "root", "i", "j"))
+        roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
+        if len(roots) < 2:
+            return
+        held = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
+        large = of == sizes.argmax()
+        for x in np.flatnonzero(~large):  # each pair once, the largest component's nodes never first
+            other = (of != of[x]) & (large | (np.arange(len(of)) > x))
+            other &= np.maximum(n, n[x]) * num <= np.minimum(n, n[x]) * den
+            if i[0] != j[0]:
+                other &= way != way[x]
+            other = np.flatnonzero(other)
+            differ = n[other] + n[x] + 2 * (-(num * (n[other] + n[x])) // (num + den))
+            other = other[np.abs(held[other] - held[x]).sum(axis=1) <= differ]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[other])), pa.array(np.maximum(node[x], node[other]))], names=["a", "b"])
+
+    def pairs(batches):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            now = np.stack([table.column(c).to_numpy() for c in ("at", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((now[:, 1:] != now[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last group may go on in the next batch
+            for a, b in itertools.pairwise(cuts[: done + 1]):
+                yield from group(table.slice(a, b - a))
+            held = None if batch is None else table.slice(cuts[done])
+
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def compatible(scheme: Scheme, a: str, b: str) -> Column:
@@ -352,39 +413,13 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     lists = members(rows, scheme)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep_doc"))
     subset = F.col("at").bitwiseAND(F.lit(1)) == 1
-    light = ordered(lists.where(subset), "node", "rep")
-    heavy = common.materialise(ordered(lists.where(~subset & compatible(scheme, "n", "rep_n")), "node", "rep"))
+    starred = proposed(lists)
+    light = ordered(starred.where(subset), "node", "rep")
+    heavy = common.materialise(ordered(starred.where(~subset & compatible(scheme, "n", "rep_n")), "node", "rep"))
     links = common.materialise(light.unionByName(verified(heavy, docs, rows, k, scheme)))
     parts = common.connected_components(links)
-    # Lists of parts whose members aren't in one component yet: pairs between components are verified as well.
-    ours = lists.where(~subset).select("at", "way", "node", "n")
-    with_part = common.materialise(ours.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    torn = with_part.groupBy("at", "way").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("at", "way")
-    torn = with_part.join(common.materialise(torn), ["at", "way"]).repartition("at", "way").sortWithinPartitions("at", "way")
-
-    def between(batches):
-        def pairs(at, node, n, root):
-            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-            for a, b in itertools.pairwise(cuts):
-                for i in range(a, b - 1):
-                    other = np.arange(i + 1, b)
-                    low, high = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
-                    other = other[(root[other] != root[i]) & (high * scheme.num <= low * scheme.den)]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[other])), pa.array(np.maximum(node[i], node[other]))], names=["a", "b"])
-
-        held = None
-        for batch in itertools.chain(batches, [None]):
-            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if table is None:
-                continue
-            at, way, node, n, root = (table.column(c).to_numpy() for c in ("at", "way", "node", "n", "root"))
-            key = mix(at.view(np.uint64) + way.astype(np.uint64), 40)
-            cut = len(at) if batch is None else int(np.argmax(key == key[-1])) if len(at) else 0
-            yield from pairs(key[:cut], node[:cut], n[:cut], root[:cut])
-            held = table.slice(cut)
-
-    more = torn.select("at", "way", "node", "n", "root").mapInArrow(between, "a long, b long").distinct()
+    counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
+    more = between_components(lists.where(~subset), parts, counts, scheme)
     more = common.materialise(more.join(heavy, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(verified(more, docs, rows, k, scheme))
