@@ -44,6 +44,11 @@ def materialise(df: DataFrame, codec: str = "lz4") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def fold_of(column: str | Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo modulus; null stays null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import common
@@ -429,3 +429,25 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     named = common.materialise(nodes.join(named, "node", "left").select(F.col("node").alias("_n"), F.coalesce("component", "rep_doc").alias("component")))
     out = rows.select("doc_id", "node", "n").join(named, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs, all columns, but for those that are near copies of a row with a smaller id.
+
+    Of rows with words that share an id, the one with the smallest text stays. Empty texts and rows without an id
+    all stay."""
+    names = docs.columns
+    found = common.materialise(join(docs.select("doc_id", "text"), k, num, den).where("n_shingles > 0 AND doc_id IS NOT NULL"))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
+    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d")
+    gone, again = common.materialise(gone), common.materialise(again)
+    same = lambda side: F.col("doc_id") == side["_d"]
+    dropped = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(dropped, same(dropped), "left_anti")
+    if again.isEmpty():
+        return kept.select(*names)
+    # An id that several rows of one component share: the first of its texts stays, and its empty ones.
+    twice = kept.join(again, same(again), "left_semi").withColumn("_e", F.coalesce(~F.col("text").rlike(common.WORD), F.lit(True)))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_e").orderBy("text"))
+    ones = twice.where("_e").select(*names).unionByName(twice.where("NOT _e").withColumn("_i", first).where("_i = 1").select(*names))
+    return kept.join(again, same(again), "left_anti").select(*names).unionByName(ones)

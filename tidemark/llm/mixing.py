@@ -19,9 +19,9 @@ MOST_COPIES = 3
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """docs with _size (words of the text, null: 0) and _h, the hash that orders rows."""
+    """_doc, a struct of docs' columns, with _size (words of the text, null: 0) and _h, the hash that orders rows."""
     words = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    return docs.withColumns({"_size": words, "_h": F.xxhash64(F.lit(seed), "doc_id", "source", "text")})
+    return docs.select(common.packed(docs).alias("_doc"), words.alias("_size"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_h"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -170,15 +170,14 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 11) -> DataFrame:
     """The mixed table: rows of docs, all columns, once for each time that the mix takes them, in shuffled shards.
 
     2 ** levels shards; rows of a shard stand together in random order. Rows are taken whole (see taken()). The
-    shard of a row's copy is that of its block's copy. Names that begin with _ are this operator's own."""
-    names = docs.columns
+    shard of a row's copy is that of its block's copy. Further columns, of any name, stay as they are."""
     rows = sized(docs, seed)
-    slim = common.materialise(rows.select("doc_id", "source", "_size", "_h"))
+    slim = common.materialise(rows.select("_doc.doc_id", "_doc.source", "_size", "_h"))
     got = taken(slim, common.materialise(targets(slim)), levels, seed, whole=True).where(F.size("shards") > 0)
     mine = got.groupBy(F.col("_h").alias("_g"), F.col("doc_id").alias("_d")).agg(F.first("shards").alias("shards"))  # repeated rows share it
-    full = rows.join(mine, (F.col("_h") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(*names, "_h", F.posexplode("shards").alias("_copy", "_shard"))
+    full = rows.join(mine, (F.col("_h") == F.col("_g")) & F.col("_doc.doc_id").eqNullSafe(F.col("_d"))).select("_doc", "_h", F.posexplode("shards").alias("_copy", "_shard"))
     dealt = full.withColumn("_o", F.xxhash64(F.lit(seed), "_h", "_copy"))
-    return dealt.repartitionByRange("_shard", "_o").sortWithinPartitions("_shard", "_o").select(*names)
+    return dealt.repartitionByRange("_shard", "_o").sortWithinPartitions("_shard", "_o").select("_doc.*")
 
 
 def plan(docs: DataFrame, levels: int = 4, seed: int = 11, whole: bool = False) -> DataFrame:
@@ -186,6 +185,6 @@ def plan(docs: DataFrame, levels: int = 4, seed: int = 11, whole: bool = False)
 
     Null and empty texts have size 0 and nothing is taken of them; a null source is a source of its own, last in
     order; rows alike in id, source and text may share a cut in any order, as their results are the same."""
-    slim = common.materialise(sized(docs, seed).select("doc_id", "source", "_size", "_h"))
+    slim = common.materialise(sized(docs, seed).select("_doc.doc_id", "_doc.source", "_size", "_h"))
     got = taken(slim, common.materialise(targets(slim)), levels, seed, whole)
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "shards")

@@ -98,12 +98,13 @@ def places(kind: str, m: Column, p: Column) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """docs with `base`, the spans of the fixed formats by kind and start, and `alike`, look-alikes that touch none of them.
+    """`doc`, a struct of docs' columns, with `base`, the spans of the fixed formats in its text by kind and start, and
+    `alike`, look-alikes that touch none of them.
 
     Every pass over a text stands in its own projection, so no search runs twice."""
     nothing = F.array().cast(SPAN)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumns({f"_h_{k}": hint(text) for k, hint in HINT.items()})
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    out = docs.select(common.packed(docs).alias("doc")).withColumns({f"_h_{k}": hint(text) for k, hint in HINT.items()})
     out = out.withColumns({f"_m_{k}": F.when(F.col(f"_h_{k}"), F.regexp_extract_all(text, F.lit(p), F.lit(0))) for k, p in FIND.items()})
     some = {k: F.size(F.coalesce(F.col(f"_m_{k}"), F.array().cast("array<string>"))) > 0 for k in FIND}
     out = out.withColumns({f"_p_{k}": F.when(some[k], F.split(text, p, -1)) for k, p in FIND.items()})
@@ -134,11 +135,12 @@ def pattern_scores(edges: DataFrame, rounds: int = 2) -> DataFrame:
 
 
 def find(docs: DataFrame, rounds: int = 2, confidence: float = 0.6, min_seeds: int = 3) -> DataFrame:
-    """Rows of docs with `base` and `added`, arrays of spans (k: number in KINDS, s, e: code points, end exclusive).
+    """Rows of docs, each as a struct `doc`, with `base` and `added`, arrays of spans (k: number in KINDS, s, e: code
+    points, end exclusive).
 
-    A null text counts as empty; repeated rows and null ids are told apart by their place; further columns stay
-    as they are (but for the names base, alike, added and _row, which are replaced)."""
-    rows = common.materialise(spans(docs.drop("base", "alike", "added", "_row")).withColumn("_row", F.monotonically_increasing_id()))
+    A null text counts as empty; repeated rows and null ids are told apart by their place; further columns, of
+    any name, stay in the struct as they are."""
+    rows = common.materialise(spans(docs).withColumn("_row", F.monotonically_increasing_id()))
     each = rows.select("_row", F.explode(F.concat("base", "alike")).alias("x")).select("_row", "x.*")
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word"))))
     beside_each = each.select("_row", "k", "s", "e", "seed", "v", sides.alias("y")).select("_row", "k", "s", "e", "seed", "v", "y.*").where("word <> ''")
@@ -147,9 +149,8 @@ def find(docs: DataFrame, rounds: int = 2, confidence: float = 0.6, min_seeds: i
     found = beside_each.where(~F.col("seed")).join(sure, ["k", "side", "word"]).select("_row", F.struct("k", "s", "e").alias("x"))
     added = found.groupBy("_row").agg(F.array_sort(F.collect_set("x")).alias("added"))  # one text's own spans
     base = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("base")
-    kept = [c for c in rows.columns if c not in ("base", "alike", "_row")]
     none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
-    return rows.join(added, "_row", "left").select(*kept, base, F.coalesce("added", none).alias("added"))
+    return rows.join(added, "_row", "left").select("doc", base, F.coalesce("added", none).alias("added"))
 
 
 def listed(spans: Column) -> Column:
@@ -163,22 +164,22 @@ def summary(found: DataFrame) -> DataFrame:
     """doc_id, counts of base spans by kind, their digest, and all spans of find()'s rows."""
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.col("doc.doc_id").cast("long").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_union("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """find()'s rows with [KIND] in place of each span of text (overlapping spans share the first one's mark)."""
+    """The rows given to find(), with [KIND] in place of each span of text (overlapping spans share the first one's mark)."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     every = F.array_sort(F.transform(F.array_union("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
-    cut = lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))
+    cut = lambda a, b: F.substring(F.col("doc.text"), (a + 1).cast("int"), (b - a).cast("int"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.array(cut(acc["at"], x["s"]), F.get(marks, x["k"]))
         return F.struct(F.when(x["s"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
     begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
-    whole = F.aggregate(every, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(cut(acc["at"], F.length("text").cast("long")))), ""))
-    text = F.when((F.size("base") + F.size("added") > 0) & F.col("text").isNotNull(), whole).otherwise(F.col("text"))
-    return found.withColumn("text", text).drop("base", "added")
+    whole = F.aggregate(every, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(cut(acc["at"], F.length("doc.text").cast("long")))), ""))
+    text = F.when((F.size("base") + F.size("added") > 0) & F.col("doc.text").isNotNull(), whole).otherwise(F.col("doc.text"))
+    return found.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
