@@ -39,11 +39,11 @@ def targets(rows: DataFrame) -> DataFrame:
     before = by_level.rowsBetween(Window.unboundedPreceding, -1)
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     open_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / open_weight)
+    per = per.withColumns({"level": left / open_weight, "place": F.row_number().over(by_level)})
     capped = F.col("cap") <= F.col("level") * F.col("weight")
     per = per.withColumn("capped", capped)
     # The level that holds is that of the first source that isn't capped.
-    level = F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "level"))).over(every)["level"]
+    level = F.min(F.when(~F.col("capped"), F.struct("place", "level"))).over(every)["level"]
     per = per.withColumn("target", F.when(F.col("capped") | level.isNull(), F.col("cap")).otherwise(level * F.col("weight")))
     blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.sqrt("n"))))
     return per.select("source", "source_size", "n", "target", blocks.cast("long").alias("blocks"))

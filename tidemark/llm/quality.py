@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     known = known.select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     # The sample has max_rows rows of two numbers at most, so its broadcast is bounded.
-    rows = docs.join(F.broadcast(sample), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
     got = with_features(rows, "label", "int").toArrow()
     y = got.column("label").to_numpy()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(len(y), len(NAMES))
