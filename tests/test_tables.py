@@ -91,5 +91,16 @@ def test_stream_commands_wait_for_gaps(spark, tmp_path):
     assert got[(1, 0)] == (0, None) and got[(1, 1)] == (2, "ab") and got[(1, 3)] == (4, "abcd") and got[(2, 0)] == (1, "x")
 
 
+def test_backup_and_vacuum(spark, table, tmp_path):
+    a = table.commit(changes(spark, (1, 1, "I"), (2, 2, "I")))
+    copy = table.backup(f"{tmp_path}/copy")
+    table.commit(changes(spark, (1, 5, "U")))
+    assert values(copy.snapshot()) == [(1, 1), (2, 2)]
+    assert values(copy.snapshot(a)) == [(1, 1), (2, 2)]
+    table.checkpoint()
+    assert table.vacuum() > 0
+    assert values(table.snapshot()) == [(1, 5), (2, 2)]
+
+
 def test_manifest_is_plain_json(table):
     assert json.loads(json.dumps(table.manifest()))["keys"] == ["k"]

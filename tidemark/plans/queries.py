@@ -526,3 +526,67 @@ def standby_consistent_ts(spark, sf_dir):
 def publish_fanout(spark, sf_dir):
     messages = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", "event_type")
     return feeds.publish(messages, table(spark, sf_dir, "region").select("r_name"))
+
+
+# Further operators
+
+
+@query("SELECT user_id, ROUND(list_reduce(list(CAST(LENGTH(props) + event_id % 7 AS DOUBLE) ORDER BY event_id), lambda a, b: a * 0.9 + b * 0.1), 6) AS average FROM events GROUP BY user_id")
+def average_record_size(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_id", (F.length("props") + F.col("event_id") % 7).alias("n")).alias("x"))
+    sizes = rows.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return sizes.select("user_id", F.round(statistics.average_size(F.transform("x", lambda x: x["n"])), 6).alias("average"))
+
+
+@query(
+    "WITH r AS (SELECT o_custkey // 100 AS slice, o_orderkey AS k, 64 + o_orderkey % 9 AS n FROM orders), w AS (SELECT *, SUM(n) OVER (PARTITION BY slice) AS t, SUM(n) OVER (PARTITION BY slice ORDER BY k ROWS UNBOUNDED PRECEDING) - n AS before FROM r), "
+    "p AS (SELECT *, CAST(FLOOR(before / (t / GREATEST(2, t // 16384))) AS BIGINT) AS part FROM w WHERE t > 16384) SELECT slice, MIN(k) AS start FROM p WHERE part > 0 GROUP BY slice, part"
+)
+def slice_split_plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 100).alias("slice"), F.col("o_orderkey").alias("k"), (64 + F.col("o_orderkey") % 9).alias("n"))
+    return partitions.slice_split_keys(rows, "slice", "k", "n")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 9000 AND NOT (o_orderkey >= 500 AND o_orderkey < 700) AND o_orderkey % 4096 <> 17")
+def range_clean(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    kept = partitions.delete_outside(orders, "o_orderkey", 100, 9000)
+    return partitions.kick_out(partitions.kick_out(kept, low=500, high=700, key="o_orderkey"), bucket=17, key="o_orderkey")
+
+
+@query(f"WITH {SAMPLE_SQL} SELECT x, CASE WHEN x >= 700 THEN 2 WHEN x >= 250 THEN 1 ELSE 0 END AS owner FROM s")
+def split_sample_pool(spark, sf_dir):
+    ranges = spark.createDataFrame([(0, 0), (250, 1), (700, 2)], "start int, owner int")
+    return statistics.pool_owners(_sample(spark, sf_dir), ranges, "x", "start", "owner")
+
+
+@query(f"WITH {SAMPLE_SQL} SELECT x FROM s WHERE x % 3 <> 0")
+def prune_sample_pool(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("x"))
+    return statistics.prune(_sample(spark, sf_dir), gone, "x")
+
+
+@query(f"{LOG} SELECT COUNT(*) AS live_rows FROM (SELECT *, {LATEST} AS rn FROM log) WHERE rn = 1 AND op <> 'D'")
+def live_row_count(spark, sf_dir):
+    return versions.as_of(change_log(spark, sf_dir), K, 1 << 60, tie="event_id").agg(F.count(F.lit(1)).alias("live_rows"))
+
+
+@query("SELECT doc_id, len(list_distinct(string_split(lang || ' ' || source, ' '))) AS paths, list_contains(string_split(lang || ' ' || source, ' '), 'src1') AS has_src1 FROM documents")
+def multikey_paths(spark, sf_dir):
+    both = indexes.merge_paths(F.array("lang"), F.array("source"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.size(both).cast("long").alias("paths"), indexes.contains_path(both, F.array(F.lit("src1"))).alias("has_src1"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) AS i, LENGTH(text) AS n FROM conversations) SELECT conv_id, CAST(SUM(CASE WHEN i % 2 = 1 THEN n ELSE -n END) AS BIGINT) AS state FROM c GROUP BY conv_id")
+def cmd_fold_custom(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+
+    def step(state, command):
+        count, total = (0, 0) if state is None else divmod(state, 1 << 40)
+        total -= 1 << 39 if state is not None else 0
+        total += command["n"] if count % 2 == 0 else -command["n"]
+        return (count + 1 << 40) + total + (1 << 39)
+
+    state = feeds.fold_commands(rows, "conv_id", "turn", "long", step)
+    return state.select("conv_id", (F.pmod("state", F.lit(1 << 40)) - (1 << 39)).alias("state"))

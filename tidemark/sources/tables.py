@@ -174,6 +174,34 @@ class Table:
         self._publish(version + 1, m | {"statistics": found})
         return found
 
+    def backup(self, path: str, version: int | None = None) -> Table:
+        """A copy of one version of the table in another folder, rewritten as one set of files with its own manifest."""
+        m = self.manifest(version)
+        copy = Table(self.spark, path)
+        name = copy._write(self.log(version), "log")
+        copy._publish(0, m | {"log": [name], "base": [], "archive": [], "entries": {}, "statistics": {}})
+        return copy
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete files that the newest `keep` manifests don't list, and older manifests; returns how many folders went.
+
+        Not while commits run: files that they have staged are listed nowhere yet."""
+        newest = self.version()
+        oldest = max(0, newest - keep + 1)
+        listed: set[str] = set()
+        for v in range(oldest, newest + 1):
+            m = self.manifest(v)
+            listed |= {*m["log"], *m["base"], *m["archive"], *(n for e in m["entries"].values() for n in e), m["statistics"].get("sample", "")}
+        gone = 0
+        for kind in self._fs.listStatus(self._path(self.path)):
+            if kind.isDirectory() and kind.getPath().getName() != "_manifests":
+                for entry in self._fs.listStatus(kind.getPath()):
+                    if f"{kind.getPath().getName()}/{entry.getPath().getName()}" not in listed:
+                        gone += bool(self._fs.delete(entry.getPath(), True))
+        for v in range(oldest):
+            self._fs.delete(self._file(v), False)
+        return gone
+
     @staticmethod
     def discover(spark: SparkSession, folder: str) -> list[str]:
         """Names of the tables in a folder."""
