@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
@@ -29,21 +30,70 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, codec: str = "lz4") -> DataFrame:
+#: Held while a table is written: shuffle files go with the write, so that a job's disk is that of its largest step,
+#: and batches for Python are bounded by bytes, as texts may be long.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Open scratch scopes, the innermost last; each lists the tables written in it.
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, codec: str = "lz4", outer: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins plain scans on both sides, so that
-    adaptive execution may split a skewed key. Files go when the driver ends."""
+    adaptive execution may split a skewed key. The table goes with the scratch scope that it was written in (outer:
+    with the one around that), or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    fs, target = _file(spark, path)
+    fs.deleteOnExit(target)
+    scopes = _scopes[:-1] if outer else _scopes
+    if scopes:
+        scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing will read again."""
+    while paths:
+        fs, target = _file(spark, paths.pop())
+        fs.delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """A scope whose tables are deleted at its end; what it returns must be written, by materialise(outer=True)."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _scopes.pop())
+
+
+@contextlib.contextmanager
+def collected(paths: list[str]):
+    """A scope whose tables are listed in paths, for the caller to discard."""
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 def packed(docs: DataFrame) -> Column:
     """All columns of docs as one struct, so that no name of theirs meets an operator's own."""
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
