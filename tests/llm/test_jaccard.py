@@ -73,6 +73,14 @@ def test_awkward_rows(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_larger_sets_of_a_small_sets_list(spark):
+    """Two sets that both link with a smaller one needn't link with each other, and don't where it is missing."""
+    start = "a b c d e f g h i j"  # 7 n-grams of 4 words; with one more word 8, of which two such texts share 7
+    texts = [f"{start} x", f"{start} y", "p q r s t u v w x y1", "p q r s t u v w x y1 z1", "p q r s t u v w x y1 z2"]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(documents(spark, list(enumerate(texts))), 4, 85, 100).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2, 4: 2}
+
+
 def test_keep_one(spark):
     docs = documents(spark, [*awkward(), (30, "a b c d e f g"), (31, "a b c d e f g")])
     kept = jaccard_join.keep_one(docs)

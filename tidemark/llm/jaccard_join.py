@@ -1,8 +1,9 @@
 """Similarity join of texts by the Jaccard measure of their word n-grams: a size-aware heavy-light join.
 
 A text is its set of distinct n-grams of words; equal sets are one node. Small sets enumerate their subsets of the size
-that a link needs, so sets that meet in a subset's list are linked. Large sets are posted in inverted lists and the
-sets of a list are verified. A list stands for the part of a set that falls into one range of a hash: two sets with
+that a link needs, so linked ones meet in a subset's list. Large sets are posted in inverted lists. What a list
+proposes is verified by the sets' intersection, as two larger sets may meet in a list for a larger and a smaller
+one. An inverted list stands for the part of a set that falls into one range of a hash: two sets with
 at most h differing elements agree in one of h + 1 parts, and parts, unlike single n-grams, are not filled up by
 passages that many texts share. The boundary between small and large comes from the costs of both ways on a sample.
 
@@ -28,7 +29,7 @@ from tidemark.llm import common
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 1 << 22  # bytes of text that are hashed at once, but for longer texts
+BLOCK = 1 << 20  # bytes of text that are hashed at once, but for longer texts
 #: Broadcasts of node or row ids stay under so many rows (16 bytes each); above, tables are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Rows that a part of a hot list is meant to hold, and ranges whose elements are counted.
@@ -153,7 +154,7 @@ class Scheme:
         return light, heavy
 
     def lists(self, grams: np.ndarray) -> np.ndarray:
-        """Keys of the lists of a set; odd keys are those of subsets, where every meeting is a link."""
+        """Keys of the lists of a set, by subsets and by parts."""
         n, out = len(grams), []
         if not n:
             return np.zeros(0, dtype=np.int64)
@@ -164,11 +165,11 @@ class Scheme:
                     if o == n == a == b:
                         continue  # equal sets are one node already
                     keys = [own[list(kept)].sum(dtype=np.uint64) for kept in itertools.combinations(range(n), o)]
-                    out.append(mix(np.array(keys, dtype=np.uint64), 100 + a * 64 + b) | U(1))
+                    out.append(mix(np.array(keys, dtype=np.uint64), 100 + a * 64 + b))
             if n > self.small or n * self.den // self.num > self.small:
                 c = self.class_of(n)
                 for x in [c - 1, c] if c else [c]:
-                    out.append(self.part_keys(grams, x) & ~U(1))
+                    out.append(self.part_keys(grams, x))
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
     def part_keys(self, grams: np.ndarray, c: int) -> np.ndarray:
@@ -408,19 +409,21 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     smallest doc_id that links reach. Texts that are null or without words are empty and link with nothing.
     Rows that share an id are told apart by their texts; rows without an id take part, but have no component of
     their own. N-grams, sets and lists are told apart by 64-bit hashes."""
+    with common.scratch(docs.sparkSession):
+        return _join(docs, k, num, den)
+
+
+def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     scheme = choose_scheme(docs, k, num, den)
     rows = posted(docs, k, scheme)
     lists = members(rows, scheme)
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep_doc"))
-    subset = F.col("at").bitwiseAND(F.lit(1)) == 1
-    starred = proposed(lists)
-    light = ordered(starred.where(subset), "node", "rep")
-    heavy = common.materialise(ordered(starred.where(~subset & compatible(scheme, "n", "rep_n")), "node", "rep"))
-    links = common.materialise(light.unionByName(verified(heavy, docs, rows, k, scheme)))
+    first = common.materialise(ordered(proposed(lists).where(compatible(scheme, "n", "rep_n")), "node", "rep"))
+    links = verified(first, docs, rows, k, scheme)
     parts = common.connected_components(links)
     counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
-    more = between_components(lists.where(~subset), parts, counts, scheme)
-    more = common.materialise(more.join(heavy, ["a", "b"], "left_anti"))
+    more = between_components(lists, parts, counts, scheme)
+    more = common.materialise(more.join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(verified(more, docs, rows, k, scheme))
         parts = common.connected_components(links)
@@ -428,7 +431,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     named = parts.join(least, "root").select("node", "component")
     named = common.materialise(nodes.join(named, "node", "left").select(F.col("node").alias("_n"), F.coalesce("component", "rep_doc").alias("component")))
     out = rows.select("doc_id", "node", "n").join(named, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return common.materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), outer=True)
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
