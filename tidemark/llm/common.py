@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -113,6 +114,13 @@ def worker_cache(name: str, make):
     return holder[name]
 
 
+def give_back() -> None:
+    """Hand memory that a worker's last batches have left free back to the system, as idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column) -> list[bytes]:
     """A batch's text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -256,6 +256,7 @@ def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                 counts.append(range_counts(grams) if new else None)
                 lists.append(scheme.lists(grams) if new else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "counts", "lists"])
+        common.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.materialise(rows.mapInArrow(post, "doc_id long, node long, n long, counts binary, lists array<long>"))
@@ -385,6 +386,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme:
         for batch in batches:
             found = list(shingle_sets(common.text_bytes(batch.column("text")), k))
             yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in found], pa.int64()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], names=["node", "grams"])
+        common.give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text")
     # Rows that share an id may bring further sets, and equal ones; a node needs one.

@@ -152,5 +152,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             x = np.array([features(t) for t in common.text_bytes(batch.column(at))], dtype=np.float64).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(model.score(x) >= 0.5))
+        common.give_back()
 
     return docs.mapInArrow(work, schema)
