@@ -134,13 +134,15 @@ def pattern_scores(edges: DataFrame, rounds: int = 2) -> DataFrame:
     return scores
 
 
-def find(docs: DataFrame, rounds: int = 2, confidence: float = 0.6, min_seeds: int = 3) -> DataFrame:
+def find(docs: DataFrame, rounds: int = 2, confidence: float = 0.6, min_seeds: int = 3, keep_text: bool = True) -> DataFrame:
     """Rows of docs, each as a struct `doc`, with `base` and `added`, arrays of spans (k: number in KINDS, s, e: code
     points, end exclusive).
 
     A null text counts as empty; repeated rows and null ids are told apart by their place; further columns, of
-    any name, stay in the struct as they are."""
-    rows = common.materialise(spans(docs).withColumn("_row", F.monotonically_increasing_id()))
+    any name, stay in the struct as they are. keep_text: whether the text stays in it, which redact() needs."""
+    found = spans(docs)
+    found = found if keep_text else found.withColumn("doc", F.col("doc").dropFields("text"))
+    rows = common.materialise(found.withColumn("_row", F.monotonically_increasing_id()))
     each = rows.select("_row", F.explode(F.concat("base", "alike")).alias("x")).select("_row", "x.*")
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word"))))
     beside_each = each.select("_row", "k", "s", "e", "seed", "v", sides.alias("y")).select("_row", "k", "s", "e", "seed", "v", "y.*").where("word <> ''")

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
