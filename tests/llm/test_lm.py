@@ -63,3 +63,45 @@ def test_nothing_to_learn(spark):
     got = lm_scoring.score(docs, F.lit(False)).collect()
     assert len(got) == docs.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lm_scoring.score(docs.limit(0)).count() == 0
+
+
+def backoff(rows, learns, order=3, least=2, d=0.75):
+    """Plain backoff model of all n-grams that occur `least` times: id to score."""
+    seen = [collections.Counter() for _ in range(order + 1)]
+    for i, t in rows:
+        x = tokens(t)
+        for n in range(1, order + 1):
+            if learns(i):
+                seen[n].update(tuple(x[k : k + n]) for k in range(len(x) - n + 1))
+    total, v = sum(seen[1].values()), len(seen[1])
+    kept = [None, None, *({g: c for g, c in s.items() if c >= least} for s in seen[2:])]
+
+    def p(g):
+        if len(g) == 1:
+            return (seen[1][g] + 0.5) / (total + 0.5 * (v + 1))
+        return (kept[len(g)][g] - d) / seen[len(g) - 1][g[:-1]] if g in kept[len(g)] else fail(g[:-1]) * p(g[1:])
+
+    def fail(h):
+        after = [g for g in kept[len(h) + 1] if g[:-1] == h]
+        return (1 - sum(p(g) for g in after)) / (1 - sum(p(g[1:]) for g in after))
+
+    out = {}
+    for i, t in rows:
+        x = tokens(t)
+        out[i] = sum(math.log10(p(tuple(x[max(0, k - order + 1) : k + 1]))) for k in range(len(x)))
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_all_repeated_ngrams(spark, order):
+    rows = [(1, "a b a b a c d"), (2, "b A b e"), (3, ""), (4, "a b c d e a b"), (5, "x y z\u00e9 a b\tq"), (6, "x y z\u00e9 a b"), (7, None), (8, "never seen a b a")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows), F.col("doc_id") != 8, order=order).collect()}
+    assert got == pytest.approx(backoff(rows, lambda i: i != 8, order))
+
+
+def test_seldom_ngrams_count_in_a_large_corpus(spark):
+    """Twice in a million and a half tokens is far below the shares that were once kept."""
+    filler = [(i, "w " * 50_000) for i in range(30)]
+    rows = [*filler, (100, "rare phrase here"), (101, "rare phrase here"), (102, "phrase rare here")]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows)).collect() if r["doc_id"] >= 100}
+    assert got[100] > got[102] + 5

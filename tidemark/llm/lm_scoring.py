@@ -1,10 +1,13 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words are counted over all training texts. Words and n-grams that make up at least a fixed share of the training
-tokens are kept, so at most 1 / share of each order exist, whatever the corpus; all others back off. Kept n-grams are
-the automaton's states: an arc for a word leads from its history to the longest kept suffix, and a failure arc, which
-costs the state's backoff weight, leads to the next shorter history. One pass over a text from left to right carries
-the state of every place and adds up log-probabilities. Probabilities are smoothed by absolute discounting.
+Words are counted over all training texts and all kept, as are n-grams that occur at least twice, so the states grow
+with the corpus. An arc for a word leads from its history to the longest kept suffix, and a failure arc, which costs
+the state's backoff weight, leads to the next shorter history. Probabilities are smoothed by absolute discounting.
+
+States are a written table. Each carries what it adds to the log-probability of a place over its shorter suffixes, so
+that a text's score is a sum over its places and orders, each looked up on its own: n-grams go to buckets by their
+hash, in which numpy finds them among the states, and sums by text come back. An n-gram is keyed by a 64-bit hash of
+its history's key and its last word's. fit() makes the same automaton in memory from small corpora.
 """
 
 from __future__ import annotations
@@ -210,37 +213,233 @@ def fit(words: DataFrame, texts: DataFrame, share: float, gram_share: float, ord
     return model, numbers, {"tokens": int(tokens), "distinct": int(distinct), "counts": counts}
 
 
-def score(docs: DataFrame, learn: Column | None = None, share: float = 3e-7, gram_share: float = 2e-6, order: int = 3, discount: float = 0.75) -> DataFrame:
-    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+def mixed(z: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads each bit over all."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def extended(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of histories with a word behind."""
+    return mixed(history * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
+
+
+STEP = 0xF1357AEA2E62A9C5
+BYTE = np.random.default_rng(9).integers(1, 1 << 64, 256, dtype=np.uint64)
+BYTE[65:91] = BYTE[97:123]  # A-Z count as lower case
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+END_KEY = np.uint64(0x2545F4914F6CDD1D)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the words of all texts, END_KEY after each text, and how many places each text has."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+    white = np.concatenate([[True], WHITE[data]])
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(STEP, len(data)))])
+    words = mixed((sums[ends] - sums[begins]) * powers(pow(STEP, -1, 1 << 64), len(data))[begins])
+    borders = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
+    sizes = np.bincount(np.searchsorted(borders, begins, side="right"), minlength=len(texts)) + 1
+    x = np.full(sizes.sum(), END_KEY)
+    inner = np.ones(len(x), dtype=bool)
+    inner[np.cumsum(sizes) - 1] = False
+    x[inner] = words
+    return x, sizes
+
+
+def blocks(texts: list[bytes], limit: int):
+    """(begin, end) of runs of texts of about limit bytes."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) < limit):
+            size += len(texts[end])
+            end += 1
+        yield begin, end
+        begin = end
+
+
+def runs(x: np.ndarray, sizes: np.ndarray, order: int):
+    """For orders from 2 on, (places, histories' keys, last words' keys) of the n-grams that lie within a text."""
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    history = x
+    for n in range(2, order + 1):
+        at = np.flatnonzero(place >= n - 1)
+        yield at, history[at - 1], x[at]
+        longer = np.zeros_like(x)
+        longer[at] = extended(history[at - 1], x[at])
+        history = longer
 
-    Words are runs of what isn't ASCII white space, with A-Z in lower case, and one end per text. learn: the rows to
-    learn from. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) for each token, with c, N and V exact over all
-    training texts: counts of kept words travel with the plan, those of all others are joined. Null texts count as
-    empty and train as such; repeated rows and null ids are told apart by their place; other columns are not read.
-    With nothing to learn from, N and V are 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("learns") if learn is None else F.coalesce(learn, F.lit(False)).alias("learns"))
+
+def borders_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n buckets begins in sorted keys, and their end."""
+    return np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+
+
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each key; a larger key is in no smaller bucket."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def longs(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
+
+
+def kept_grams(texts: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
+    """(h, w, key, n): n-grams with at least `least` occurrences; h is the history's key, w the last word's. Tasks send
+    sums of some million places, packed by bucket."""
+
+    def send(batches):
+        held, seen = [], 0
+
+        def flush():
+            h, w = (np.concatenate(a) for a in zip(*held, strict=True))
+            held.clear()
+            keys, first, times = np.unique(extended(h, w), return_index=True, return_counts=True)
+            h, w, cut = h[first], w[first], borders_of(keys, buckets)
+            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            packs = [pa.array([a[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary()) for a in (h, w, times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *packs], names=["bucket", "h", "w", "n"])
+
+        for batch in batches:
+            data = common.text_bytes(batch.column("text"))
+            for begin, end in blocks(data, BLOCK_BYTES):
+                *_, (_, h, w) = runs(*hashed(data[begin:end]), n)
+                held.append((h, w))
+                seen += len(h)
+                if seen >= 2 * BLOCK:
+                    yield from flush()
+                    seen = 0
+        if held:
+            yield from flush()
+        common.give_back()
+
+    def add(table):
+        h, w, times = longs(table.column("h")), longs(table.column("w")), longs(table.column("n"))
+        keys, first, back = np.unique(extended(h, w), return_index=True, return_inverse=True)
+        sums = np.bincount(back, weights=times, minlength=len(keys)).astype(np.int64)
+        fine = sums >= least
+        first = first[fine]
+        return pa.table({"h": h[first].view(np.int64), "w": w[first].view(np.int64), "key": keys[fine].view(np.int64), "n": sums[fine]})
+
+    sent = texts.select("text").mapInArrow(send, "bucket int, h binary, w binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(add, "h long, w long, key long, n long")
+
+
+def with_keys(words: DataFrame) -> DataFrame:
+    """words with `key`."""
+
+    def add(batches):
+        for batch in batches:
+            names = batch.column("word").to_pylist()
+            keys = np.array([END_KEY if w == END else 0 for w in names], dtype=np.uint64)
+            keys[keys == 0] = hashed([w for w in names if w != END])[0].reshape(-1)[::2]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=[*batch.schema.names, "key"])
+
+    return words.mapInArrow(add, "word binary, n long, key long")
+
+
+def with_tail(grams: DataFrame) -> DataFrame:
+    """grams with `tail`, the key without the first word, from `before`, that of the history."""
+
+    def add(batches):
+        for batch in batches:
+            before, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("before", "w"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extended(before, w).view(np.int64))], names=[*batch.schema.names, "tail"])
+
+    return grams.mapInArrow(add, "h long, w long, key long, n long, c long, before long, tail long")
+
+
+def states(words: DataFrame, texts: DataFrame, unseen: float, order: int, least: int, discount: float, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket, key, more) of the kept n-grams, packed by bucket, and (word, n, back) of all words with the weight of
+    their failure arc; the latter stays when the scratch scope ends.
+
+    An n-gram's `more` is the log10 probability of its arc, less the failure arc of its history and the arc of its
+    tail, plus its own failure arc: a place's log-probability is the sum over the n-grams and words that end there,
+    as every n-gram but those at an end is the history of the next place."""
+    words = common.materialise(with_keys(words))
+    lower = words.select("key", "n", ((F.col("n") + 0.5) / unseen).alias("p"), F.lit(None).cast("long").alias("tail"))
+    levels, fails = [], []
+    for n in range(2, order + 1):
+        grams = common.materialise(kept_grams(texts, n, least, buckets))
+        over = grams.join(lower.select(F.col("key").alias("h"), F.col("n").alias("c"), F.col("tail").alias("before")), "h").select("h", "w", "key", "n", "c", "before")
+        over = over.withColumn("tail", F.col("w")) if n == 2 else with_tail(over)
+        over = over.join(lower.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
+        lower = common.materialise(over.select("key", "h", "tail", "n", "c", "below", ((F.col("n") - discount) / F.col("c")).alias("p")))
+        levels.append(lower)
+        kept = 1 - F.sum(F.col("n") - discount) / F.max("c")
+        fails.append(common.materialise(lower.groupBy("h").agg(F.log10(F.greatest(kept, F.lit(1e-12)) / F.greatest(1 - F.sum("below"), F.lit(1e-12))).alias("fail"))))
+    found = None
+    for k, level in enumerate(levels):
+        own = level.join(fails[k], "h").withColumn("more", F.log10("p") - F.log10("below") - F.col("fail")).select("key", "more")
+        if k + 1 < len(fails):
+            own = own.join(fails[k + 1].select(F.col("h").alias("key"), F.col("fail").alias("next")), "key", "left").select("key", (F.col("more") + F.coalesce("next", F.lit(0.0))).alias("more"))
+        found = own if found is None else found.unionByName(own)
+    back = words.join(fails[0].select(F.col("h").alias("key"), F.col("fail").alias("back")), "key", "left") if fails else words.withColumn("back", F.lit(0.0))
+    back = common.materialise(back.select("word", "n", F.coalesce("back", F.lit(0.0)).alias("back")), outer=True)
+    if found is None:
+        found = words.select("key", F.lit(0.0).alias("more")).limit(0)
+
+    def place(batches):
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(keys, buckets), pa.int32()), *batch.columns], names=["bucket", *batch.schema.names])
+
+    def pack(table):
+        keys, more = table.column("key").to_numpy().view(np.uint64), table.column("more").to_numpy()
+        by = np.argsort(keys)
+        return pa.table({"bucket": table.column("bucket")[:1], "key": pa.array([keys[by].tobytes()], pa.binary()), "more": pa.array([more[by].tobytes()], pa.binary())})
+
+    placed = found.mapInArrow(place, "bucket int, key long, more double").groupBy("bucket")
+    return common.materialise(placed.applyInArrow(pack, "bucket int, key binary, more binary")), back
+
+
+#: Bytes of text that are hashed at once.
+BLOCK_BYTES = 4_000_000
+#: Parts that the texts are scored in, one after the other, as n-grams on their way fill the disk.
+PARTS = 4
+DOC = "doc_id long, n_tokens long, common long, base double, score double, rare array<binary>, times array<long>"
+
+
+def walked_texts(rows: DataFrame, share: float, least: int, order: int, discount: float) -> tuple[DataFrame, DataFrame, int, float]:
+    """A row per text with its sums over n-grams and common words, and its rare words; (word, n, back) of all words; the
+    number of training tokens; and what a count is divided by."""
+    spark = rows.sparkSession
     texts = rows.where("learns")
     words = common.materialise(word_counts(texts))
-    model, numbers, facts = fit(words, texts, share, gram_share, order, discount)
-    n_train, unseen = facts["tokens"], facts["tokens"] + 0.5 * (facts["distinct"] + 1)
-    known = np.log10(facts["counts"] + 0.5)
+    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
+    n_train, unseen = sums["n"] or 0, (sums["n"] or 0) + 0.5 * (sums["v"] + 1)
+    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_train // BLOCK)
+    model, words = states(words, texts, unseen, order, least, discount, buckets)
+    often = words.where((F.col("n") >= max(2, int(np.ceil(share * n_train)))) & (F.col("word") != END)).toArrow()
+    ends = words.where(F.col("word") == END).collect()
+    numbers = {w: i + 2 for i, w in enumerate(often.column("word").to_pylist())}
+    known = np.log10(np.concatenate([[0, ends[0]["n"] if ends else 0], often.column("n").to_numpy()]) + 0.5)
+    back = np.concatenate([[0.0, 0.0], often.column("back").to_numpy()])
 
     def walk(batches):
-        names = ["doc_id", "n_tokens", "common", "base", "score", "rare", "times"]
+        """One row a block with its documents, and its n-grams packed by bucket."""
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, ids = common.text_bytes(batch.column("text")), batch.column("doc_id")
-            begin = 0
-            while begin < len(data):
-                end, size = begin, 0
-                while end < len(data) and (end == begin or size < BLOCK * 4):
-                    size += len(data[end])
-                    end += 1
+            for begin, end in blocks(data, BLOCK_BYTES):
                 part = data[begin:end]
                 x, sizes = numbered(part, numbers)
                 starts = np.cumsum(sizes) - sizes
                 is_rare = x == RARE
                 base = np.add.reduceat(np.where(is_rare, 0.0, known[x]), starts)
-                total = np.add.reduceat(model.walk(x, sizes), starts)
+                more = np.add.reduceat(back[x], starts)
                 here = np.add.reduceat(is_rare, starts, dtype=np.int64)
                 rare, times = [], []
                 for text, n in zip(part, here, strict=True):
@@ -251,19 +450,84 @@ def score(docs: DataFrame, learn: Column | None = None, share: float = 3e-7, gra
                                 own[w] = own.get(w, 0) + 1
                     rare.append(list(own))
                     times.append(list(own.values()))
+                info = pa.RecordBatch.from_arrays(
+                    [ids.slice(begin, end - begin), pa.array(sizes), pa.array(sizes - here), pa.array(base), pa.array(more), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_tokens", "common", "base", "score", "rare", "times"],
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, info.schema) as out:
+                    out.write_batch(info)
+                x, sizes = hashed(part)
+                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                keys, of = zip(*((extended(h, w), doc[at]) for at, h, w in runs(x, sizes, order)), strict=True) if order > 1 else ((x[:0],), (doc[:0],))
+                keys, of = np.concatenate(keys), np.concatenate(of)
+                by = np.argsort(keys)
+                keys, of, cut = keys[by], of[by], borders_of(keys[by], buckets)
+                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+                packs = [[a[cut[b] : cut[b + 1]].tobytes() for b in own] for a in (keys, of)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, end - begin), pa.array(sizes), pa.array(sizes - here), pa.array(base), pa.array(total), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))], names=names
+                    [pa.array([*own, block % buckets], pa.int32()), pa.array([block] * (len(own) + 1)), pa.array([*packs[0], b""], pa.binary()), pa.array([*packs[1], b""], pa.binary()), pa.array([None] * len(own) + [sink.getvalue().to_pybytes()], pa.binary())],
+                    names=["bucket", "block", "keys", "docs", "info"],
                 )
-                begin = end
+                block += 1
+        common.give_back()
+
+    def find(asked, among_states):
+        """Per block, what the bucket's states add to its documents."""
+        held = longs(among_states.column("key"))
+        more = np.frombuffer(b"".join(among_states.column("more").to_pylist()), np.float64)
+        where, docs_of, sums_of, infos = [], [], [], []
+        for block, keys, of, info in zip(*(asked.column(c).to_pylist() for c in ("block", "keys", "docs", "info")), strict=True):
+            keys, of = np.frombuffer(keys, np.uint64), np.frombuffer(of, np.int32)
+            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            hit = held[at] == keys if len(held) else np.zeros(len(keys), dtype=bool)
+            if info is None and not hit.any():
+                continue
+            own, back_to = np.unique(of[hit], return_inverse=True)
+            where.append(block)
+            docs_of.append(own.tobytes())
+            sums_of.append(np.bincount(back_to, weights=more[at[hit]], minlength=len(own)).tobytes() if len(own) else b"")
+            infos.append(info)
+        return pa.table({"block": pa.array(where, pa.int64()), "docs": pa.array(docs_of, pa.binary()), "sums": pa.array(sums_of, pa.binary()), "info": pa.array(infos, pa.binary())})
+
+    def gather(table):
+        """A block's documents with their sums."""
+        info = next(x for x in table.column("info").to_pylist() if x is not None)
+        own = pa.ipc.open_stream(info).read_all()
+        of = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int32)
+        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64)
+        total = own.column("score").to_numpy() + np.bincount(of, weights=sums, minlength=own.num_rows)
+        return own.set_column(own.schema.get_field_index("score"), "score", pa.array(total))
+
+    walked = None
+    for k in range(PARTS):
+        part = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(PARTS)) == k).select("doc_id", "text")
+        asked = part.mapInArrow(walk, "bucket int, block long, keys binary, docs binary, info binary")
+        found = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(find, "block long, docs binary, sums binary, info binary")
+        own = common.materialise(found.groupBy("block").applyInArrow(gather, DOC))
+        walked = own if walked is None else walked.unionByName(own)
+    walked = common.materialise(walked.withColumn("_row", F.monotonically_increasing_id()), outer=True)
+    return walked, words, n_train, unseen
+
+
+def score(docs: DataFrame, learn: Column | None = None, share: float = 3e-7, least: int = 2, order: int = 3, discount: float = 0.75) -> DataFrame:
+    """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
-    walked = rows.select("doc_id", "text").mapInArrow(walk, "doc_id long, n_tokens long, common long, base double, score double, rare array<binary>, times array<long>")
-    walked = common.materialise(walked.withColumn("_row", F.monotonically_increasing_id()))
+    Words are runs of what isn't ASCII white space, with A-Z in lower case, and one end per text. learn: the rows to
+    learn from. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) for each token, with c, N and V exact over all
+    training texts. n-grams of up to `order` words that occur `least` times are kept. Words with n >= share * N travel
+    with the plan and all others are joined, which makes no difference to the result. Null texts count as empty and
+    train as such; repeated rows and null ids are told apart by their place; other columns are not read. With nothing
+    to learn from, N and V are 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("learns") if learn is None else F.coalesce(learn, F.lit(False)).alias("learns"))
+    with common.scratch(docs.sparkSession):
+        walked, words, n_train, unseen = walked_texts(rows, share, least, order, discount)
     rare = walked.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    got = rare.join(words, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"), F.sum("times").alias("found"))
+    got = rare.join(words, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"), F.sum(F.col("times") * F.col("back")).alias("back"), F.sum("times").alias("found"))
     both = walked.select("_row", "doc_id", "n_tokens", "common", "base", "score").join(got, "_row", "left")
     # The end of a text counts as known where any text was learnt from.
     common_known = F.col("common") - F.lit(0 if n_train else 1)
     n_known = common_known + F.coalesce("found", F.lit(0))
     missing = F.col("n_tokens") - F.col("common") - F.coalesce("found", F.lit(0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) + missing * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(np.log10(unseen)))
-    return both.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return both.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("back", F.lit(0.0)) + base).alias("score"))
