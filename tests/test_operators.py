@@ -130,6 +130,16 @@ def test_deadlocks(spark):
     assert dict((tuple(c), v) for c, v in rows(locks.victims(found, held), "cycle", "victim")) == {(1, 2): 2, (1, 2, 3): 2}
 
 
+def test_deadlocks_of_any_length(spark):
+    """A ring of seven transactions with a chord: cycles of seven and of five."""
+    held = [(i, f"e{i}", "holding") for i in range(7)] + [(i, f"e{(i + 1) % 7}", "waiting") for i in range(7)] + [(0, "e3", "waiting"), (3, "more", "holding"), (9, "e0", "waiting")]
+    held = spark.createDataFrame(held, "tx long, entry string, state string")
+    found = locks.cycles(locks.wait_for(held))
+    assert sorted(rows(found, "cycle", "length")) == [([0, 1, 2, 3, 4, 5, 6], 7), ([0, 3, 4, 5, 6], 5)]
+    assert {len(c): v for c, v in rows(locks.victims(found, held), "cycle", "victim")} == {7: 0, 5: 0}
+    assert rows(locks.cycles(locks.wait_for(held), longest=4), "cycle") == []
+
+
 def test_commands(spark):
     c = spark.createDataFrame([(1, 0, 1, False), (1, 1, 2, False), (1, 4, 5, False), (1, 0, 6, True), (1, 6, 7, False)], "k int, expected int, version int, ignores boolean")
     assert rows(feeds.applicable(c, "k", "expected", "version", "ignores"), "version") == [(1,), (2,), (6,), (7,)]

@@ -29,20 +29,27 @@ def trim(edges: DataFrame, rounds: int = 1) -> DataFrame:
     return edges
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle, length): each simple cycle of up to `longest` transactions once, from its smallest on.
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle, length): each simple cycle once, from its smallest transaction on; longest: only those of up to so many.
 
-    Paths start at their smallest transaction and only visit larger ones, each once, after edges on no cycle are gone."""
+    Paths start at their smallest transaction and only visit larger ones, each once, after edges on no cycle are gone.
+    With no bound they are extended until none is open, so the work grows with the number of simple paths."""
     live = trim(edges)
     step = live.select(F.col("waiter").alias("_from"), F.col("holder").alias("_to"))
     paths = live.where("waiter < holder").select(F.array("waiter", "holder").alias("path"))
-    found = []
-    for length in range(2, longest + 1):
+    found, length = [], 2
+    while True:
         closing = paths.join(step, (F.element_at("path", -1) == F.col("_from")) & (F.element_at("path", 1) == F.col("_to")))
         found.append(closing.select(F.col("path").alias("cycle"), F.lit(length).alias("length")))
-        if length < longest:
-            on = paths.join(step, F.element_at("path", -1) == F.col("_from"))
-            paths = on.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
+        if length == longest:
+            break
+        on = paths.join(step, F.element_at("path", -1) == F.col("_from"))
+        paths = on.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
+        length += 1
+        if longest is None:
+            paths = paths.persist()
+            if paths.isEmpty():
+                break
     return reduce(DataFrame.unionByName, found)
 
 

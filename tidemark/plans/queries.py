@@ -367,13 +367,13 @@ def deadlock_edges(spark, sf_dir):
 
 @query(f"{CYCLES_SQL} SELECT array_to_string(cycle, '>') AS cycle, length FROM c")
 def deadlock_cycles(spark, sf_dir):
-    return _told(locks.cycles(locks.wait_for(_locks(spark, sf_dir))))
+    return _told(locks.cycles(locks.wait_for(_locks(spark, sf_dir)), longest=4))
 
 
 @query(f"{CYCLES_SQL}, n AS (SELECT tx, COUNT(*) AS n FROM l WHERE state = 'holding' GROUP BY tx), x AS (SELECT cycle, length, unnest(cycle) AS tx FROM c) SELECT array_to_string(cycle, '>') AS cycle, length, victim FROM (SELECT cycle, length, x.tx AS victim, ROW_NUMBER() OVER (PARTITION BY cycle ORDER BY COALESCE(n, 0), x.tx) AS rn FROM x LEFT JOIN n ON n.tx = x.tx) WHERE rn = 1")
 def deadlock_victims(spark, sf_dir):
     held = _locks(spark, sf_dir)
-    return _told(locks.victims(locks.cycles(locks.wait_for(held)), held))
+    return _told(locks.victims(locks.cycles(locks.wait_for(held), longest=4), held))
 
 
 @query("SELECT c_custkey, 100 + 5 * (ROW_NUMBER() OVER (ORDER BY c_custkey) - 1) AS id FROM customer")
