@@ -105,3 +105,11 @@ def test_seldom_ngrams_count_in_a_large_corpus(spark):
     rows = [*filler, (100, "rare phrase here"), (101, "rare phrase here"), (102, "phrase rare here")]
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows)).collect() if r["doc_id"] >= 100}
     assert got[100] > got[102] + 5
+
+
+def test_order_stays_with_many_words(spark):
+    """Six places among 1500 words don't fit a 62-bit number by powers of the vocabulary."""
+    many = " ".join(f"w{k}" for k in range(1500))
+    rows = [(i, t) for i, t in enumerate([many, many, "x a b c d t", "x a b c d t", "y a b c d u", "y a b c d u"])]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows), order=6).collect()}
+    assert {i: got[i] for i in range(2, 6)} == pytest.approx({i: x for i, x in backoff(rows[:], lambda i: True, 6).items() if i > 1})
