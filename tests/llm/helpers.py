@@ -5,7 +5,7 @@ import random
 import zlib
 
 #: Columns that operators use for themselves inside.
-CLASHES = ("_row", "_size", "_h", "_d", "base", "alike", "added", "shard", "at", "node", "n", "counts", "x", "score", "label", "taken", "_key", "dim", "rep")
+CLASHES = ("_e", "_i", "_n", "_doc", "_g", "_copy", "_shard", "d", "h", "again", "s", "root", "_row", "_size", "_h", "_d", "base", "alike", "added", "shard", "at", "node", "n", "counts", "x", "score", "label", "taken", "_key", "dim", "rep")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 

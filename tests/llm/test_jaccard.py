@@ -88,3 +88,39 @@ def test_keep_one(spark):
     assert kept.columns == docs.columns
     assert ids == sorted(["1", "2", "3", "None", "None", "4", "5", "7", "30"])
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
+def test_torn_group_sends_few_links(spark, monkeypatch):
+    """In a large group of near copies around the threshold, no step passes on more rows than the group's lists have."""
+    rng = random.Random(8)
+    base = words(rng, 150)
+    texts = []
+    for _ in range(1500):
+        w = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 6)):
+            w[at] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    seen = {}
+
+    def watch(name, whole):
+        def run(rows, *more):
+            out = jaccard_join.common.materialise(whole(rows, *more))
+            seen[name] = rows.count(), out.count()
+            return out
+
+        monkeypatch.setattr(jaccard_join, name, run)
+
+    watch("open_nodes", jaccard_join.open_nodes)
+    watch("links_within", jaccard_join.links_within)
+    got = jaccard_join.join(documents(spark, list(enumerate(texts))).select("doc_id", "text"), 4, 85, 100).collect()
+    want = components(list(range(len(texts))), [shingles(t, 4) for t in texts], 85, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == dict(enumerate(want))
+    assert seen and all(after <= before for before, after in seen.values())
+
+
+def test_keep_one_by_row(spark):
+    """One id on unlike texts: each group keeps one row, whatever ids other groups share."""
+    a, b = "a b c d e f g", "h i j k l m n"
+    docs = documents(spark, [(1, a), (5, a), (5, b), (None, b), (5, b), (6, "x y z")])
+    got = sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect())
+    assert got == [(1, a), (5, b), (6, "x y z")]

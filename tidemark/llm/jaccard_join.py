@@ -8,8 +8,9 @@ at most h differing elements agree in one of h + 1 parts, and parts, unlike sing
 passages that many texts share. The boundary between small and large comes from the costs of both ways on a sample.
 
 No step caps a list. A list proposes its members' links to its most posted one, which among copies is the least
-edited; only lists whose members end in different components are looked at again, between these components, and
-there a pair is passed on unless counts of the sets' elements by ranges of a hash show that they differ too much.
+edited; only lists whose members end in different components are looked at again, between these components. Counts
+of the sets' elements by ranges of a hash show which nodes may have a link left there; their sets then meet in tiles,
+where pairs are verified and merged on the spot, so that no step passes on more links than a list has members.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 1 << 20  # bytes of text that are hashed at once, but for longer texts
 #: Broadcasts of node or row ids stay under so many rows (16 bytes each); above, tables are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rows that a part of a hot list is meant to hold, and ranges whose elements are counted.
+#: Rows and bytes of sets that a part of a long list is meant to hold, and ranges whose elements are counted.
 PART = 4096
+TILE_BYTES = 32_000_000
 RANGES = 128
 U = np.uint64
 
@@ -238,7 +240,7 @@ def range_counts(grams: np.ndarray) -> bytes:
 
 
 def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """(doc_id, node, n, counts, lists) of each row; a task posts equal sets once."""
+    """(doc_id, h, node, n, counts, lists) of each row, h a hash of its text; a task posts equal sets once."""
 
     def post(batches):
         done: set[int] = set()
@@ -255,11 +257,11 @@ def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
                 sizes.append(len(grams))
                 counts.append(range_counts(grams) if new else None)
                 lists.append(scheme.lists(grams) if new else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "counts", "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "n", "counts", "lists"])
         common.give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.materialise(rows.mapInArrow(post, "doc_id long, node long, n long, counts binary, lists array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return common.materialise(rows.mapInArrow(post, "doc_id long, h long, node long, n long, counts binary, lists array<long>"))
 
 
 def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
@@ -314,48 +316,32 @@ def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return common.materialise(each.mapInArrow(runs, schema))
 
 
-def proposed(lists: DataFrame) -> DataFrame:
-    """lists with rep and rep_n, the node of each list that is posted in most of all lists (ties: the larger).
+def most_posted(lists: DataFrame) -> DataFrame:
+    """(at, rep, rep_n): the node of each list that is posted in most of all lists (ties: the larger).
 
     Sums by list and node combine within tasks, and what they are joined with is written before, so that a
     list or node with many rows can be split."""
     posts = common.materialise(lists.groupBy("node").agg(F.count(F.lit(1)).alias("posts")))
     best = lists.join(posts, "node").groupBy("at").agg(F.max(F.struct("posts", "node", "n")).alias("best"))
-    best = common.materialise(best.select("at", F.col("best.node").alias("rep"), F.col("best.n").alias("rep_n")))
-    return lists.join(best, "at")
-
-
-def between_components(lists: DataFrame, parts: DataFrame, counts: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b): pairs of one list and different components that may be linked, by sizes and counts of their elements.
-
-    Ways of a hot list meet pair by pair in tiles, so that no task holds a whole one."""
-    rooted = common.materialise(lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("way").alias("ways")).where("x <> y").select("at", "ways")
-    rows = rooted.join(common.materialise(torn), "at").join(counts, "node")
-    rows = rows.withColumn("with", F.explode(F.sequence(F.least("way", F.lit(1)), F.col("ways"))))
-    rows = rows.select("at", F.least("way", "with").alias("i"), F.greatest("way", "with").alias("j"), "way", "node", "n", "root", "counts")
-    rows = rows.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j")
-    num, den = scheme.num, scheme.den
-
-    def group(table):
-        way, node, n, root, i, j = (table.column(c).to_numpy() for c in ("way", "node", "n", "root", "i", "j"))
-        roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
-        if len(roots) < 2:
-            return
-        held = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
-        large = of == sizes.argmax()
-        for x in np.flatnonzero(~large):  # each pair once, the largest component's nodes never first
-            other = (of != of[x]) & (large | (np.arange(len(of)) > x))
-            other &= np.maximum(n, n[x]) * num <= np.minimum(n, n[x]) * den
-            if i[0] != j[0]:
-                other &= way != way[x]
-            other = np.flatnonzero(other)
-            differ = n[other] + n[x] + 2 * (-(num * (n[other] + n[x])) // (num + den))
-            other = other[np.abs(held[other] - held[x]).sum(axis=1) <= differ]
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[other])), pa.array(np.maximum(node[x], node[other]))], names=["a", "b"])
+    return common.materialise(best.select("at", F.col("best.node").alias("rep"), F.col("best.n").alias("rep_n")))
+
+
+def tiled(rows: DataFrame, weight: Column, room: int) -> DataFrame:
+    """rows (at, node, ...) dealt into tiles (at, i, j) of two parts of their list, with `way`, the part of a row.
+
+    A list's parts come from the exact sum of its rows' weights, about `room` each. Any two rows of a list meet in a
+    tile, and rows of one part meet in that of i = j only."""
+    sums = common.materialise(rows.groupBy("at").agg(F.ceil(F.sum(weight) / room).cast("int").alias("parts")))
+    rows = rows.join(sums, "at").withColumn("way", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("way", "with"), "j": F.greatest("way", "with")}).drop("with", "parts")
+    return rows.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j")
 
-    def pairs(batches):
+
+def by_tile(rows: DataFrame, judge, schema: str) -> DataFrame:
+    """What judge(table of one tile) yields, over rows that tiled() has dealt."""
+
+    def run(batches):
         held = None
         for batch in itertools.chain(batches, [None]):
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -363,22 +349,143 @@ def between_components(lists: DataFrame, parts: DataFrame, counts: DataFrame, sc
                 continue
             now = np.stack([table.column(c).to_numpy() for c in ("at", "i", "j")])
             cuts = np.concatenate([[0], np.flatnonzero((now[:, 1:] != now[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
-            done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last group may go on in the next batch
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last tile may go on in the next batch
             for a, b in itertools.pairwise(cuts[: done + 1]):
-                yield from group(table.slice(a, b - a))
+                yield from judge(table.slice(a, b - a))
             held = None if batch is None else table.slice(cuts[done])
+        common.give_back()
+
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(pairs, "a long, b long").distinct()
+class Tile:
+    """The rows of one tile, and for each of them which others it may still be linked with."""
+
+    def __init__(self, table: pa.Table, scheme: Scheme):
+        self.way, self.node, self.n, self.root, i, j = (table.column(c).to_numpy() for c in ("way", "node", "n", "root", "i", "j"))
+        self.crossing = i[0] != j[0]
+        roots, self.of, self.sizes = np.unique(self.root, return_inverse=True, return_counts=True)
+        self.num, self.den = scheme.num, scheme.den
+        self.counts = None
+
+    def parted(self) -> bool:
+        return len(self.sizes) > 1
+
+    def pairs(self, counts: np.ndarray):
+        """(x, others): each pair of different components once, the largest one's rows never first, that sizes and
+        counts by ranges allow to be linked. Components may be merged in `of` between two steps."""
+        large = self.of == self.sizes.argmax()
+        place = np.arange(len(self.of))
+        for x in np.flatnonzero(~large):
+            other = (self.of != self.of[x]) & (large | (place > x))
+            other &= np.maximum(self.n, self.n[x]) * self.num <= np.minimum(self.n, self.n[x]) * self.den
+            if self.crossing:
+                other &= self.way != self.way[x]
+            other = np.flatnonzero(other)
+            differ = self.n[other] + self.n[x] + 2 * (-(self.num * (self.n[other] + self.n[x])) // (self.num + self.den))
+            other = other[np.abs(counts[other] - counts[x]).sum(axis=1) <= differ]
+            if len(other):
+                yield x, other
+
+
+#: Of a node's torn lists, so many of the smallest keys travel with it.
+KEYS = 32
+
+
+def open_nodes(torn: DataFrame, scheme: Scheme) -> DataFrame:
+    """(at, node) of those rows of torn lists (at, node, n, root, counts, keys, rep) that may be linked with one of another component.
+
+    A pair that also meets in a list of a smaller key, by the keys both carry, is left to that list, and pairs with
+    the list's rep are known already."""
+
+    def judge(table):
+        tile = Tile(table, scheme)
+        if not tile.parted():
+            return
+        at, rep = table.column("at")[0].as_py(), table.column("rep")[0].as_py()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
+        column = table.column("keys").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        flat, ends = column.flatten().to_numpy(), column.value_lengths().to_numpy().cumsum()
+        begins = np.concatenate([[0], ends[:-1]])
+        live = np.zeros(len(tile.node), dtype=bool)
+        for x, other in tile.pairs(counts):
+            if tile.node[x] == rep:
+                continue
+            other = other[tile.node[other] != rep]
+            own = flat[begins[x] : ends[x]]
+            own = own[own < at]
+            if len(own) and len(other):
+                sizes = ends[other] - begins[other]
+                index = np.repeat(begins[other] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                hit = own[np.minimum(np.searchsorted(own, flat[index]), len(own) - 1)] == flat[index]
+                other = other[np.bincount(np.repeat(np.arange(len(other)), sizes), weights=hit, minlength=len(other)) == 0]
+            if len(other):
+                live[x] = True
+                live[other] = True
+        if live.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(live.sum(), at)), pa.array(tile.node[live])], names=["at", "node"])
+
+    return by_tile(tiled(torn, F.lit(1), PART), judge, "at long, node long").distinct()
+
+
+def links_within(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links that join components within tiles of rows (at, node, n, root, grams), by exact intersections.
+
+    A tile's components are merged as links are found, so it returns fewer links than it has rows."""
+
+    def judge(table):
+        tile = Tile(table, scheme)
+        if not tile.parted():
+            return
+        sets = [x.values.to_numpy().view(np.uint64) for x in table.column("grams")]
+        counts = np.stack([np.frombuffer(range_counts(s), dtype=np.uint8) for s in sets]).astype(np.int16)
+        a, b = [], []
+        for x, other in tile.pairs(counts):
+            own = sets[x]
+            for y in other:
+                if tile.of[y] == tile.of[x]:
+                    continue
+                least = scheme.overlap(len(own), len(sets[y]))
+                both = (own[np.minimum(np.searchsorted(own, sets[y]), len(own) - 1)] == sets[y]).sum()
+                if both >= least:
+                    a.append(tile.node[x])
+                    b.append(tile.node[y])
+                    tile.of[tile.of == tile.of[x]] = tile.of[y]
+        if a:
+            a, b = np.array(a), np.array(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return by_tile(tiled(rows, F.col("n") * 8 + 64, TILE_BYTES), judge, "a long, b long").distinct()
+
+
+def between_components(lists: DataFrame, best: DataFrame, parts: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """(a, b): links between different components of one list, enough to join all components that lists can join.
+
+    Lists whose nodes but the rep are in one component are done. In the others, two passes over tiles find which
+    nodes may have a link left, by sizes and counts, and then, with these nodes' sets, the links."""
+    rooted = lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")).select("at", "node", "n", "root")
+    rooted = common.materialise(rooted.join(best.select("at", "rep"), "at"))
+    others = F.when(F.col("node") != F.col("rep"), F.col("root"))
+    torn = common.materialise(rooted.groupBy("at").agg(F.min(others).alias("x"), F.max(others).alias("y")).where("x <> y").select("at"))
+    torn_rows = common.materialise(rooted.join(torn, "at"))
+    keys = torn_rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("at")), 1, KEYS).alias("keys"))  # a node's own lists
+    counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
+    own = common.materialise(keys.join(counts, "node"))
+    live = common.materialise(open_nodes(torn_rows.join(own, "node"), scheme))
+    if live.isEmpty():
+        return live.select(F.col("at").alias("a"), F.col("node").alias("b"))
+    held = sets_of(live.select("node").distinct(), docs, rows, k)
+    return common.materialise(links_within(torn_rows.join(live, ["at", "node"]).join(held, "node").select("at", "node", "n", "root", "grams"), scheme))
 
 
 def compatible(scheme: Scheme, a: str, b: str) -> Column:
     return F.greatest(a, b) * scheme.num <= F.least(a, b) * scheme.den
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes whose sets are linked, by their exact intersection."""
-    nodes = common.materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    one = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("_d"))
+def sets_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(node, grams) of distinct nodes, from one text of each."""
+    one = rows.join(common.materialise(nodes), "node").groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("x")).select(F.col("x.doc_id").alias("_d"), F.col("x.h").alias("_h"))
     one = common.materialise(one.distinct())
     wanted = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
 
@@ -388,9 +495,14 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme:
             yield pa.RecordBatch.from_arrays([pa.array([node_of(g) for g in found], pa.int64()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], names=["node", "grams"])
         common.give_back()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d"))).select("text")
-    # Rows that share an id may bring further sets, and equal ones; a node needs one.
-    held = common.materialise(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("text")
+    # Repeated rows bring equal sets; a node needs one.
+    return common.materialise(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes whose sets are linked, by their exact intersection."""
+    held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, rows, k)
     left = held.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = held.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
@@ -410,49 +522,50 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     space, A-Z in lower case; all words where there are fewer than k) is num / den or more. component_id is the
     smallest doc_id that links reach. Texts that are null or without words are empty and link with nothing.
     Rows that share an id are told apart by their texts; rows without an id take part, but have no component of
-    their own. N-grams, sets and lists are told apart by 64-bit hashes."""
+    their own. Further columns are not read. N-grams, sets and lists are told apart by 64-bit hashes."""
     with common.scratch(docs.sparkSession):
-        return _join(docs, k, num, den)
+        out = grouped(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        return common.materialise(out, outer=True)
 
 
-def _join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per row of docs: doc_id, h (a hash of its text), n, root (a number of its component; null for an empty set) and
+    component, its smallest doc_id."""
     scheme = choose_scheme(docs, k, num, den)
     rows = posted(docs, k, scheme)
     lists = members(rows, scheme)
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep_doc"))
-    first = common.materialise(ordered(proposed(lists).where(compatible(scheme, "n", "rep_n")), "node", "rep"))
+    nodes = common.materialise(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep_doc")))
+    best = most_posted(lists)
+    first = common.materialise(ordered(lists.join(best, "at").where(compatible(scheme, "n", "rep_n")), "node", "rep"))
     links = verified(first, docs, rows, k, scheme)
     parts = common.connected_components(links)
-    counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
-    more = between_components(lists, parts, counts, scheme)
-    more = common.materialise(more.join(first, ["a", "b"], "left_anti"))
+    more = between_components(lists, best, parts, docs, rows, k, scheme)
     if not more.isEmpty():
-        links = links.unionByName(verified(more, docs, rows, k, scheme))
-        parts = common.connected_components(links)
+        parts = common.connected_components(links.unionByName(more))
     least = common.materialise(parts.join(nodes, "node").groupBy("root").agg(F.min("rep_doc").alias("component")))
-    named = parts.join(least, "root").select("node", "component")
-    named = common.materialise(nodes.join(named, "node", "left").select(F.col("node").alias("_n"), F.coalesce("component", "rep_doc").alias("component")))
-    out = rows.select("doc_id", "node", "n").join(named, (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left")
-    return common.materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), outer=True)
+    named = parts.join(least, "root").select("node", "root", "component")
+    named = nodes.join(named, "node", "left").select(F.col("node").alias("_n"), F.coalesce("root", "node").alias("root"), F.coalesce("component", "rep_doc").alias("component"))
+    out = rows.select("doc_id", "h", "node", "n").join(common.materialise(named), (F.col("node") == F.col("_n")) & (F.col("n") > 0), "left")
+    return out.select("doc_id", "h", "n", "root", "component")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of docs, all columns, but for those that are near copies of a row with a smaller id.
-
-    Of rows with words that share an id, the one with the smallest text stays. Empty texts and rows without an id
-    all stay."""
-    names = docs.columns
-    found = common.materialise(join(docs.select("doc_id", "text"), k, num, den).where("n_shingles > 0 AND doc_id IS NOT NULL"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
-    again = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d")
-    gone, again = common.materialise(gone), common.materialise(again)
-    same = lambda side: F.col("doc_id") == side["_d"]
-    dropped = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(dropped, same(dropped), "left_anti")
-    if again.isEmpty():
-        return kept.select(*names)
-    # An id that several rows of one component share: the first of its texts stays, and its empty ones.
-    twice = kept.join(again, same(again), "left_semi").withColumn("_e", F.coalesce(~F.col("text").rlike(common.WORD), F.lit(True)))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_e").orderBy("text"))
-    ones = twice.where("_e").select(*names).unionByName(twice.where("NOT _e").withColumn("_i", first).where("_i = 1").select(*names))
-    return kept.join(again, same(again), "left_anti").select(*names).unionByName(ones)
+    """The rows of docs, all columns of any name: of each group of near copies, one row, and all rows without words.
+
+    The row of the smallest id stays (null last), of several the one whose text has the smallest hash, and of equal
+    ones the first by all their columns as JSON."""
+    with common.scratch(docs.sparkSession):
+        found = common.materialise(grouped(docs.select("doc_id", "text"), k, num, den).where("n > 0").select(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h").alias("x"), "root"))
+        stay = common.materialise(found.groupBy("root").agg(F.min("x").alias("s")))
+        each = found.groupBy("root", "x").agg(F.count(F.lit(1)).alias("times")).join(stay, "root")
+        # A row that isn't the one to stay, or the one to stay where it is repeated.
+        over = each.where((F.col("x") != F.col("s")) | (F.col("times") > 1))
+        over = common.materialise(over.select(F.col("x.doc_id").alias("d"), F.col("x.h").alias("h"), (F.col("x") == F.col("s")).alias("again")).distinct(), outer=True)
+    rows = docs.select(common.packed(docs).alias("_doc"))
+    listed = F.broadcast(over) if over.count() <= BROADCAST_ROWS else over
+    met = rows.join(listed, F.col("_doc.doc_id").cast("long").eqNullSafe(F.col("d")) & (F.xxhash64("_doc.text") == F.col("h")), "left")
+    kept = met.where("again IS NULL").select("_doc.*")
+    if over.where("again").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("d", "h").orderBy(F.to_json("_doc")))
+    return kept.unionByName(met.where("again").withColumn("_i", first).where("_i = 1").select("_doc.*"))
