@@ -1,12 +1,11 @@
 import collections
 import math
 
-import numpy as np
 import pytest
 from helpers import awkward, crc, documents
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, lm_scoring, queries
+from tidemark.llm import lm_scoring, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,21 +42,6 @@ def test_base_is_exact_for_any_share(spark, share):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, train) and got[i]["base_score"] == pytest.approx(base)
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = documents(spark, [(1, "a b a b a c d"), (2, "b a b e"), (3, ""), (4, "a b c d e a b")])
-    words = common.materialise(lm_scoring.word_counts(docs))
-    model, numbers, facts = lm_scoring.fit(words, docs, 1e-6, 1e-6, 3, 0.75)
-    rare = facts["distinct"] - len(numbers) - 1 + 1  # and one never seen
-    histories = [[], [numbers[b"a"]], [numbers[b"a"], numbers[b"b"]], [lm_scoring.RARE], [numbers[b"b"], numbers[b"a"]], [lm_scoring.RARE, numbers[b"a"]]]
-    for history in histories:
-        total = 0.0
-        for w in range(model.vocabulary):
-            x = np.array([*history, w])
-            total += 10 ** model.walk(x, np.array([len(x)]))[-1] * (rare if w == lm_scoring.RARE else 1)
-        assert total == pytest.approx(1)
-    assert model.order == 3 and len(model.keys[1]) > 0
-
-
 def test_nothing_to_learn(spark):
     docs = documents(spark, awkward())
     got = lm_scoring.score(docs, F.lit(False)).collect()
@@ -65,8 +49,8 @@ def test_nothing_to_learn(spark):
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
-def backoff(rows, learns, order=3, least=2, d=0.75):
-    """Plain backoff model of all n-grams that occur `least` times: id to score."""
+def plain_model(rows, learns, order=3, least=2, d=0.75):
+    """Plain backoff model of all n-grams that occur `least` times: (probability of an n-gram's last word, training words)."""
     seen = [collections.Counter() for _ in range(order + 1)]
     for i, t in rows:
         x = tokens(t)
@@ -79,12 +63,16 @@ def backoff(rows, learns, order=3, least=2, d=0.75):
     def p(g):
         if len(g) == 1:
             return (seen[1][g] + 0.5) / (total + 0.5 * (v + 1))
-        return (kept[len(g)][g] - d) / seen[len(g) - 1][g[:-1]] if g in kept[len(g)] else fail(g[:-1]) * p(g[1:])
+        h, after = g[:-1], [c for k, c in kept[len(g)].items() if k[:-1] == g[:-1]]
+        fail = 1 - sum(c - d for c in after) / seen[len(h)][h] if after else 1
+        arc = (kept[len(g)][g] - d) / seen[len(h)][h] if g in kept[len(g)] else 0
+        return arc + fail * p(g[1:])
 
-    def fail(h):
-        after = [g for g in kept[len(h) + 1] if g[:-1] == h]
-        return (1 - sum(p(g) for g in after)) / (1 - sum(p(g[1:]) for g in after))
+    return p, [g[0] for g in seen[1]]
 
+
+def backoff(rows, learns, order=3):
+    p, _ = plain_model(rows, learns, order)
     out = {}
     for i, t in rows:
         x = tokens(t)
@@ -92,11 +80,22 @@ def backoff(rows, learns, order=3, least=2, d=0.75):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_scores_of_all_repeated_ngrams(spark, order):
-    rows = [(1, "a b a b a c d"), (2, "b A b e"), (3, ""), (4, "a b c d e a b"), (5, "x y z\u00e9 a b\tq"), (6, "x y z\u00e9 a b"), (7, None), (8, "never seen a b a")]
-    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows), F.col("doc_id") != 8, order=order).collect()}
-    assert got == pytest.approx(backoff(rows, lambda i: i != 8, order))
+SMALL = [(1, "a b a b a c d"), (2, "b A b e"), (3, ""), (4, "a b c d e a b"), (5, "x y z\u00e9 a b\tq"), (6, "x y z\u00e9 a b"), (7, None), (8, "never seen a b a")]
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.08, 1.0])
+@pytest.mark.parametrize("order,hot", [(1, 500_000), (2, 2), (3, 500_000), (3, 2), (4, 3)])
+def test_scores_of_all_repeated_ngrams(spark, monkeypatch, order, hot, share):
+    """hot: histories that occur so often are counted in several groups; share: which words travel with the plan."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, SMALL), F.col("doc_id") != 8, share=share, order=order).collect()}
+    assert got == pytest.approx(backoff(SMALL, lambda i: i != 8, order))
+
+
+def test_probabilities_sum_to_one():
+    p, words = plain_model(SMALL, lambda i: True)
+    for history in [(), (b"a",), (b"a", b"b"), (b"nowhere",), (b"b", b"a")]:
+        assert sum(p((*history, w)) for w in [*words, b"unseen"]) == pytest.approx(1)
 
 
 def test_seldom_ngrams_count_in_a_large_corpus(spark):

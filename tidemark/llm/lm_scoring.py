@@ -1,13 +1,15 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words are counted over all training texts and all kept, as are n-grams that occur at least twice, so the states grow
-with the corpus. An arc for a word leads from its history to the longest kept suffix, and a failure arc, which costs
-the state's backoff weight, leads to the next shorter history. Probabilities are smoothed by absolute discounting.
-
-States are a written table. Each carries what it adds to the log-probability of a place over its shorter suffixes, so
-that a text's score is a sum over its places and orders, each looked up on its own: n-grams go to buckets by their
-hash, in which numpy finds them among the states, and sums by text come back. An n-gram is keyed by a 64-bit hash of
-its history's key and its last word's. fit() makes the same automaton in memory from small corpora.
+The states are the histories of all n-grams that occur at least twice in the training texts, so they grow with the
+corpus. The arc of a word leads from its history to the longest kept suffix and weighs its smoothed probability; the
+failure arc of a history, which weighs what smoothing took from its arcs, leads to the next shorter one. Probabilities
+interpolate absolute discounting: p(w | h) = max(n - d, 0) / c + fail(h) p(w | shorter h), which sums to one.
+
+States are a written table. Each carries what it adds to the log-probability of a place over its shorter suffixes, and
+the weight of its own failure arc, which the walk pays at the next place if it leaves from there. So the sum that a
+left-to-right walk carries along a text is one over its places and orders, and each is looked up on its own: n-grams go
+to buckets by their hash, in which numpy finds them among the states, and sums by text come back. A word is keyed by a
+64-bit hash, an n-gram by one of its history's key and its tail's.
 """
 
 from __future__ import annotations
@@ -24,205 +26,25 @@ from tidemark.llm import common
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-END = b"\n"  # white space, so no word is equal to it
-#: Entries a counting task holds before it sends them on.
-HELD = 400_000
-#: Places that are counted or scored at once.
-BLOCK = 1_000_000
-RARE, STOP = 0, 1  # the first two word numbers: any word that isn't kept, and the end of a text
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all texts, the end of each text included; tasks send partial sums."""
-
-    def count(batches):
-        held: dict[bytes, int] = {}
-
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-
-        for batch in batches:
-            for text in common.text_bytes(batch.column("text")):
-                for word in text.lower().split():
-                    held[word] = held.get(word, 0) + 1
-                held[END] = held.get(END, 0) + 1
-                if len(held) >= HELD:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def numbered(texts: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, an end after each, and how many places each text has."""
-    flat: list[int] = []
-    sizes = []
-    get = numbers.get
-    for text in texts:
-        words = text.lower().split()
-        flat += [get(w, RARE) for w in words]
-        flat.append(STOP)
-        sizes.append(len(words) + 1)
-    return np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
-
-
-def histories(x: np.ndarray, sizes: np.ndarray, order: int, vocabulary: int) -> list[np.ndarray]:
-    """Keys of the n-grams that end at each place, orders 2 to order; -1 where they would reach over a text's begin or a rare word."""
-    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(x)) - begins
-    out, key, fine = [], x.copy(), x != RARE
-    scale = 1
-    for n in range(2, order + 1):
-        scale *= vocabulary
-        key, fine = key.copy(), fine.copy()
-        key[n - 1 :] += x[: len(x) - n + 1] * scale
-        fine[n - 1 :] &= x[: len(x) - n + 1] != RARE
-        fine &= place >= n - 1
-        out.append(np.where(fine, key, -1))
-    return out
-
-
-def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are in the sorted array known."""
-    if not len(known):
-        return np.zeros(len(keys), dtype=bool)
-    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
-
-
-def gram_counts(texts: DataFrame, numbers: dict[bytes, int], n: int, known: np.ndarray) -> DataFrame:
-    """(gram, n) of the n-grams whose first and last n - 1 words are both in known; tasks send partial sums."""
-    vocabulary = len(numbers) + 2
-
-    def count(batches):
-        held, seen = [], 0
-
-        def flush():
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["gram", "n"])
-
-        for batch in batches:
-            x, sizes = numbered(common.text_bytes(batch.column("text")), numbers)
-            keys = histories(x, sizes, n, vocabulary)
-            last = among(x if n == 2 else keys[n - 3], known)
-            fine = (keys[n - 2] >= 0) & last
-            fine[1:] &= last[:-1]
-            held.append(keys[n - 2][fine])
-            seen += len(held[-1])
-            if seen >= 8 * BLOCK:
-                yield from flush()
-                seen = 0
-        if held:
-            yield from flush()
-
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States and arcs in sorted arrays: for each order, n-gram keys, log10 probabilities, and backoff weights."""
-
-    def __init__(self, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], rare_words: float, order: int, discount: float):
-        """counts: of word numbers; grams: (keys, counts) by order; rare_words: number of distinct words that aren't kept."""
-        self.order, self.vocabulary = order, len(counts)
-        v = self.vocabulary
-        # One half is added to each word's count, and to that of a word never seen.
-        total = counts.sum() + 0.5 * (v - 1 + rare_words + 1)
-        word = (counts + 0.5) / total
-        word[RARE] = (counts[RARE] + 0.5 * (rare_words + 1)) / total / (rare_words + 1)  # each rare word alike
-        self.word = np.log10(word)
-        self.keys, self.arcs, self.fail = [], [], [np.zeros(v)]
-        context, lower = counts.astype(np.float64), word
-        for n in range(2, order + 1):
-            keys, got = grams.get(n, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            by = np.argsort(keys)
-            keys, got = keys[by], got[by].astype(np.float64)
-            tail = keys % v ** (n - 1)  # the n-gram without its first word
-            head = self.rank(keys // v, n - 1)  # its history
-            below = lower[self.rank(tail, n - 1)]
-            free = np.bincount(head, weights=got - discount, minlength=len(context))
-            taken = np.bincount(head, weights=below, minlength=len(context))
-            kept = np.where(context > 0, free / np.maximum(context, 1), 0.0)
-            self.fail[-1] = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - taken, 1e-12))
-            p = (got - discount) / context[head] if len(got) else got
-            self.keys.append(keys)
-            self.arcs.append(np.log10(np.maximum(p, 1e-300)))
-            self.fail.append(np.zeros(len(keys)))
-            context, lower = got, p
-
-    def rank(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Where keys of order n stand among its states; they are known to be there."""
-        return keys if n == 1 else np.searchsorted(self.keys[n - 2], keys)
-
-    def place(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Where keys of order n stand among its states, or -1."""
-        states = self.keys[n - 2]
-        if not len(states):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(states, keys), len(states) - 1)
-        return np.where(states[at] == keys, at, -1)
-
-    def walk(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probability of each place of the texts: the arc of the longest state that has it, and the failure arcs before."""
-        found = [self.place(k, n) for n, k in enumerate(histories(x, sizes, self.order, self.vocabulary), 2)]
-        first = np.zeros(len(x), dtype=bool)
-        first[np.cumsum(sizes) - sizes] = True
-        out = self.word[x]
-        done = np.zeros(len(x))  # what failure arcs cost so far, from the shortest history on
-        for n in range(2, self.order + 1):
-            # The state carried here: the order n - 1 history that ends at the place before.
-            state = np.full(len(x), -1)
-            state[1:] = (x if n == 2 else found[n - 3])[:-1]
-            state[first] = -1
-            there = state >= 0
-            if n == 2:
-                there &= state != RARE
-            at = found[n - 2]
-            down = np.where(there, self.fail[n - 2][np.maximum(state, 0)] if len(self.fail[n - 2]) else 0.0, 0.0)
-            done += down
-            arc = at >= 0
-            out = np.where(arc, self.arcs[n - 2][np.maximum(at, 0)] if len(self.arcs[n - 2]) else 0.0, np.where(there, out + down, out))
-        return out
-
-
-def fit(words: DataFrame, texts: DataFrame, share: float, gram_share: float, order: int, discount: float) -> tuple[Automaton, dict[bytes, int], dict]:
-    """The automaton, the numbers of kept words and their exact counts, from word_counts() and the training texts.
-
-    Words with n >= share * tokens are at most 1 / share many, n-grams of an order with n >= gram_share * tokens at
-    most 1 / gram_share; both travel with the plan. The two shorter n-grams in an n-gram are at least as frequent as
-    it, so counting order by order those whose parts are kept loses none."""
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).collect()[0]
-    tokens, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
-    least, least_gram = (max(2, int(np.ceil(x * tokens))) for x in (share, max(share, gram_share)))
-    kept = words.where((F.col("n") >= least) & (F.col("word") != END)).orderBy("word").toArrow()
-    names, n = kept.column("word").to_pylist(), kept.column("n").to_numpy()
-    numbers = {w: i + 2 for i, w in enumerate(names)}
-    counts = np.concatenate([[tokens - ends - n.sum(), ends], n]).astype(np.int64)
-    known = np.flatnonzero(counts >= least_gram)
-    known = known[known != RARE]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in range(2, order + 1):
-        if len(counts) ** size >= 1 << 62 or not len(known):  # a key must fit a long
-            break
-        found = gram_counts(texts, numbers, size, known).where(F.col("n") >= least_gram).orderBy("gram").toArrow()
-        grams[size] = (found.column("gram").to_numpy(), found.column("n").to_numpy())
-        known = grams[size][0]
-    rare = distinct - len(names) - (1 if ends else 0)
-    model = Automaton(counts, grams, float(rare), max([1, *grams]), discount)
-    return model, numbers, {"tokens": int(tokens), "distinct": int(distinct), "counts": counts}
+#: Places that a task counts before it sends their sums on; occurrences from which a history is dealt to several groups.
+BLOCK, HOT = 2_000_000, 500_000
+#: Bytes of text that are hashed at once, and that fall to one bucket of states.
+BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
+#: Parts that the texts are scored in, one after the other, as n-grams on their way fill the disk.
+PARTS = 4
+U = np.uint64
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads each bit over all."""
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+    z = (z ^ (z >> U(30))) * U(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> U(27))) * U(0x94D049BB133111EB)
+    return z ^ (z >> U(31))
 
 
-def extended(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of histories with a word behind."""
-    return mixed(history * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
+def extended(history: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their words but the last and of their words but the first."""
+    return mixed(history * U(0x9E3779B97F4A7C15) + tail * U(0xD6E8FEB86659FD93) + U(0xA0761D6478BD642F))
 
 
 STEP = 0xF1357AEA2E62A9C5
@@ -230,7 +52,7 @@ BYTE = np.random.default_rng(9).integers(1, 1 << 64, 256, dtype=np.uint64)
 BYTE[65:91] = BYTE[97:123]  # A-Z count as lower case
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
-END_KEY = np.uint64(0x2545F4914F6CDD1D)
+END_KEY = U(0x2545F4914F6CDD1D)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -269,265 +91,385 @@ def blocks(texts: list[bytes], limit: int):
 
 
 def runs(x: np.ndarray, sizes: np.ndarray, order: int):
-    """For orders from 2 on, (places, histories' keys, last words' keys) of the n-grams that lie within a text."""
+    """For orders from 2 on, (places, histories' keys, tails' keys) of the n-grams that lie within a text."""
     place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    history = x
+    key = x
     for n in range(2, order + 1):
         at = np.flatnonzero(place >= n - 1)
-        yield at, history[at - 1], x[at]
+        yield at, key[at - 1], key[at]
         longer = np.zeros_like(x)
-        longer[at] = extended(history[at - 1], x[at])
-        history = longer
+        longer[at] = extended(key[at - 1], key[at])
+        key = longer
 
 
-def borders_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n buckets begins in sorted keys, and their end."""
-    return np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
+def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each key, of n."""
+    return ((keys >> U(32)) * U(n) >> U(32)).astype(np.int64)
 
 
-def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of each key; a larger key is in no smaller bucket."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def packs(group: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """The groups there are, and each array's part for each of them."""
+    by = np.argsort(group, kind="stable")
+    own, begins = np.unique(group[by], return_index=True)
+    cut = [*begins.tolist(), len(group)]
+    return own.tolist(), [[a[cut[i] : cut[i + 1]].tobytes() for i in range(len(own))] for a in (x[by] for x in arrays)]
+
+
+def batch_of(group: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
+    """A row per group with each array's part, packed."""
+    own, parts = packs(group, *arrays.values())
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", *arrays])
+
 
+def unpacked(column, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=kind)
 
-def longs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
 
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, with sums of their values."""
+    own, back = np.unique(keys, return_inverse=True)
+    return own, [np.bincount(back, weights=v, minlength=len(own)) for v in values]
 
-def kept_grams(texts: DataFrame, n: int, least: int, buckets: int) -> DataFrame:
-    """(h, w, key, n): n-grams with at least `least` occurrences; h is the history's key, w the last word's. Tasks send
-    sums of some million places, packed by bucket."""
+
+class Known:
+    """Sorted keys with values, few enough to travel with the plan."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, self.values = keys[by], [v[by] for v in values]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are here, where each of them is)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, at
+
+
+class Groups:
+    """Where n-grams are counted: by their history's bucket, or for a hot history, by tail in several groups of its own."""
+
+    def __init__(self, buckets: int, hot: Known):
+        self.buckets, self.hot = buckets, hot
+        self.ways = -(-hot.values[0].astype(np.int64) // HOT)
+        self.first = buckets + np.cumsum(self.ways) - self.ways
+
+    def of(self, history: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        group = bucket_of(history, self.buckets)
+        hit, at = self.hot.find(history)
+        at = at[hit]
+        group[hit] = self.first[at] + (mixed(tail[hit]) % self.ways[at].astype(np.uint64)).astype(np.int64) if len(at) else 0
+        return group
+
+
+def counted(texts: DataFrame, keys_of, group_of, names: list[str], add, schema: str) -> DataFrame:
+    """add()'s table of each group of what keys_of() finds in the texts. A task sums up some million places before it sends them."""
 
     def send(batches):
         held, seen = [], 0
 
         def flush():
-            h, w = (np.concatenate(a) for a in zip(*held, strict=True))
+            arrays = [np.concatenate(a) for a in zip(*held, strict=True)]
             held.clear()
-            keys, first, times = np.unique(extended(h, w), return_index=True, return_counts=True)
-            h, w, cut = h[first], w[first], borders_of(keys, buckets)
-            own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            packs = [pa.array([a[cut[b] : cut[b + 1]].tobytes() for b in own], pa.binary()) for a in (h, w, times.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *packs], names=["bucket", "h", "w", "n"])
+            _, first, times = np.unique(extended(*arrays) if len(arrays) > 1 else arrays[0], return_index=True, return_counts=True)
+            arrays = [a[first] for a in arrays]
+            return batch_of(group_of(*arrays), **dict(zip(names, arrays, strict=True)), n=times.astype(np.int32))
 
         for batch in batches:
             data = common.text_bytes(batch.column("text"))
             for begin, end in blocks(data, BLOCK_BYTES):
-                *_, (_, h, w) = runs(*hashed(data[begin:end]), n)
-                held.append((h, w))
-                seen += len(h)
-                if seen >= 2 * BLOCK:
-                    yield from flush()
+                held.append(keys_of(*hashed(data[begin:end])))
+                seen += len(held[-1][0])
+                if seen >= BLOCK:
+                    yield flush()
                     seen = 0
-        if held:
-            yield from flush()
+        if seen:
+            yield flush()
         common.give_back()
 
+    sent = texts.select("text").mapInArrow(send, f"bucket int, {', '.join(f'{x} binary' for x in names)}, n binary")
+    return common.materialise(sent.groupBy("bucket").applyInArrow(add, schema))
+
+
+def word_sums(texts: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, key, n, tokens, words): all words of a bucket with their counts, packed, and the sums of both."""
+
     def add(table):
-        h, w, times = longs(table.column("h")), longs(table.column("w")), longs(table.column("n"))
-        keys, first, back = np.unique(extended(h, w), return_index=True, return_inverse=True)
-        sums = np.bincount(back, weights=times, minlength=len(keys)).astype(np.int64)
-        fine = sums >= least
-        first = first[fine]
-        return pa.table({"h": h[first].view(np.int64), "w": w[first].view(np.int64), "key": keys[fine].view(np.int64), "n": sums[fine]})
+        keys, (n,) = summed(unpacked(table.column("key")), unpacked(table.column("n"), np.int32))
+        return pa.table({
+            "bucket": table.column("bucket")[:1], "key": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary()),
+            "tokens": pa.array([int(n.sum())]), "words": pa.array([len(keys)]),
+        })
+
+    return counted(texts, lambda x, sizes: (x,), lambda keys: bucket_of(keys, buckets), ["key"], add, "bucket int, key binary, n binary, tokens long, words long")
 
-    sent = texts.select("text").mapInArrow(send, "bucket int, h binary, w binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(add, "h long, w long, key long, n long")
 
+def gram_sums(texts: DataFrame, order: int, least: int, discount: float, groups: Groups) -> DataFrame:
+    """One row per group: of, tail, n of the n-grams that occur `least` times; history, c, free of their histories (`of` points
+    there): all occurrences, and what discounting leaves to arcs. A hot history's groups have parts of its c and free."""
+    buckets = groups.buckets
 
-def with_keys(words: DataFrame) -> DataFrame:
-    """words with `key`."""
+    def keys_of(x, sizes):
+        *_, (_, history, tail) = runs(x, sizes, order)
+        return history, tail
 
-    def add(batches):
+    def add(table):
+        group = table.column("bucket")[0].as_py()
+        history, tail = unpacked(table.column("history")), unpacked(table.column("tail"))
+        _, first, back = np.unique(extended(history, tail), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=unpacked(table.column("n"), np.int32))
+        history, tail = history[first], tail[first]
+        kept = n >= least
+        own, of = np.unique(history, return_inverse=True)
+        c = np.bincount(of, weights=n, minlength=len(own))
+        free = np.bincount(of[kept], weights=n[kept] - discount, minlength=len(own))
+        is_hot = group >= buckets
+        used = np.ones(1, dtype=bool) if is_hot else np.bincount(of[kept], minlength=len(own)) > 0
+        of = (np.cumsum(used) - 1)[of[kept]]
+        out = {"of": of.astype(np.int32), "tail": tail[kept], "n": n[kept].astype(np.int64), "history": own[used], "c": c[used], "free": free[used]}
+        return pa.table({
+            "bucket": pa.array([group], pa.int32()), **{k: pa.array([v.tobytes()], pa.binary()) for k, v in out.items()},
+            "hot": pa.array([int(own[:1].view(np.int64)[0]) if is_hot else None], pa.int64()), "hot_c": pa.array([float(c[0])]), "hot_free": pa.array([float(free[0])]),
+        })
+
+    schema = "bucket int, of binary, tail binary, n binary, history binary, c binary, free binary, hot long, hot_c double, hot_free double"
+    return counted(texts, keys_of, groups.of, ["history", "tail"], add, schema)
+
+
+class Histories:
+    """Reads gram_sums() rows, with the whole sums of hot histories."""
+
+    def __init__(self, sums: DataFrame, discount: float):
+        hot = sums.where("hot IS NOT NULL").groupBy("hot").agg(F.sum("hot_c").alias("c"), F.sum("hot_free").alias("free"), F.min("bucket").alias("lead")).toArrow()
+        columns = [hot.column(c).to_numpy() for c in ("c", "free", "lead")]  # at most as many rows as Groups has hot histories
+        self.hot, self.discount = Known(hot.column("hot").to_numpy().view(np.uint64), *columns), discount
+
+    def read(self, row: dict):
+        """(history of each n-gram, tail, n, arc, fail, histories, their fails, whether this row speaks for them)."""
+        of, n = np.frombuffer(row["of"], np.int32), np.frombuffer(row["n"], np.int64)
+        own, c, free = np.frombuffer(row["history"], np.uint64), np.frombuffer(row["c"]), np.frombuffer(row["free"])
+        lead = True
+        if row["hot"] is not None:
+            _, at = self.hot.find(own)
+            c, free = self.hot.values[0][at], self.hot.values[1][at]
+            lead = self.hot.values[2][at[0]] == row["bucket"]
+        fail = 1 - free / c
+        return own[of], np.frombuffer(row["tail"], np.uint64), n, (n - self.discount) / c[of], fail[of], own, fail, lead
+
+
+ENTRY = "bucket int, key binary, more binary, base binary"
+
+
+def fails(sums: DataFrame, histories: Histories, buckets: int) -> DataFrame:
+    """Entries (bucket, key, more, base) with the failure arcs of all histories."""
+
+    def each(batches):
         for batch in batches:
-            names = batch.column("word").to_pylist()
-            keys = np.array([END_KEY if w == END else 0 for w in names], dtype=np.uint64)
-            keys[keys == 0] = hashed([w for w in names if w != END])[0].reshape(-1)[::2]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=[*batch.schema.names, "key"])
+            for row in batch.to_pylist():
+                *_, own, fail, lead = histories.read(row)
+                if lead and len(own):
+                    own, fail = own[fail < 1], np.log10(fail[fail < 1])
+                    yield batch_of(bucket_of(own, buckets), key=own, more=fail, base=np.zeros(len(own)))
+
+    return sums.mapInArrow(each, ENTRY)
 
-    return words.mapInArrow(add, "word binary, n long, key long")
 
+def arcs(sums: DataFrame, histories: Histories, shorter: DataFrame, known: Known, buckets: int) -> DataFrame:
+    """(bucket, key, n, p, more), packed: n-grams with their probabilities and what they add to their tails'.
 
-def with_tail(grams: DataFrame) -> DataFrame:
-    """grams with `tail`, the key without the first word, from `before`, that of the history."""
+    shorter: (bucket, key, p), the n-grams of one word less. Those in known, which many n-grams end in, aren't asked for
+    there; the others occur too seldom for their bucket to grow large."""
 
-    def add(batches):
+    def ask(batches):
         for batch in batches:
-            before, w = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("before", "w"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(extended(before, w).view(np.int64))], names=[*batch.schema.names, "tail"])
+            for row in batch.to_pylist():
+                history, tail, n, arc, fail, *_ = histories.read(row)
+                if not len(tail):
+                    continue
+                key = extended(history, tail)
+                hit, at = known.find(tail)
+                below = np.where(hit, known.values[0][at], np.nan) if len(known.keys) else np.full(len(key), np.nan)
+                yield batch_of(bucket_of(np.where(hit, key, tail), buckets), key=key, tail=tail, n=n, arc=arc, fail=fail, below=below)
 
-    return grams.mapInArrow(add, "h long, w long, key long, n long, c long, before long, tail long")
+    def answer(asked, held):
+        tail, n, arc, fail, below = (unpacked(asked.column(c), t) for c, t in (("tail", U), ("n", np.int64), ("arc", float), ("fail", float), ("below", float)))
+        key = unpacked(asked.column("key"))
+        keys, (p,) = summed(unpacked(held.column("key")), unpacked(held.column("p"), float))
+        below = below.copy()
+        open_ = np.isnan(below)
+        if open_.any():
+            below[open_] = p[np.searchsorted(keys, tail[open_])]  # the tail of a kept n-gram is kept
+        return pa.Table.from_batches([batch_of(bucket_of(key, buckets), key=key, n=n, p=arc + fail * below, more=np.log10(1 + arc / (fail * below)))])
 
+    asked = sums.mapInArrow(ask, "bucket int, key binary, tail binary, n binary, arc binary, fail binary, below binary").groupBy("bucket")
+    found = asked.cogroup(shorter.select("bucket", "key", "p").groupBy("bucket")).applyInArrow(lambda a, b: answer(a, b) if a.num_rows else EMPTY, "bucket int, key binary, n binary, p binary, more binary")
+    return common.materialise(found)
 
-def states(words: DataFrame, texts: DataFrame, unseen: float, order: int, least: int, discount: float, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """(bucket, key, more) of the kept n-grams, packed by bucket, and (word, n, back) of all words with the weight of
-    their failure arc; the latter stays when the scratch scope ends.
 
-    An n-gram's `more` is the log10 probability of its arc, less the failure arc of its history and the arc of its
-    tail, plus its own failure arc: a place's log-probability is the sum over the n-grams and words that end there,
-    as every n-gram but those at an end is the history of the next place."""
-    words = common.materialise(with_keys(words))
-    lower = words.select("key", "n", ((F.col("n") + 0.5) / unseen).alias("p"), F.lit(None).cast("long").alias("tail"))
-    levels, fails = [], []
-    for n in range(2, order + 1):
-        grams = common.materialise(kept_grams(texts, n, least, buckets))
-        over = grams.join(lower.select(F.col("key").alias("h"), F.col("n").alias("c"), F.col("tail").alias("before")), "h").select("h", "w", "key", "n", "c", "before")
-        over = over.withColumn("tail", F.col("w")) if n == 2 else with_tail(over)
-        over = over.join(lower.select(F.col("key").alias("tail"), F.col("p").alias("below")), "tail")
-        lower = common.materialise(over.select("key", "h", "tail", "n", "c", "below", ((F.col("n") - discount) / F.col("c")).alias("p")))
-        levels.append(lower)
-        kept = 1 - F.sum(F.col("n") - discount) / F.max("c")
-        fails.append(common.materialise(lower.groupBy("h").agg(F.log10(F.greatest(kept, F.lit(1e-12)) / F.greatest(1 - F.sum("below"), F.lit(1e-12))).alias("fail"))))
-    found = None
-    for k, level in enumerate(levels):
-        own = level.join(fails[k], "h").withColumn("more", F.log10("p") - F.log10("below") - F.col("fail")).select("key", "more")
-        if k + 1 < len(fails):
-            own = own.join(fails[k + 1].select(F.col("h").alias("key"), F.col("fail").alias("next")), "key", "left").select("key", (F.col("more") + F.coalesce("next", F.lit(0.0))).alias("more"))
-        found = own if found is None else found.unionByName(own)
-    back = words.join(fails[0].select(F.col("h").alias("key"), F.col("fail").alias("back")), "key", "left") if fails else words.withColumn("back", F.lit(0.0))
-    back = common.materialise(back.select("word", "n", F.coalesce("back", F.lit(0.0)).alias("back")), outer=True)
-    if found is None:
-        found = words.select("key", F.lit(0.0).alias("more")).limit(0)
-
-    def place(batches):
+EMPTY = pa.table({"bucket": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("key", "n", "p", "more")}})
+
+
+def picked(table: DataFrame, names: dict[str, type], choose) -> Known:
+    """Those n-grams of packed rows that choose(array of the first name's values by key) wants, on the driver."""
+
+    def each(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(keys, buckets), pa.int32()), *batch.columns], names=["bucket", *batch.schema.names])
+            key = unpacked(batch.column("key"))
+            values = [unpacked(batch.column(c), t) for c, t in names.items()]
+            want = choose(key, values[0])
+            yield pa.RecordBatch.from_arrays([pa.array(key[want].view(np.int64)), *(pa.array(v[want]) for v in values)], names=["key", *names])
 
-    def pack(table):
-        keys, more = table.column("key").to_numpy().view(np.uint64), table.column("more").to_numpy()
-        by = np.argsort(keys)
-        return pa.table({"bucket": table.column("bucket")[:1], "key": pa.array([keys[by].tobytes()], pa.binary()), "more": pa.array([more[by].tobytes()], pa.binary())})
+    kinds = {np.int64: "long", float: "double"}
+    found = table.select("key", *names).mapInArrow(each, f"key long, {', '.join(f'{c} {kinds[t]}' for c, t in names.items())}").toArrow()
+    return Known(found.column("key").to_numpy().view(np.uint64), *(found.column(c).to_numpy() for c in names))
 
-    placed = found.mapInArrow(place, "bucket int, key long, more double").groupBy("bucket")
-    return common.materialise(placed.applyInArrow(pack, "bucket int, key binary, more binary")), back
 
+def with_column(table: DataFrame, name: str, kind: type, of: str, f) -> DataFrame:
+    """Packed rows (bucket, key, of) as (bucket, key, name), name by f of `of`."""
 
-#: Bytes of text that are hashed at once.
-BLOCK_BYTES = 4_000_000
-#: Parts that the texts are scored in, one after the other, as n-grams on their way fill the disk.
-PARTS = 4
-DOC = "doc_id long, n_tokens long, common long, base double, score double, rare array<binary>, times array<long>"
-
-
-def walked_texts(rows: DataFrame, share: float, least: int, order: int, discount: float) -> tuple[DataFrame, DataFrame, int, float]:
-    """A row per text with its sums over n-grams and common words, and its rare words; (word, n, back) of all words; the
-    number of training tokens; and what a count is divided by."""
-    spark = rows.sparkSession
-    texts = rows.where("learns")
-    words = common.materialise(word_counts(texts))
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
-    n_train, unseen = sums["n"] or 0, (sums["n"] or 0) + 0.5 * (sums["v"] + 1)
-    buckets = max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_train // BLOCK)
-    model, words = states(words, texts, unseen, order, least, discount, buckets)
-    often = words.where((F.col("n") >= max(2, int(np.ceil(share * n_train)))) & (F.col("word") != END)).toArrow()
-    ends = words.where(F.col("word") == END).collect()
-    numbers = {w: i + 2 for i, w in enumerate(often.column("word").to_pylist())}
-    known = np.log10(np.concatenate([[0, ends[0]["n"] if ends else 0], often.column("n").to_numpy()]) + 0.5)
-    back = np.concatenate([[0.0, 0.0], often.column("back").to_numpy()])
+    def each(batches):
+        for batch in batches:
+            out = [f(np.frombuffer(x, kind)).tobytes() for x in batch.column(of).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("key"), pa.array(out, pa.binary())], names=["bucket", "key", name])
+
+    return table.select("bucket", "key", of).mapInArrow(each, f"bucket int, key binary, {name} binary")
+
+
+class Model:
+    """The automaton: entries, a table of all keys' (bucket, key, more, base), packed; common words with their base and
+    more, which travel with the plan; the number of training tokens; and what a word's count is divided by.
+
+    base: log10(count + 0.5) of a word, which is above 0. A key's parts stand in several rows and add up."""
+
+    def __init__(self, texts: DataFrame, share: float, least: int, order: int, discount: float):
+        spark = texts.sparkSession
+        size = texts.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+        self.buckets = buckets = max(2 * spark.sparkContext.defaultParallelism, size // BUCKET_BYTES)
+        with common.scratch(spark):
+            words = word_sums(texts, buckets)
+            sums = words.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).collect()[0]
+            self.tokens = sums["n"] or 0
+            self.unseen = unseen = self.tokens + 0.5 * ((sums["v"] or 0) + 1)
+            often = max(1.0, share * self.tokens)  # 1 / share keys at most
+            frequent = picked(words, {"n": np.int64}, lambda key, n: n >= often)
+            parts = [with_column(words, "base", np.int64, "n", lambda n: np.log10(n + 0.5)).withColumn("more", F.lit(None).cast("binary"))]
+            shorter = with_column(words, "p", np.int64, "n", lambda n: (n + 0.5) / unseen)
+            known, counts = Known(frequent.keys, (frequent.values[0] + 0.5) / unseen), frequent
+            more = np.zeros(len(frequent.keys))
+            for n in range(2, order + 1):
+                hot = counts.values[0] >= max(HOT, often)
+                grams = gram_sums(texts, n, least, discount, Groups(buckets, Known(counts.keys[hot], counts.values[0][hot])))
+                histories = Histories(grams, discount)
+                back = fails(grams, histories, buckets)
+                if n == 2:
+                    weights = picked(back, {"more": float}, lambda key, _, f=frequent: f.find(key)[0])
+                    hit, at = weights.find(frequent.keys)
+                    more[hit] = weights.values[0][at[hit]]
+                own = arcs(grams, histories, shorter, known, buckets)
+                parts += [back.withColumn("base", F.lit(None).cast("binary")), own.select("bucket", "key", "more").withColumn("base", F.lit(None).cast("binary"))]
+                if n < order:
+                    limit = max(HOT, often)
+                    found = picked(own, {"n": np.int64, "p": float}, lambda key, n, limit=limit: n >= limit)
+                    counts, known, shorter = Known(found.keys, found.values[0]), Known(found.keys, found.values[1]), own
+            entries = parts[0].select("bucket", "key", "more", "base")
+            for part in parts[1:]:
+                entries = entries.unionByName(part)
+            self.entries = common.materialise(entries, outer=True)
+        self.common = Known(frequent.keys, np.log10(frequent.values[0] + 0.5), more)
+
+
+DOC = "doc_id long, n_tokens long, n_known long, base double, score double"
+
+
+def walked(rows: DataFrame, model: Model, order: int) -> DataFrame:
+    """A row per text with its number of tokens and known ones, and the sums of what its places add to base and score."""
+    buckets, often = model.buckets, model.common
 
     def walk(batches):
-        """One row a block with its documents, and its n-grams packed by bucket."""
+        """One row a block with its documents, and the keys that it asks for packed by bucket."""
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             data, ids = common.text_bytes(batch.column("text")), batch.column("doc_id")
             for begin, end in blocks(data, BLOCK_BYTES):
-                part = data[begin:end]
-                x, sizes = numbered(part, numbers)
+                x, sizes = hashed(data[begin:end])
                 starts = np.cumsum(sizes) - sizes
-                is_rare = x == RARE
-                base = np.add.reduceat(np.where(is_rare, 0.0, known[x]), starts)
-                more = np.add.reduceat(back[x], starts)
-                here = np.add.reduceat(is_rare, starts, dtype=np.int64)
-                rare, times = [], []
-                for text, n in zip(part, here, strict=True):
-                    own: dict[bytes, int] = {}
-                    if n:
-                        for w in text.lower().split():
-                            if w not in numbers:
-                                own[w] = own.get(w, 0) + 1
-                    rare.append(list(own))
-                    times.append(list(own.values()))
+                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+                hit, at = often.find(x)
+                base, more = (np.where(hit, v[at], 0.0) if len(v) else np.zeros(len(x)) for v in often.values)
                 info = pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, end - begin), pa.array(sizes), pa.array(sizes - here), pa.array(base), pa.array(more), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_tokens", "common", "base", "score", "rare", "times"],
+                    [ids.slice(begin, end - begin), pa.array(sizes), pa.array(np.add.reduceat(hit, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(more, starts))],
+                    names=["doc_id", "n_tokens", "n_known", "base", "score"],
                 )
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, info.schema) as out:
                     out.write_batch(info)
-                x, sizes = hashed(part)
-                doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-                keys, of = zip(*((extended(h, w), doc[at]) for at, h, w in runs(x, sizes, order)), strict=True) if order > 1 else ((x[:0],), (doc[:0],))
-                keys, of = np.concatenate(keys), np.concatenate(of)
-                by = np.argsort(keys)
-                keys, of, cut = keys[by], of[by], borders_of(keys[by], buckets)
-                own = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-                packs = [[a[cut[b] : cut[b + 1]].tobytes() for b in own] for a in (keys, of)]
+                asked = [(x[~hit], doc[~hit]), *((extended(h, t), doc[at]) for at, h, t in runs(x, sizes, order))]
+                keys, of = (np.concatenate(a) for a in zip(*asked, strict=True))
+                own, (keys, of) = packs(bucket_of(keys, buckets), keys, of)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*own, block % buckets], pa.int32()), pa.array([block] * (len(own) + 1)), pa.array([*packs[0], b""], pa.binary()), pa.array([*packs[1], b""], pa.binary()), pa.array([None] * len(own) + [sink.getvalue().to_pybytes()], pa.binary())],
+                    [pa.array([*own, block % buckets], pa.int32()), pa.array([block] * (len(own) + 1)), pa.array([*keys, b""], pa.binary()), pa.array([*of, b""], pa.binary()), pa.array([None] * len(own) + [sink.getvalue().to_pybytes()], pa.binary())],
                     names=["bucket", "block", "keys", "docs", "info"],
                 )
                 block += 1
         common.give_back()
 
-    def find(asked, among_states):
+    def find(asked, entries):
         """Per block, what the bucket's states add to its documents."""
-        held = longs(among_states.column("key"))
-        more = np.frombuffer(b"".join(among_states.column("more").to_pylist()), np.float64)
+        keys, more, base = [], [], []
+        for key, m, b in zip(*(entries.column(c).to_pylist() for c in ("key", "more", "base")), strict=True):
+            keys.append(np.frombuffer(key, np.uint64))
+            more.append(np.frombuffer(m) if m else np.zeros(len(keys[-1])))
+            base.append(np.frombuffer(b) if b else np.zeros(len(keys[-1])))
+        held = Known(*(lambda k, v: (k, *v))(*summed(*(np.concatenate(a) if a else np.zeros(0) for a in (keys, more, base)))))
         where, docs_of, sums_of, infos = [], [], [], []
         for block, keys, of, info in zip(*(asked.column(c).to_pylist() for c in ("block", "keys", "docs", "info")), strict=True):
             keys, of = np.frombuffer(keys, np.uint64), np.frombuffer(of, np.int32)
-            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-            hit = held[at] == keys if len(held) else np.zeros(len(keys), dtype=bool)
+            hit, at = held.find(keys)
             if info is None and not hit.any():
                 continue
-            own, back_to = np.unique(of[hit], return_inverse=True)
+            at = at[hit]
+            own, back = np.unique(of[hit], return_inverse=True)
+            more, base = (v[at] for v in held.values)
             where.append(block)
             docs_of.append(own.tobytes())
-            sums_of.append(np.bincount(back_to, weights=more[at[hit]], minlength=len(own)).tobytes() if len(own) else b"")
+            sums_of.append(np.stack([np.bincount(back, weights=v, minlength=len(own)) for v in (base > 0, base, more)], axis=1).tobytes() if len(own) else b"")
             infos.append(info)
         return pa.table({"block": pa.array(where, pa.int64()), "docs": pa.array(docs_of, pa.binary()), "sums": pa.array(sums_of, pa.binary()), "info": pa.array(infos, pa.binary())})
 
     def gather(table):
         """A block's documents with their sums."""
-        info = next(x for x in table.column("info").to_pylist() if x is not None)
-        own = pa.ipc.open_stream(info).read_all()
-        of = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int32)
-        sums = np.frombuffer(b"".join(table.column("sums").to_pylist()), np.float64)
-        total = own.column("score").to_numpy() + np.bincount(of, weights=sums, minlength=own.num_rows)
-        return own.set_column(own.schema.get_field_index("score"), "score", pa.array(total))
-
-    walked = None
+        own = pa.ipc.open_stream(next(x for x in table.column("info").to_pylist() if x is not None)).read_all()
+        of, sums = unpacked(table.column("docs"), np.int32), unpacked(table.column("sums"), float).reshape(-1, 3)
+        for i, (name, kind) in enumerate([("n_known", np.int64), ("base", float), ("score", float)]):
+            total = own.column(name).to_numpy() + np.bincount(of, weights=sums[:, i], minlength=own.num_rows).astype(kind)
+            own = own.set_column(own.schema.get_field_index(name), name, pa.array(total))
+        return own
+
+    out = None
     for k in range(PARTS):
         part = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(PARTS)) == k).select("doc_id", "text")
         asked = part.mapInArrow(walk, "bucket int, block long, keys binary, docs binary, info binary")
-        found = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(find, "block long, docs binary, sums binary, info binary")
-        own = common.materialise(found.groupBy("block").applyInArrow(gather, DOC))
-        walked = own if walked is None else walked.unionByName(own)
-    walked = common.materialise(walked.withColumn("_row", F.monotonically_increasing_id()), outer=True)
-    return walked, words, n_train, unseen
+        found = asked.groupBy("bucket").cogroup(model.entries.groupBy("bucket")).applyInArrow(find, "block long, docs binary, sums binary, info binary")
+        own = common.materialise(found.groupBy("block").applyInArrow(gather, DOC), outer=True)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def score(docs: DataFrame, learn: Column | None = None, share: float = 3e-7, least: int = 2, order: int = 3, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, learn: Column | None = None, share: float = 1e-6, least: int = 2, order: int = 3, discount: float = 0.75) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are runs of what isn't ASCII white space, with A-Z in lower case, and one end per text. learn: the rows to
     learn from. base_score adds log10((c + 0.5) / (N + 0.5 (V + 1))) for each token, with c, N and V exact over all
     training texts. n-grams of up to `order` words that occur `least` times are kept. Words with n >= share * N travel
-    with the plan and all others are joined, which makes no difference to the result. Null texts count as empty and
-    train as such; repeated rows and null ids are told apart by their place; other columns are not read. With nothing
-    to learn from, N and V are 0."""
+    with the plan and all others are looked up in buckets, which makes no difference to the result. Null texts count as
+    empty and train as such; repeated rows and null ids are told apart by their place; other columns are not read. With
+    nothing to learn from, N and V are 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("learns") if learn is None else F.coalesce(learn, F.lit(False)).alias("learns"))
     with common.scratch(docs.sparkSession):
-        walked, words, n_train, unseen = walked_texts(rows, share, least, order, discount)
-    rare = walked.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    got = rare.join(words, "word").groupBy("_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"), F.sum(F.col("times") * F.col("back")).alias("back"), F.sum("times").alias("found"))
-    both = walked.select("_row", "doc_id", "n_tokens", "common", "base", "score").join(got, "_row", "left")
-    # The end of a text counts as known where any text was learnt from.
-    common_known = F.col("common") - F.lit(0 if n_train else 1)
-    n_known = common_known + F.coalesce("found", F.lit(0))
-    missing = F.col("n_tokens") - F.col("common") - F.coalesce("found", F.lit(0))
-    base = F.col("base") + F.coalesce("more", F.lit(0.0)) + missing * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(np.log10(unseen)))
-    return both.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("back", F.lit(0.0)) + base).alias("score"))
+        model = Model(rows.where("learns"), share, least, order, discount)
+        found = walked(rows, model, order)
+    missing = F.col("n_tokens") - F.col("n_known")
+    base = F.col("base") + missing * F.lit(float(np.log10(0.5))) - F.col("n_tokens") * F.lit(float(np.log10(model.unseen)))
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + base).alias("score"))
