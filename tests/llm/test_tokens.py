@@ -39,10 +39,28 @@ def test_budgets(counter, library):
             continue
         normal = counter.normal(text)
         for budget in (0, 1, 2, 5, 17):
-            n = counter.longest_prefix(text, budget)
+            n = counter.prefixes(text).longest(budget)
             assert count(library, normal[:n]) <= budget and (n == len(normal) or count(library, normal[: n + 1]) > budget)
 
 
+def test_stored_prefixes(counter, library):
+    """Every prefix of a whole text, from the stored counts alone."""
+    for text in [*TEXTS, "The quick brown fox, it's 12 o'clock!"]:
+        if "<|" in text or len(text) > 200:
+            continue
+        normal, stored = counter.normal(text), counter.prefixes(text)
+        assert stored.length == len(normal)
+        assert [stored.count(n) for n in range(len(normal) + 1)] == [count(library, normal[:n]) for n in range(len(normal) + 1)]
+    stored = counter.prefixes("ab <|endoftext|> cd")
+    assert stored.total() == count(library, "ab <|endoftext|> cd") == counter.total_count("ab <|endoftext|> cd")
+    assert stored.longest(1) == 3 and stored.longest(2) == 17
+
+
+def test_letters_newer_than_this_python(counter, library):
+    for text in ("\ua7cb", "x\ua7dc y", "\ua7cb\ua7dc\u03a3"):
+        assert counter.total_count(text) == counter.prefixes(text).total() == count(library, text)
+
+
 def test_rows(spark, library):
     rows = [*awkward(), *[(100 + i, t) for i, t in enumerate(TEXTS)]]
     got = token_counts.token_counts(documents(spark, rows), open(PATH).read(), limit=50).collect()

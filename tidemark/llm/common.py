@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
+import pickle
+import re
 import sys
 import tempfile
+import threading
 import types
 import uuid
 
@@ -22,10 +26,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; a temporary one only where the session names none."""
+    """The folder all executors and the driver share. Only a local session that names none gets a temporary one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -34,8 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
 #: Held while a table is written: shuffle files go with the write, so that a job's disk is that of its largest step,
 #: and batches for Python are bounded by bytes, as texts may be long.
 WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-#: Open scratch scopes, the innermost last; each lists the tables written in it.
-_scopes: list[list[str]] = []
+
+
+class Scopes(threading.local):
+    """A thread's open scratch scopes, the innermost last; each lists the tables written in it."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+    def __reduce__(self):  # worker code that travels with the plan opens none
+        return Scopes, ()
+
+
+_scopes = Scopes()
 
 
 def materialise(df: DataFrame, codec: str = "lz4", outer: bool = False) -> DataFrame:
@@ -57,7 +74,7 @@ def materialise(df: DataFrame, codec: str = "lz4", outer: bool = False) -> DataF
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     fs, target = _file(spark, path)
     fs.deleteOnExit(target)
-    scopes = _scopes[:-1] if outer else _scopes
+    scopes = _scopes.open[:-1] if outer else _scopes.open
     if scopes:
         scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
@@ -78,21 +95,21 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """A scope whose tables are deleted at its end; what it returns must be written, by materialise(outer=True)."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        discard(spark, _scopes.pop())
+        discard(spark, _scopes.open.pop())
 
 
 @contextlib.contextmanager
 def collected(paths: list[str]):
     """A scope whose tables are listed in paths, for the caller to discard."""
-    _scopes.append(paths)
+    _scopes.open.append(paths)
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.open.pop()
 
 
 def packed(docs: DataFrame) -> Column:
@@ -114,6 +131,11 @@ def worker_cache(name: str, make):
     return holder[name]
 
 
+def digest(thing) -> str:
+    """A name for the content of a picklable object."""
+    return hashlib.sha256(pickle.dumps(thing)).hexdigest()
+
+
 def give_back() -> None:
     """Hand memory that a worker's last batches have left free back to the system, as idle workers keep it otherwise."""
     pa.default_memory_pool().release_unused()

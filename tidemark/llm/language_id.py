@@ -25,13 +25,18 @@ ORDERS = (1, 2, 3)
 BLOCK = 1 << 20
 
 
+#: Set in a table's entry of a mark, which stays with its letters but is none.
+MARK = 1 << 31
+
+
 def letter_table() -> np.ndarray:
-    """For each code point its lower-case letter, or 32 where it is no letter (marks stay with their letters)."""
+    """For each code point its lower-case letter, a mark with MARK added, or 32 where it is neither."""
     table = np.full(sys.maxunicode + 1, 32, dtype=np.uint32)
     for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] in "LM":
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LM":
             low = chr(c).lower()
-            table[c] = ord(low) if len(low) == 1 else c
+            table[c] = (ord(low) if len(low) == 1 else c) + (MARK if kind == "M" else 0)
     return table
 
 
@@ -77,46 +82,59 @@ def blocks(texts: list[str]):
         yield held
 
 
-def fit(docs: DataFrame, per_language: int = 4000, learn: Column | None = None) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, per_language: int = 4000, learn: Column | None = None, most: int = 256) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [language, bucket]) from up to about per_language rows of each language.
 
-    learn: which rows may be learnt from. The sample keeps rows by a hash of text and id at a rate set by the
-    language's count; all statistics over the sample are summed before they reach the driver."""
+    learn: which rows may be learnt from. most: the languages that are learnt, those of the most rows (ties: the one
+    that sorts first); it bounds the matrix, whatever stands in dirty columns. The sample keeps rows by a hash of
+    text and id at a rate set by the language's count; all statistics over the sample are summed before they reach
+    the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if learn is None else rows.where(learn)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     languages = sorted(counts)
     if not languages:
         return [], np.zeros((0, BUCKETS))
     rate = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, per_language / counts[k]))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", "lang", F.length("text")), F.lit(1 << 20)) < rate * (1 << 20))
+    place = {k: i for i, k in enumerate(languages)}
+    picked = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", "lang", F.length("text")), F.lit(1 << 20)) < rate * (1 << 20))
 
     def count(batches):
         table = common.worker_cache("letters", letter_table)
-        total = {k: np.zeros(BUCKETS, dtype=np.int64) for k in languages}
+        held, size = [], 0
+
+        def flush():
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            names = pa.array(languages).take(pa.array(at // BUCKETS))
+            return pa.RecordBatch.from_arrays([names, pa.array(at % BUCKETS, pa.int32()), pa.array(n)], names=["lang", "bucket", "n"])
+
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for block in blocks(batch.column("text").to_pylist()):
-                for row, part, _ in block:
+                for row, part, skip in block:
                     for bucket in grams(code_points([part], table)[0]):
-                        total[langs[row]] += np.bincount(bucket[bucket >= 0], minlength=BUCKETS)
-        for k, v in total.items():
-            if len(at := np.flatnonzero(v)):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at, pa.int32()), pa.array(v[at], pa.int64())], names=["lang", "bucket", "n"])
+                        bucket = bucket[skip + 1 :]  # what the part before has counted
+                        held.append(bucket[bucket >= 0] + place[langs[row]] * BUCKETS)
+                        size += len(held[-1])
+                if size >= 4 * BLOCK:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     sums = picked.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     matrix = np.full((len(languages), BUCKETS), 0.5)
     found = sums.toArrow()  # at most BUCKETS rows a language
-    place = {k: i for i, k in enumerate(languages)}
     np.add.at(matrix, ([place[k] for k in found.column("lang").to_pylist()], found.column("bucket").to_numpy()), found.column("n").to_numpy())
     return languages, np.log(matrix / matrix.sum(axis=1, keepdims=True))
 
 
 def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFrame:
     """Per row: doc_id, lang_pred and score, the posterior probability of the predicted language tempered by
-    the number of letters (mean log-probabilities times the square root of that number).
+    the number of letters and marks (mean log-probabilities times the square root of that number).
 
-    `und` with score 0 where the text is null or has no letter, or where nothing was learnt. Ties go to the
+    `und` with score 0 where the text is null or has no letter (marks alone are none), or where nothing was learnt. Ties go to the
     language that sorts first; repeated rows and null ids stay; other columns are not read."""
     weights = matrix.astype(np.float32)
 
@@ -124,7 +142,7 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFr
         table = common.worker_cache("letters", letter_table)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            sums, letters = np.zeros((len(texts), len(languages))), np.zeros(len(texts))
+            sums, letters, real = np.zeros((len(texts), len(languages))), np.zeros(len(texts)), np.zeros(len(texts))
             for block in blocks(texts):
                 x, starts = code_points([p for _, p, _ in block], table)
                 rows = np.array([r for r, _, _ in block])
@@ -133,6 +151,7 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFr
                 first[skip[np.repeat(np.array([k > 0 for _, _, k in block]), 2)]] = True
                 found = grams(x)
                 np.add.at(letters, rows, np.add.reduceat((x != 32) & ~first, starts, dtype=np.int64))
+                np.add.at(real, rows, np.add.reduceat((x != 32) & (x < MARK), starts, dtype=np.int64))
                 for bucket in found:
                     bucket[first] = -1
                     bucket[starts] = -1
@@ -148,8 +167,8 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray) -> DataFr
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
-                names = [languages[b] if n else "und" for b, n in zip(best, letters, strict=True)]
-                scores = np.where(letters > 0, p.max(axis=1), 0.0)
+                names = [languages[b] if n else "und" for b, n in zip(best, real, strict=True)]
+                scores = np.where(real > 0, p.max(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, lang_pred string, score double")

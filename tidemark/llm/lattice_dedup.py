@@ -2,8 +2,9 @@
 
 Several tables each project vectors at random to eight dimensions and decode them to the nearest point of the E8
 lattice. A vector stands in its own cell and also probes the neighbouring cells it lies nearest to; vectors that meet
-are verified by their cosine. Equal vectors are one representative with a multiplicity, crowded cells are cut into
-tiles of bounded size, and a pair that meets several times counts at its first meeting only.
+are verified by their cosine. Which cells hold more than one vector is found out with ids alone; only there do the
+vectors themselves go. Equal vectors are one representative with a multiplicity, crowded cells are cut into tiles of
+bounded size, and a pair that meets several times counts at its first meeting only.
 """
 
 from __future__ import annotations
@@ -70,14 +71,14 @@ class Tables:
         self.mix = rng.integers(1, 1 << 62, size=8, dtype=np.int64) | 1
 
     def cells(self, x: np.ndarray, t: int) -> np.ndarray:
-        """Keys [row, 1 + probes] in table t; the first is the home cell."""
+        """Keys [row, 1 + probes] in table t; the first is the home cell. The lowest four bits are the table's number."""
         out = np.empty((len(x), 1 + self.probes), dtype=np.int64)
         for i in range(0, len(x), 512):
             y = dots(x[i : i + 512], self.project[t]) + self.shift[t]
             home = lattice_point(y)
-            order = np.argsort(-dots(y - home, self.near), axis=1, kind="stable")[:, : self.probes]
+            order = np.argpartition(-dots(y - home, self.near), self.probes - 1, axis=1)[:, : self.probes] if self.probes else np.zeros((len(y), 0), dtype=np.int64)
             points = np.concatenate([home[:, None, :], home[:, None, :] + self.near[order]], axis=1)
-            out[i : i + 512] = ((points * 2).astype(np.int64) * self.mix).sum(axis=2)
+            out[i : i + 512] = ((points * 2).astype(np.int64) * self.mix).sum(axis=2) & ~np.int64(15) | t
         return out
 
 
@@ -95,31 +96,89 @@ def usable(column: str = "embedding") -> Column:
     return F.coalesce(F.forall(column, ok) & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def near_links(reps: DataFrame, threshold: float, tables: int, probes: int, width: float, seed: int) -> DataFrame:
-    """(rep, n, other) of representatives (label, dim, rep, m, embedding): parts of a representative's links,
-    weighted by multiplicity, and a neighbour in the same block's spanning forest (or null)."""
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def deal(batches):
+
+def cell_keys(cells: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Keys of the cells of several groups of vectors; the number of the table stays."""
+    mixed = scrambled(cells.view(np.uint64) + scrambled(group.view(np.uint64))[:, None])
+    return (mixed & ~np.uint64(15) | (cells.view(np.uint64) & np.uint64(15))).view(np.int64)
+
+
+def met(reps: DataFrame, tables: int, probes: int, width: float, seed: int, sample: int = 4096) -> DataFrame:
+    """(k, rep, home) of representatives (group, dim, rep, embedding): the cells in which a vector at home meets another one.
+
+    Ids alone go by their cell's bucket, packed; the many cells that a single vector visits end there. Cells that a
+    sample of vectors shows to be crowded skip that step, so that a bucket stays small; they are cut into tiles later."""
+    spark = reps.sparkSession
+    size = reps.count()
+    buckets = max(2 * spark.sparkContext.defaultParallelism, size // 20_000)
+    rate = min(1.0, sample / max(size, 1))
+    picked = reps.where(F.pmod(F.xxhash64(F.lit(seed), "rep"), F.lit(1 << 20)) < rate * (1 << 20)).select("group", "embedding").limit(2 * sample)
+
+    def homes(batches):
         made: dict[int, Tables] = {}
         for batch in batches:
             for rows, x in vectors_of(batch.column("embedding")):
                 own = made.setdefault(x.shape[1], Tables(x.shape[1], tables, probes, width, seed))
-                x, part = directions(x), batch.take(pa.array(rows))
+                group = batch.column("group").to_numpy()[rows]
                 for t in range(tables):
-                    keys = own.cells(x, t)
-                    for k in range(1 + probes):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(rows), t), pa.int32()), pa.array(keys[:, k]), pa.array(np.full(len(rows), k == 0)), *part.columns], names=["t", "cell", "home", *part.schema.names]
-                        )
-
-    rows = reps.select("label", "dim", "rep", "m", "embedding")
-    dealt = rows.mapInArrow(deal, f"t int, cell long, home boolean, label {rows.schema['label'].dataType.simpleString()}, dim int, rep long, m long, embedding {rows.schema['embedding'].dataType.simpleString()}")
-    cell = ["label", "dim", "t", "cell"]
-    crowded = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART)
-    crowded = common.materialise(crowded.select(*cell, F.ceil(F.col("n") / PART).cast("int").alias("parts")))
-    dealt = dealt.join(crowded, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell_keys(own.cells(directions(x), t), group).ravel())], names=["k"])
+
+    keys, times = np.unique(picked.mapInArrow(homes, "k long").toArrow().column("k").to_numpy(), return_counts=True)
+    crowded = keys[times >= max(8, rate * size / 200)]  # at most 200 * tables * (1 + probes)
+
+    def deal(batches):
+        made: dict[int, Tables] = {}
+        for batch in batches:
+            for rows, x in vectors_of(batch.column("embedding")):
+                own, x = made.setdefault(x.shape[1], Tables(x.shape[1], tables, probes, width, seed)), directions(x)
+                group, rep = (batch.column(c).to_numpy()[rows] for c in ("group", "rep"))
+                k = np.concatenate([cell_keys(own.cells(x, t), group) for t in range(tables)], axis=1)
+                home = np.zeros(k.shape, dtype=np.uint8)
+                home[:, :: 1 + probes] = 1
+                k, home, rep = k.ravel(), home.ravel(), np.repeat(rep, k.shape[1])
+                bucket = ((k.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                if len(crowded):
+                    bucket[crowded[np.minimum(np.searchsorted(crowded, k), len(crowded) - 1)] == k] = -1
+                by = np.argsort(bucket, kind="stable")
+                there, begins = np.unique(bucket[by], return_index=True)
+                cut = [*begins.tolist(), len(by)]
+                parts = [pa.array([a[cut[i] : cut[i + 1]].tobytes() for i in range(len(there))], pa.binary()) for a in (k[by], rep[by], home[by])]
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *parts], names=["bucket", "k", "rep", "home"])
+
+    def rows_of(table, keep):
+        k, rep, home = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("k", np.int64), ("rep", np.int64), ("home", np.uint8)))
+        live = keep(k, home) if keep else np.ones(len(k), dtype=bool)
+        return pa.table({"k": k[live], "rep": rep[live], "home": home[live].astype(bool)})
+
+    def in_company(k, home):
+        _, at, n = np.unique(k, return_inverse=True, return_counts=True)
+        return ((n > 1) & (np.bincount(at, weights=home, minlength=len(n)) > 0))[at]
+
+    def unpack(batches):
+        for batch in batches:
+            yield from rows_of(pa.Table.from_batches([batch]), None).to_batches()
+
+    sent = common.materialise(reps.select("group", "rep", "embedding").mapInArrow(deal, "bucket int, k binary, rep binary, home binary"))
+    schema = "k long, rep long, home boolean"
+    seldom = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda table: rows_of(table, in_company), schema)
+    return common.materialise(seldom.unionByName(sent.where("bucket < 0").mapInArrow(unpack, schema)))
+
+
+def near_links(reps: DataFrame, threshold: float, tables: int, probes: int, width: float, seed: int) -> DataFrame:
+    """(rep, n, other) of representatives (group, dim, rep, m, embedding): parts of a representative's links,
+    weighted by multiplicity, and a neighbour in the same block's spanning forest (or null)."""
+    live = met(reps, tables, probes, width, seed)
+    sizes = live.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    sizes = common.materialise(sizes.where(F.col("n") > PART).select("k", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    dealt = live.join(sizes, "k", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.join(reps.select("rep", "dim", "m", "embedding"), "rep")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = [*cell, "i", "j"]
+    key = ["k", "dim", "i", "j"]
     dealt = dealt.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")})
     dealt = dealt.select(*key, "part", "home", "rep", "m", "embedding")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
@@ -153,7 +212,7 @@ def near_links(reps: DataFrame, threshold: float, tables: int, probes: int, widt
             return
         column = table.column("embedding").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        dims, ts, parts, homes, reps_, ms, js, is_ = (table.column(c).to_numpy() for c in ("dim", "t", "part", "home", "rep", "m", "j", "i"))
+        dims, ks, parts, homes, reps_, ms, js, is_ = (table.column(c).to_numpy() for c in ("dim", "k", "part", "home", "rep", "m", "j", "i"))
         flat = column.flatten().to_numpy(zero_copy_only=False)
         begins = column.offsets.to_numpy() - column.offsets[0].as_py()
         for g in np.flatnonzero(sizes > 1):
@@ -176,7 +235,7 @@ def near_links(reps: DataFrame, threshold: float, tables: int, probes: int, widt
             p, q = p[sure], q[sure]
             if not len(p):
                 continue
-            first = is_first(x, p, q, home, reps_[a:b], ts[a], made.setdefault(dims[a], Tables(dims[a], tables, probes, width, seed)))
+            first = is_first(x, p, q, home, reps_[a:b], ks[a] & 15, made.setdefault(dims[a], Tables(dims[a], tables, probes, width, seed)))
             p, q = p[first], q[first]
             n = np.zeros(b - a, dtype=np.int64)
             np.add.at(n, p, ms[a:b][q])
@@ -220,11 +279,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 5
     threshold. Vectors that are null or zero or hold null or non-finite components link with nothing; nor do rows
     without an id. Rows that share an id are one node; each repeated row counts as a vector. With these tables a
     pair at cosine 0.93 is found with a probability above 0.999."""
+    with common.scratch(vectors.sparkSession):
+        return _near_duplicates(vectors, threshold, tables, probes, width, seed)
+
+
+def _near_duplicates(vectors: DataFrame, threshold: float, tables: int, probes: int, width: float, seed: int) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     fit = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("_use", F.when(fit, F.col("embedding")))
     reps = rows.where(F.col("_use").isNotNull()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    reps = common.materialise(reps.withColumn("dim", F.size("embedding")))
+    reps = common.materialise(reps.withColumns({"dim": F.size("embedding"), "group": F.xxhash64("label", F.size("embedding"))}))
     found = common.materialise(near_links(reps, threshold, tables, probes, width, seed))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = common.connected_components(found.where(F.col("other").isNotNull()), "rep", "other")
@@ -236,4 +300,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 5
     named = common.materialise(named)
     out = rows.join(named, (F.col("label") == F.col("_l")) & (F.col("_use") == F.col("_e")), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return common.materialise(out, outer=True)

@@ -170,21 +170,46 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 11) -> DataFrame:
     """The mixed table: rows of docs, all columns, once for each time that the mix takes them, in shuffled shards.
 
     2 ** levels shards; rows of a shard stand together in random order. Rows are taken whole (see taken()). The
-    shard of a row's copy is that of its block's copy. Further columns, of any name, stay as they are."""
-    rows = sized(docs, seed)
-    slim = common.materialise(rows.select("_doc.doc_id", "_doc.source", "_size", "_h"))
-    got = taken(slim, common.materialise(targets(slim)), levels, seed, whole=True).where(F.size("shards") > 0)
-    mine = got.groupBy(F.col("_h").alias("_g"), F.col("doc_id").alias("_d")).agg(F.first("shards").alias("shards"))  # repeated rows share it
-    full = rows.join(mine, (F.col("_h") == F.col("_g")) & F.col("_doc.doc_id").eqNullSafe(F.col("_d"))).select("_doc", "_h", F.posexplode("shards").alias("_copy", "_shard"))
-    dealt = full.withColumn("_o", F.xxhash64(F.lit(seed), "_h", "_copy"))
+    shard of a row's copy is that of its block's copy. Rows alike in id, source and text are taken as often as the
+    plan counts them, also where the cut lies between them. Further columns, of any name, stay as they are."""
+    with common.scratch(docs.sparkSession):
+        rows = sized(docs, seed).withColumn("_p", F.spark_partition_id())
+        slim = common.materialise(rows.select("_doc.doc_id", "_doc.source", "_size", "_h"))
+        got = taken(slim, common.materialise(targets(slim)), levels, seed, whole=True)
+        each = got.groupBy(F.col("_h").alias("_g"), F.col("doc_id").alias("_d"), "shards").agg(F.count(F.lit(1)).alias("n"))
+        # Rows alike are of one block, so there is one list of shards for them, or two where the block is cut.
+        mine = each.groupBy("_g", "_d").agg(F.array_sort(F.collect_list(F.struct("shards", "n"))).alias("lists"))
+        mine = common.materialise(mine.where((F.size("lists") > 1) | (F.size(F.get("lists", 0)["shards"]) > 0)), outer=True)
+    full = rows.join(mine, (F.col("_h") == F.col("_g")) & F.col("_doc.doc_id").eqNullSafe(F.col("_d")))
+    dealt = full.where(F.size("lists") == 1).select("_doc", "_h", F.posexplode(F.get("lists", 0)["shards"]).alias("_copy", "_shard"))
+    if not mine.where(F.size("lists") > 1).isEmpty():
+        dealt = dealt.unionByName(divided(full.where(F.size("lists") > 1)))
+    dealt = dealt.withColumn("_o", F.xxhash64(F.lit(seed), "_h", "_copy"))
     return dealt.repartitionByRange("_shard", "_o").sortWithinPartitions("_shard", "_o").select("_doc.*")
 
 
+def divided(rows: DataFrame) -> DataFrame:
+    """(_doc, _h, _copy, _shard) of rows alike that share out several lists of shards, each for so many of them.
+
+    Rows are numbered within the partition (_p) that they were read in, and counts by partition put in front."""
+    rows = common.materialise(rows)
+    parts = rows.groupBy("_g", "_d", "_p").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_g", "_d").orderBy("_p")) - F.col("n")
+    parts = parts.select(F.col("_g").alias("_g2"), F.col("_d").alias("_d2"), F.col("_p").alias("_p2"), before.alias("_before"))
+    same = (F.col("_g") == F.col("_g2")) & F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_p") == F.col("_p2"))
+    own = F.row_number().over(Window.partitionBy("_g", "_d", "_p").orderBy(F.to_json("_doc")))
+    placed = rows.withColumn("_own", own).join(parts, same).withColumn("_place", F.col("_before") + F.col("_own"))
+    ends = F.transform("lists", lambda x, i: F.aggregate(F.slice("lists", F.lit(1), i + 1), F.lit(0).cast("long"), lambda acc, y: acc + y["n"]))
+    which = F.size(F.filter(ends, lambda end: end < F.col("_place")))
+    return placed.select("_doc", "_h", F.posexplode(F.get("lists", which)["shards"]).alias("_copy", "_shard"))
+
+
 def plan(docs: DataFrame, levels: int = 4, seed: int = 11, whole: bool = False) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken and shards (one entry per copy).
 
     Null and empty texts have size 0 and nothing is taken of them; a null source is a source of its own, last in
     order; rows alike in id, source and text may share a cut in any order, as their results are the same."""
-    slim = common.materialise(sized(docs, seed).select("_doc.doc_id", "_doc.source", "_size", "_h"))
-    got = taken(slim, common.materialise(targets(slim)), levels, seed, whole)
+    with common.scratch(docs.sparkSession):
+        slim = common.materialise(sized(docs, seed).select("_doc.doc_id", "_doc.source", "_size", "_h"))
+        got = common.materialise(taken(slim, common.materialise(targets(slim)), levels, seed, whole), outer=True)
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "shards")

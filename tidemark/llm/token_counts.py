@@ -2,8 +2,8 @@
 
 A byte-pair encoding has one valid last token for each prefix: the token t that ends there such that the
 encoding of what precedes it, followed by t, survives the merges. So one pass over a word gives the token
-count of each of its prefixes, and a running sum over words gives that of each prefix of a document. Budget
-and truncation questions are then look-ups; nothing is encoded again.
+count of each of its prefixes, and a running sum over words gives that of each prefix of a document. Both are stored
+(Prefixes), so budget and truncation questions are binary searches; nothing is encoded again.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ END = "</w>"
 #: The vocabulary file's own word pattern and the white space that its library knows.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters that the library puts in lower case in its own way, or that this Python's tables don't know yet.
+LOWER = {0x3A3: 0x3C3, 0xA7CB: 0x264, 0xA7DC: 0x19B}
 #: Words a worker remembers before it forgets them all; only speed depends on it.
 REMEMBERED = 300_000
 
@@ -145,7 +147,7 @@ class PrefixCounter:
         """Composed, lower case letter by letter."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return text.replace("Σ", "σ").lower()
+        return text.translate(LOWER).lower()
 
     def pieces(self, text: str) -> list[str]:
         return (self.any_word if self.beyond_latin.search(text) else self.latin_word).findall(text)
@@ -160,30 +162,63 @@ class PrefixCounter:
             at = m.end()
         return [*out, (self.normal(text[at:]), False)]
 
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Running token counts at the ends of the words of a text."""
-        counts: list[int] = []
-        for run, special in self.split(text):
-            counts += [1] if special else map(self.words.__getitem__, self.pieces(run))
-        return np.cumsum(np.array(counts, dtype=np.int64))
+    def total_count(self, text: str) -> int:
+        """Tokens of a whole text, where nothing is asked of its prefixes."""
+        return sum(1 if special else sum(map(self.words.__getitem__, self.pieces(run))) for run, special in self.split(text))
 
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """Characters of the normalised text that fit a budget of tokens; a special token counts whole."""
-        spent = done = 0
+    def prefixes(self, text: str) -> Prefixes:
+        """One pass over a text that stores what all questions about its prefixes need."""
+        words: list[str | None] = []
+        begins: list[int] = []
+        ends: list[int] = []
+        counts: list[int] = []
+        done = 0
         for run, special in self.split(text):
             if special:
-                if spent + 1 > budget:
-                    return done
-                spent, done = spent + 1, done + len(run)
-                continue
-            for m in (self.any_word if self.beyond_latin.search(run) else self.latin_word).finditer(run):
-                n = self.words[m[0]]
-                if spent + n > budget:
-                    fits = [i for i, c in enumerate(self.table(m[0])) if spent + c <= budget]
-                    return done + m.start() + fits[-1]
-                spent += n
+                words.append(None)
+                begins.append(done)
+                ends.append(done + len(run))
+                counts.append(1)
+            else:
+                for m in (self.any_word if self.beyond_latin.search(run) else self.latin_word).finditer(run):
+                    words.append(m[0])
+                    begins.append(done + m.start())
+                    ends.append(done + m.end())
+                    counts.append(self.words[m[0]])
             done += len(run)
-        return done
+        return Prefixes(self, words, np.array(begins, dtype=np.int64), np.array(ends, dtype=np.int64), np.cumsum(np.array(counts, dtype=np.int64)), done)
+
+
+class Prefixes:
+    """Token counts of all prefixes of a normalised text: running counts at the ends of words, and each word's own table.
+
+    A special token counts whole or not at all; the characters that a cut leaves of it stand outside the prefix."""
+
+    def __init__(self, counter: PrefixCounter, words: list[str | None], begins: np.ndarray, ends: np.ndarray, counts: np.ndarray, length: int):
+        self.counter, self.words, self.begins, self.ends, self.counts, self.length = counter, words, begins, ends, counts, length
+
+    def total(self) -> int:
+        return int(self.counts[-1]) if len(self.counts) else 0
+
+    def count(self, chars: int) -> int:
+        """Tokens of the first `chars` characters."""
+        i = int(np.searchsorted(self.ends, chars, side="right"))
+        whole = int(self.counts[i - 1]) if i else 0
+        if i == len(self.words) or self.words[i] is None:
+            return whole
+        inside = chars - int(self.begins[i])
+        return whole + (self.counter.table(self.words[i])[inside] if inside > 0 else 0)
+
+    def longest(self, budget: int) -> int:
+        """Characters of the longest prefix that fits a budget of tokens."""
+        i = int(np.searchsorted(self.counts, budget, side="right"))
+        if i == len(self.words):
+            return self.length
+        spent = int(self.counts[i - 1]) if i else 0
+        if self.words[i] is None:
+            return int(self.begins[i])
+        fits = [k for k, c in enumerate(self.counter.table(self.words[i])) if spent + c <= budget]
+        return int(self.begins[i]) + fits[-1]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
@@ -193,17 +228,20 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     limit: the budget of over_limit and of cut_chars, the characters of the normalised text (composed, lower
     case) that fit into it. Null and empty texts have 0 tokens; repeated rows and null ids stay as they are;
     other columns are not read."""
+    mark = common.digest(vocabulary)
 
     def count(batches):
-        counter = common.worker_cache(f"prefix{hash(vocabulary)}", lambda: PrefixCounter(vocabulary))
+        counter = common.worker_cache(f"prefix{mark}", lambda: PrefixCounter(vocabulary))
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                table = counter.prefix_counts(text)
-                total = int(table[-1]) if len(table) else 0
-                over = total > limit
-                out.append((total, over, counter.longest_prefix(text, limit) if over else len(text)))
+                if len(text) * 4 <= limit:  # as many tokens as bytes at most, so no prefix is asked for
+                    out.append((counter.total_count(text), False, len(text)))
+                    continue
+                table = counter.prefixes(text)
+                over = table.total() > limit
+                out.append((table.total(), over, table.longest(limit) if over else len(text)))
             total, over, cut = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(total, pa.int64()), pa.array(over, pa.bool_()), pa.array(cut, pa.int64())],
