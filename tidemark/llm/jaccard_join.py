@@ -326,15 +326,17 @@ def most_posted(lists: DataFrame) -> DataFrame:
     return common.materialise(best.select("at", F.col("best.node").alias("rep"), F.col("best.n").alias("rep_n")))
 
 
-def tiled(rows: DataFrame, weight: Column, room: int) -> DataFrame:
-    """rows (at, node, ...) dealt into tiles (at, i, j) of two parts of their list, with `way`, the part of a row.
+def tiled(rows: DataFrame, weight: Column, room: int, more: DataFrame) -> DataFrame:
+    """rows (at, node, ...) dealt into tiles (at, i, j) of two parts of their list, with `way`, the part of a row, and
+    with the columns of more, which is by node.
 
     A list's parts come from the exact sum of its rows' weights, about `room` each. Any two rows of a list meet in a
-    tile, and rows of one part meet in that of i = j only."""
-    sums = common.materialise(rows.groupBy("at").agg(F.ceil(F.sum(weight) / room).cast("int").alias("parts")))
-    rows = rows.join(sums, "at").withColumn("way", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    tile, and rows of one part meet in that of i = j only. What a node carries joins last, as it is wide."""
+    sums = rows.groupBy("at").agg(F.ceil(F.sum(weight) / room).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(common.materialise(sums), "at", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("way", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("way", "with"), "j": F.greatest("way", "with")}).drop("with", "parts")
+    rows = rows.withColumns({"i": F.least("way", "with"), "j": F.greatest("way", "with")}).drop("with", "parts").join(more, "node")
     return rows.repartition("at", "i", "j").sortWithinPartitions("at", "i", "j")
 
 
@@ -389,13 +391,13 @@ class Tile:
 
 
 #: Of a node's torn lists, so many of the smallest keys travel with it.
-KEYS = 32
+KEYS = 12
 
 
-def open_nodes(torn: DataFrame, scheme: Scheme) -> DataFrame:
-    """(at, node) of those rows of torn lists (at, node, n, root, counts, keys, rep) that may be linked with one of another component.
+def open_nodes(torn: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
+    """(at, node) of those rows of torn lists (at, node, n, root, rep) that may be linked with one of another component.
 
-    A pair that also meets in a list of a smaller key, by the keys both carry, is left to that list, and pairs with
+    own: (node, counts, keys). A pair that also meets in a list of a smaller key, by the keys both carry, is left to that list, and pairs with
     the list's rep are known already."""
 
     def judge(table):
@@ -426,12 +428,13 @@ def open_nodes(torn: DataFrame, scheme: Scheme) -> DataFrame:
         if live.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(live.sum(), at)), pa.array(tile.node[live])], names=["at", "node"])
 
-    return by_tile(tiled(torn, F.lit(1), PART), judge, "at long, node long").distinct()
+    return by_tile(tiled(torn, F.lit(1), PART, own), judge, "at long, node long").distinct()
 
 
-def links_within(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """(a, b): links that join components within tiles of rows (at, node, n, root, grams), by exact intersections.
+def links_within(rows: DataFrame, held: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links that join components within tiles of rows (at, node, n, root), by exact intersections.
 
+    held: (node, grams).
     A tile's components are merged as links are found, so it returns fewer links than it has rows."""
 
     def judge(table):
@@ -456,7 +459,7 @@ def links_within(rows: DataFrame, scheme: Scheme) -> DataFrame:
             a, b = np.array(a), np.array(b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return by_tile(tiled(rows, F.col("n") * 8 + 64, TILE_BYTES), judge, "a long, b long").distinct()
+    return by_tile(tiled(rows, F.col("n") * 8 + 64, TILE_BYTES, held), judge, "a long, b long").distinct()
 
 
 def between_components(lists: DataFrame, best: DataFrame, parts: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -464,19 +467,20 @@ def between_components(lists: DataFrame, best: DataFrame, parts: DataFrame, docs
 
     Lists whose nodes but the rep are in one component are done. In the others, two passes over tiles find which
     nodes may have a link left, by sizes and counts, and then, with these nodes' sets, the links."""
-    rooted = lists.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")).select("at", "node", "n", "root")
-    rooted = common.materialise(rooted.join(best.select("at", "rep"), "at"))
+    rooted = common.materialise(lists.join(parts, "node", "left").select("at", "node", "n", F.coalesce("root", "node").alias("root")))
+    torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y AND m > 2")
+    torn_rows = common.materialise(rooted.join(common.materialise(torn.select("at")), "at").join(best.select("at", "rep"), "at"))
     others = F.when(F.col("node") != F.col("rep"), F.col("root"))
-    torn = common.materialise(rooted.groupBy("at").agg(F.min(others).alias("x"), F.max(others).alias("y")).where("x <> y").select("at"))
-    torn_rows = common.materialise(rooted.join(torn, "at"))
+    done = torn_rows.groupBy("at").agg(F.min(others).alias("x"), F.max(others).alias("y")).where("x = y").select("at")
+    torn_rows = common.materialise(torn_rows.join(common.materialise(done), "at", "left_anti"))
     keys = torn_rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("at")), 1, KEYS).alias("keys"))  # a node's own lists
     counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
     own = common.materialise(keys.join(counts, "node"))
-    live = common.materialise(open_nodes(torn_rows.join(own, "node"), scheme))
+    live = common.materialise(open_nodes(torn_rows, own, scheme))
     if live.isEmpty():
         return live.select(F.col("at").alias("a"), F.col("node").alias("b"))
     held = sets_of(live.select("node").distinct(), docs, rows, k)
-    return common.materialise(links_within(torn_rows.join(live, ["at", "node"]).join(held, "node").select("at", "node", "n", "root", "grams"), scheme))
+    return common.materialise(links_within(torn_rows.join(live, ["at", "node"]).select("at", "node", "n", "root"), held, scheme))
 
 
 def compatible(scheme: Scheme, a: str, b: str) -> Column:
