@@ -14,6 +14,7 @@ to buckets by their hash, in which numpy finds them among the states, and sums b
 
 from __future__ import annotations
 
+import functools
 import sys
 
 import numpy as np
@@ -27,11 +28,12 @@ from tidemark.llm import common
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Places that a task counts before it sends their sums on; occurrences from which a history is dealt to several groups.
-BLOCK, HOT = 2_000_000, 500_000
+BLOCK, HOT = 1_000_000, 500_000
 #: Bytes of text that are hashed at once, and that fall to one bucket of states.
-BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 8_000_000
-#: Parts that the texts are scored in, one after the other, as n-grams on their way fill the disk.
-PARTS = 4
+BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Parts that n-grams of three or more words are counted in, by history, and that the texts are scored in, one after the
+#: other, as n-grams on their way fill the disk.
+COUNT_PARTS, PARTS = 2, 4
 U = np.uint64
 
 
@@ -207,11 +209,14 @@ def word_sums(texts: DataFrame, buckets: int) -> DataFrame:
 def gram_sums(texts: DataFrame, order: int, least: int, discount: float, groups: Groups) -> DataFrame:
     """One row per group: of, tail, n of the n-grams that occur `least` times; history, c, free of their histories (`of` points
     there): all occurrences, and what discounting leaves to arcs. A hot history's groups have parts of its c and free."""
-    buckets = groups.buckets
+    buckets, parts = groups.buckets, COUNT_PARTS if order > 2 else 1
 
-    def keys_of(x, sizes):
+    def keys_of(x, sizes, part):
         *_, (_, history, tail) = runs(x, sizes, order)
-        return history, tail
+        if parts == 1:
+            return history, tail
+        own = (history >> U(7)) % U(parts) == U(part)
+        return history[own], tail[own]
 
     def add(table):
         group = table.column("bucket")[0].as_py()
@@ -233,7 +238,11 @@ def gram_sums(texts: DataFrame, order: int, least: int, discount: float, groups:
         })
 
     schema = "bucket int, of binary, tail binary, n binary, history binary, c binary, free binary, hot long, hot_c double, hot_free double"
-    return counted(texts, keys_of, groups.of, ["history", "tail"], add, schema)
+    out = None
+    for part in range(parts):
+        own = counted(texts, functools.partial(keys_of, part=part), groups.of, ["history", "tail"], add, schema)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 class Histories:
