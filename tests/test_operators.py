@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import feeds, indexes, locks, partitions, scan, statistics, writes
+from tidemark.operators import feeds, indexes, locks, partitions, ranking, scan, statistics, writes
 
 
 def rows(df, *columns):
@@ -137,7 +137,90 @@ def test_deadlocks_of_any_length(spark):
     found = locks.cycles(locks.wait_for(held))
     assert sorted(rows(found, "cycle", "length")) == [([0, 1, 2, 3, 4, 5, 6], 7), ([0, 3, 4, 5, 6], 5)]
     assert {len(c): v for c, v in rows(locks.victims(found, held), "cycle", "victim")} == {7: 0, 5: 0}
-    assert rows(locks.cycles(locks.wait_for(held), longest=4), "cycle") == []
+
+
+def test_long_ring(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)] + [(40, 3), (5, 41), (41, 42)], "waiter long, holder long")
+    assert rows(locks.cycles(ring), "cycle", "length") == [(list(range(30)), 30)]
+    assert locks.trim(ring).count() == 30 and locks.cycles(ring.where("waiter > 30")).count() == 0
+
+
+def test_ranks_without_one_window(spark):
+    rng = random.Random(4)
+    keys = [f"k{rng.randrange(10**6)}" for _ in range(700)]
+    df = spark.createDataFrame([(k, i % 9 + 1) for i, k in enumerate(dict.fromkeys(keys))], "k string, n int").repartition(3)
+    for backward in (False, True):
+        got = sorted(rows(ranking.numbered(df, "k", backward=backward), "rn", "k"))
+        assert [k for _, k in got] == sorted(set(keys), reverse=backward) and [n for n, _ in got] == list(range(1, len(set(keys)) + 1))
+    sums = {r["k"]: (r["s"], r["s_all"]) for r in ranking.running(df, "k", s="n").collect()}
+    total = 0
+    for k, n in sorted(rows(df, "k", "n")):
+        assert sums[k][0] == total
+        total += n
+    assert {x for _, x in sums.values()} == {total}
+    assert rows(ranking.numbered(df.limit(0), "k"), "rn") == [] and rows(ranking.numbered(df.limit(1), "k"), "rn") == [(1,)]
+    assert sorted(rows(writes.auto_increment(df, "k", 5, 2), "k", "id")) == [(k, 5 + 2 * i) for i, k in enumerate(sorted(set(keys)))]
+
+
+@pytest.mark.parametrize("most", [65_536, 10])
+def test_floor_lookup_both_ways(spark, most):
+    starts = [(i * 7, f"r{i}") for i in range(3, 300)]
+    keys = spark.createDataFrame([(x,) for x in [*range(0, 2300, 5), 21, 20, None]], "x int")
+    got = rows(partitions.floor_lookup(keys, spark.createDataFrame(starts, "start int, name string"), "x", "start", most), "x", "start", "name")
+    want = []
+    for (x,) in rows(keys, "x"):
+        held = [s for s in starts if x is not None and s[0] <= x]
+        want.append((x, *(held[-1] if held else (None, None))))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_split_plan_of_many_ranges(spark):
+    slices = spark.createDataFrame([(r, r * 100 + i, 50) for r in (1, 2) for i in range(20 if r == 1 else 3)], "r int, start int, n int")
+    got = sorted(rows(partitions.split_plan(slices, "start", "n", 500, within="r"), "r", "part", "start", "slices"))
+    assert [x for x in got if x[0] == 2] == [(2, 0, 200, 3)] and sum(x[3] for x in got if x[0] == 1) == 20 and len(got) == 21
+    rewritten = partitions.rewrite_ranges(slices.where("r = 1"), "start", partitions.split_plan(slices.where("r = 1"), "start", "n", 500))
+    assert len(set(rows(rewritten, "part"))) == 20
+
+
+def test_point_read(spark):
+    base = spark.createDataFrame([(1, 10, 3), (2, 20, 4)], "k int, v int, version long")
+    own = spark.createDataFrame([(2, "D", None), (3, "I", 30), (1, "U", 11)], "k int, op string, v int")
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,)], "k int")
+    assert sorted(rows(scan.point_read(base, own, wanted, "k"), "k", "version", "status", "v")) == [(1, 3, "Normal", 11), (2, 4, "Deleted", None), (3, 1, "Normal", 30), (4, 0, "Deleted", None)]
+    assert sorted(rows(scan.point_read(base, own.limit(0), wanted, "k"), "k", "version", "v")) == [(1, 3, 10), (2, 4, 20), (3, 0, None), (4, 0, None)]
+
+
+def test_write_set_look_ups(spark):
+    own = spark.createDataFrame([(1, "U"), (2, "D")], "k int, op string")
+    assert rows(writes.find_write(own, ["k"], k=2), "op") == [("D",)] and rows(writes.revert_write(own, ["k"], k=2), "k") == [(1,)]
+    with pytest.raises(ValueError):
+        writes.find_write(own, ["k"], other=2)
+
+
+def test_commands_on_several_objects_and_expiry(spark):
+    objects = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    commands = spark.createDataFrame([("x", [2, 1, 2]), ("y", [9])], "c string, wanted array<int>")
+    got = dict(rows(feeds.multi_object(commands, objects, "c", "wanted", "k"), "c", "objects"))
+    assert [o and o["v"] for o in got["x"]] == ["b", "a", "b"] and got["y"] == [None]
+    c = spark.createDataFrame([(1, 1, 5), (1, 2, 9), (1, 3, 20)], "k int, at int, ttl int")
+    step = feeds.expiring(lambda state, row: f"{(state or '').split('@')[0]}{row['at']}@{row['ttl']}", lambda state: int(state.split("@")[1]), lambda row: row["at"] * 4)
+    assert rows(feeds.fold_commands(c, "k", "at", "string", step), "state") == [("3@20",)]
+
+
+def test_buckets_move_when_the_ring_grows(spark):
+    buckets = spark.createDataFrame([(b,) for b in range(0, 4096, 8)], "bucket long")
+    rings = [spark.createDataFrame(partitions.ring(n), "position long, node_group int") for n in (3, 4)]
+    plan = partitions.migration(buckets, *rings)
+    assert {r["target"] for r in plan.collect()} == {3} and 0 < plan.count() < 512
+    assert spark.range(7, 8).select(partitions.range_bucket(F.col("id"))).first()[0] == 3285
+
+
+def test_groups_merge(spark):
+    counts = spark.createDataFrame([("t", 5), ("t", 7), ("u", 1)], "table_name string, records long")
+    a, b = (spark.createDataFrame([(x,) for x in range(*r)], "k int") for r in ((0, 30), (20, 60)))
+    whole, pool = statistics.merge_groups(counts, a, b, keys=["k"], size=16)
+    assert dict(rows(whole, "table_name", "records")) == {"t": 12, "u": 1}
+    assert sorted(rows(pool, "k")) == sorted(rows(statistics.bottom_sample(a.unionByName(b), "k", size=16), "k"))
 
 
 def test_commands(spark):

@@ -68,6 +68,79 @@ def test_definition(spark, table, tmp_path):
         table.snapshot()
 
 
+def entries(df):
+    return sorted((r["sk"], r["pk"]) for r in df.collect())
+
+
+def test_indexes_stay_current(spark, table, tmp_path):
+    table.commit(changes(spark, (1, 7, "I"), (2, 8, "I"), (3, None, "I")))
+    table.commit(changes(spark, (1, 9, "U"), (2, None, "D")))
+    table.alter_indexes(add={"by_v": "v"})  # from the snapshot, not from older versions
+    assert entries(table.index("by_v")) == [(9, 1)]
+    b = table.commit(changes(spark, (3, 5, "U"), (4, 9, "I"), (1, 9, "U")))
+    assert entries(table.index("by_v")) == [(5, 3), (9, 1), (9, 4)]
+    table.commit(changes(spark, (3, 6, "U"), (4, None, "D")))
+    assert entries(table.index("by_v")) == [(6, 3), (9, 1)] and entries(table.index("by_v", b)) == [(5, 3), (9, 1), (9, 4)]
+    table.checkpoint()
+    copy = table.backup(f"{tmp_path}/copy")
+    assert entries(table.index("by_v")) == entries(copy.index("by_v")) == [(6, 3), (9, 1)]
+
+
+def test_unique_index(spark, table):
+    table.commit(changes(spark, (1, 7, "I"), (2, 7, "I")))
+    with pytest.raises(ConflictError):
+        table.alter_indexes(add={"by_v": "v"}, unique=["by_v"])
+    table.commit(changes(spark, (2, 8, "U")))
+    table.alter_indexes(add={"by_v": "v"}, unique=["by_v"])
+    for bad in ((3, 8, "I"), (1, 8, "U")):
+        with pytest.raises(ConflictError):
+            table.commit(changes(spark, bad))
+    table.commit(changes(spark, (1, 8, "U"), (2, 7, "U")))  # they change places
+    assert entries(table.index("by_v")) == [(7, 2), (8, 1)]
+
+
+def test_index_of_composite_keys(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t2", "a int, b int, v string", ["a", "b"], {"by_v": "v"})
+    t.commit(spark.createDataFrame([(1, 1, "x", "I"), (1, 2, "x", "I")], "a int, b int, v string, op string"))
+    t.commit(spark.createDataFrame([(1, 1, "y", "U")], "a int, b int, v string, op string"))
+    assert sorted((r["sk"], r["pk"]["a"], r["pk"]["b"]) for r in t.index("by_v").collect()) == [("x", 1, 2), ("y", 1, 1)]
+
+
+def test_more_columns(spark, table):
+    table.commit(changes(spark, (1, 7, "I")))
+    seen = table.version()
+    table.add_columns("w string")
+    with pytest.raises(ConflictError):
+        table.commit(changes(spark, (2, 7, "I")), read_version=seen)
+    table.commit(spark.createDataFrame([(2, 8, "new", "I")], "k int, v int, w string, op string"))
+    assert sorted((r["k"], r["w"]) for r in table.snapshot().collect()) == [(1, None), (2, "new")]
+
+
+def test_statistics_are_read_back(spark, table):
+    table.commit(spark.range(100).selectExpr("CAST(id AS int) AS k", "1 AS v", "'I' AS op"))
+    assert Table.refresh_statistics([table]) == [table.path] and Table.refresh_statistics([table]) == []
+    facts, sample = table.statistics()
+    assert facts["records"] == 100 and not facts["stale"] and sample.count() == 100
+    assert [r["rows"] for r in table.estimate(spark.createDataFrame([(0, 50)], "low int, high int")).collect()] == [49]
+    table.commit(spark.range(100, 120).selectExpr("CAST(id AS int) AS k", "1 AS v", "'I' AS op"))
+    assert table.statistics()[0]["stale"]
+    table.drop_statistics()
+    with pytest.raises(LookupError):
+        table.statistics()
+
+
+def test_stream_keeps_a_sample(spark, tmp_path):
+    schema = "pool string, k int, op string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    sample = streaming.sampled(streaming.change_feed(spark, f"{tmp_path}/in", schema, 1), "pool", "k", 10)
+    for rows in ([("a", i, "U") for i in range(40)] + [("b", 1, "U")], [("a", i, "D") for i in range(20)], [("a", i, "U") for i in range(40, 60)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = sample.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out"))
+        query.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    (got,) = [r for r in spark.read.parquet(f"{tmp_path}/out").collect() if r["pool"] == "a"]
+    assert got["records"] == 40 and len(got["sample"]) <= 10 and all(20 <= k < 60 for k in got["sample"])
+
+
 def test_stream_replay(spark, table, tmp_path):
     feed = spark.createDataFrame([(1, 1, 5, "U"), (2, 2, 6, "U"), (1, 3, 8, "U")], "k int, v int, commit_ts long, op string")
     feed.write.parquet(f"{tmp_path}/feed")

@@ -88,6 +88,27 @@ def fold_commands(commands: DataFrame, key: str, order: str, state_type: str, st
     return commands.select(*columns).repartition(key).sortWithinPartitions(key, order).mapInPandas(fold, schema)
 
 
+def expiring(step: Callable[[Any, dict], Any], ttl: Callable[[Any], int | None], time: Callable[[dict], int]) -> Callable[[Any, dict], Any]:
+    """A step for fold_commands() before which an object whose time to live lies before the command is retired."""
+
+    def run(state: Any, command: dict) -> Any:
+        end = None if state is None else ttl(state)
+        return step(None if end is not None and end < time(command) else state, command)
+
+    return run
+
+
+def multi_object(commands: DataFrame, objects: DataFrame, command: str, wanted: str, key: str) -> DataFrame:
+    """Each command (command, wanted: an array of keys) with `objects`, the objects it names in its order; null for those that are missing.
+
+    A command's own objects come together in one row, however many commands name an object."""
+    each = commands.select(command, F.posexplode(wanted).alias("_i", "_k"))
+    held = objects.select(F.col(key).alias("_o"), F.struct(*objects.columns).alias("_v"))
+    got = each.join(held, F.col("_k") == F.col("_o"), "left")
+    gathered = got.groupBy(command).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_l"))
+    return gathered.select(command, F.transform("_l", lambda x: x["_v"]).alias("objects"))
+
+
 def standby(messages: DataFrame, group: str, seq: str, pending: DataFrame, start: DataFrame) -> DataFrame:
     """Per subscribed group (start: group, first_id): the largest accepted id and the largest pending mark up to it.
 

@@ -21,36 +21,48 @@ def gather(*lock_tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, lock_tables).distinct()
 
 
-def trim(edges: DataFrame, rounds: int = 1) -> DataFrame:
-    """Edges without those whose waiter nobody waits for or whose holder doesn't wait: such are on no cycle."""
-    for _ in range(rounds):
+def kept(frame: DataFrame) -> DataFrame:
+    """frame, computed once: checkpointed where the session has a folder for that, which outlives lost executors, else persisted."""
+    sc = frame.sparkSession.sparkContext
+    if sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir"):
+        return frame.checkpoint()
+    return frame.persist()
+
+
+def trim(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Edges without those whose waiter nobody waits for or whose holder doesn't wait, as such are on no cycle; again
+    and again until all are gone, or `rounds` times."""
+    left = None
+    while rounds is None or rounds > 0:
         edges = edges.join(edges.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi").select("waiter", "holder")
         edges = edges.join(edges.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "holder")
+        if rounds is not None:
+            rounds -= 1
+            continue
+        edges = kept(edges)
+        now = edges.count()
+        if now in (0, left):
+            break
+        left = now
     return edges
 
 
-def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """(cycle, length): each simple cycle once, from its smallest transaction on; longest: only those of up to so many.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, length): each simple cycle of any length once, from its smallest transaction on.
 
     Paths start at their smallest transaction and only visit larger ones, each once, after edges on no cycle are gone.
-    With no bound they are extended until none is open, so the work grows with the number of simple paths."""
+    They are extended until none is open, so the work grows with the number of simple paths among what is left."""
     live = trim(edges)
     step = live.select(F.col("waiter").alias("_from"), F.col("holder").alias("_to"))
     paths = live.where("waiter < holder").select(F.array("waiter", "holder").alias("path"))
     found, length = [], 2
     while True:
-        closing = paths.join(step, (F.element_at("path", -1) == F.col("_from")) & (F.element_at("path", 1) == F.col("_to")))
-        found.append(closing.select(F.col("path").alias("cycle"), F.lit(length).alias("length")))
-        if length == longest:
-            break
-        on = paths.join(step, F.element_at("path", -1) == F.col("_from"))
+        on = kept(paths.join(step, F.element_at("path", -1) == F.col("_from")).select("path", "_to"))
+        found.append(on.where(F.col("_to") == F.element_at("path", 1)).select(F.col("path").alias("cycle"), F.lit(length).alias("length")))
         paths = on.where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to"))).select(F.array_append("path", F.col("_to")).alias("path"))
         length += 1
-        if longest is None:
-            paths = paths.persist()
-            if paths.isEmpty():
-                break
-    return reduce(DataFrame.unionByName, found)
+        if paths.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def victims(found: DataFrame, locks: DataFrame, tx: str = "tx", state: str = "state") -> DataFrame:

@@ -65,6 +65,30 @@ def drop_durable_tombstones(log: DataFrame, checkpoint_ts: int) -> DataFrame:
     return log.where(~((F.col("op") == "D") & (F.col("commit_ts") <= checkpoint_ts)))
 
 
+def point_read(base: DataFrame, writes: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Each wanted key with its record, version and status; a transaction's own pending write (key, op, payload) comes
+    first and keeps the version that it was read at, 1 where there was none.
+
+    base: a snapshot (key, version, payload). Keys that are nowhere are Deleted at version 0, without payload."""
+    payload = [c for c in base.columns if c not in (key, "version")]
+    asked = wanted.select(key).distinct()
+    held = base.select(F.col(key).alias("_b"), "version", *[F.col(c).alias(f"_base_{c}") for c in payload])
+    own = writes.select(F.col(key).alias("_w"), F.col("op").alias("_op"), *[F.col(c).alias(f"_own_{c}") for c in payload])
+    got = asked.join(held, F.col(key) == F.col("_b"), "left").join(own, F.col(key) == F.col("_w"), "left")
+    written = F.col("_op").isNotNull()
+    values = [F.when(F.col("_op") == "D", None).when(written, F.col(f"_own_{c}")).otherwise(F.col(f"_base_{c}")).alias(c) for c in payload]
+    status = F.when(F.when(written, F.col("_op") != "D").otherwise(F.col("_b").isNotNull()), fn.NORMAL).otherwise(fn.DELETED)
+    version = F.coalesce("version", F.when(written, 1).otherwise(0)).cast("long")
+    return got.select(key, version.alias("version"), status.alias("status"), *values)
+
+
+def store_get(table: DataFrame, **key: Any) -> DataFrame:
+    """The store's row of one key; equality with literals reaches the file scan."""
+    for name, value in key.items():
+        table = table.where(F.col(name) == F.lit(value))
+    return table
+
+
 OPERATORS = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
 STORE_TYPES = {"Numeric": "double", "String": "string", "Bool": "boolean", "Blob": "binary"}
 

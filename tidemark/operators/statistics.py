@@ -24,6 +24,15 @@ def merge_samples(a: DataFrame, b: DataFrame, *keys: str, size: int = POOL) -> D
     return bottom_sample(a.unionByName(b), *keys, size=size)
 
 
+def merge_groups(counts: DataFrame, *samples: DataFrame, keys: Sequence[str], size: int = POOL) -> tuple[DataFrame, DataFrame]:
+    """(records of each table, one sample) over node groups: counts (table_name, records) add up, and samples' keys join."""
+    whole = counts.groupBy("table_name").agg(F.sum("records").alias("records"))
+    both = samples[0]
+    for s in samples[1:]:
+        both = both.unionByName(s)
+    return whole, bottom_sample(both, *keys, size=size)
+
+
 def prune(sample: DataFrame, deleted: DataFrame, *keys: str) -> DataFrame:
     return sample.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
 
@@ -153,10 +162,22 @@ class RandomPairing:
             self._put(key)
 
     def delete(self, key) -> None:
-        if key in self.place:
+        sampled = key in self.place
+        if sampled:
             self._drop(key)
-            self.gone_in += 1
-        elif self.records >= len(self.kept):
-            self.gone_out += 1
+        # A deletion waits for an insertion to pair with, told apart by where it took its key from.
+        self.gone_in, self.gone_out = self.gone_in + sampled, self.gone_out + (not sampled)
         self.records = max(0, self.records - 1)
         self.upserts += 1
+
+    def dump(self) -> dict:
+        """All that is needed to go on in another process."""
+        return {"capacity": self.capacity, "kept": self.kept, "counts": [self.records, self.gone_in, self.gone_out, self.upserts], "seed": self.random.randrange(1 << 62)}
+
+    @classmethod
+    def load(cls, held: dict) -> RandomPairing:
+        pool = cls(held["capacity"], held["seed"])
+        for key in held["kept"]:
+            pool._put(key)
+        pool.records, pool.gone_in, pool.gone_out, pool.upserts = held["counts"]
+        return pool

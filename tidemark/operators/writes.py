@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranking
+
 #: Fixed value: bytes that a transaction's write set may hold.
 WRITE_LIMIT = 62 * 1024 * 1024
 
@@ -93,18 +95,28 @@ def conflicts(held: Column, wanted: Column) -> Column:
     return out
 
 
-def auto_increment(rows: DataFrame, order: str, offset: int = 1, increment: int = 1, blocks: int = 64) -> DataFrame:
-    """rows with `id`: offset, offset + increment, ... in the order of a column.
+def auto_increment(rows: DataFrame, order: str, offset: int = 1, increment: int = 1) -> DataFrame:
+    """rows with `id`: offset, offset + increment, ... in the order of a column of any type.
 
     Rows are ranked within ranges of the order, of which each adds the sizes of those before it, so that no task
     ranks the whole table."""
-    cuts = [c for c in dict.fromkeys(rows.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.001)) if c is not None]
-    part = F.lit(0)
-    for at in range(0, len(cuts), 32):
-        part = part + sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts[at : at + 32]), F.lit(0))
-    parted = rows.withColumn("_part", part)
-    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))  # one row per range
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    return parted.join(F.broadcast(offsets), "_part").withColumn("id", (F.lit(offset) + F.lit(increment) * (F.col("_before") + rank - 1)).cast("long")).drop("_part", "_before")
+    return ranking.numbered(rows, order, "_rn").withColumn("id", (F.lit(offset) + F.lit(increment) * (F.col("_rn") - 1)).cast("long")).drop("_rn")
+
+
+def find_write(changes: DataFrame, keys: Sequence[str], **wanted) -> DataFrame:
+    """The pending change of one key of a write set, if there is one."""
+    return _of_key(changes, keys, wanted, True)
+
+
+def revert_write(changes: DataFrame, keys: Sequence[str], **wanted) -> DataFrame:
+    """The write set without the pending change of one key."""
+    return _of_key(changes, keys, wanted, False)
+
+
+def _of_key(changes: DataFrame, keys: Sequence[str], wanted: dict, same: bool) -> DataFrame:
+    if set(keys) != set(wanted):
+        raise ValueError(f"a key has values for {', '.join(keys)}")
+    hit = F.lit(True)
+    for k, v in wanted.items():
+        hit = hit & F.col(k).eqNullSafe(F.lit(v))
+    return changes.where(hit if same else ~hit)

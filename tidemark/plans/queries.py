@@ -3,13 +3,15 @@ are deletions. The SQL next to each query is a plain statement of what it comput
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark.operators import feeds, indexes, locks, partitions, scan, statistics, versions, writes
+from tidemark.operators import feeds, indexes, locks, partitions, ranking, scan, statistics, versions, writes
+from tidemark.sources import Table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -180,11 +182,8 @@ def overlay_scan_fwd(spark, sf_dir):
 
 @query(f"SELECT *, ROW_NUMBER() OVER (ORDER BY o_orderkey DESC) AS rn FROM ({OVERLAY_SQL}) WHERE o_orderkey <= 300")
 def overlay_scan_bwd(spark, sf_dir):
-    from pyspark.sql import Window
-
     base, own = _orders_and_writes(spark, sf_dir)
-    found = scan.overlay(base, own, "o_orderkey", low=300, backward=True)
-    return found.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("o_orderkey"))).cast("long"))  # the order is part of the result
+    return ranking.numbered(scan.overlay(base, own, "o_orderkey", low=300, backward=True), "o_orderkey", backward=True)  # the order is part of the result
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 7 <> 0")
@@ -344,16 +343,18 @@ def lock_conflicts(spark, sf_dir):
     return pairs.where(writes.conflicts(F.col("held"), F.col("wanted")))
 
 
-LOCKS_SQL = "SELECT user_id % 12 AS tx, event_id % 40 AS entry, CASE WHEN event_type = 'purchase' THEN 'holding' ELSE 'waiting' END AS state FROM events WHERE event_id < 160 AND event_type IN ('purchase', 'view')"
+# Blocks of 24 events are 8 transactions over 6 entries, so the graph has a bounded degree at any size.
+LOCKS_SQL = "SELECT event_id // 24 * 8 + user_id % 8 AS tx, event_id // 24 * 6 + event_id % 6 AS entry, CASE WHEN event_type = 'purchase' THEN 'holding' ELSE 'waiting' END AS state FROM events WHERE event_type IN ('purchase', 'view')"
 EDGES_SQL = f"l AS ({LOCKS_SQL}), e AS (SELECT DISTINCT w.tx AS waiter, h.tx AS holder FROM l w JOIN l h ON w.entry = h.entry AND w.state = 'waiting' AND h.state = 'holding' AND w.tx <> h.tx)"
-CYCLES_SQL = f"""WITH {EDGES_SQL}, c AS (SELECT [a.waiter, b.waiter] AS cycle, 2 AS length FROM e a JOIN e b ON a.holder = b.waiter AND b.holder = a.waiter WHERE a.waiter < b.waiter
-UNION ALL SELECT [a.waiter, b.waiter, c.waiter], 3 FROM e a JOIN e b ON a.holder = b.waiter JOIN e c ON b.holder = c.waiter AND c.holder = a.waiter WHERE a.waiter < b.waiter AND a.waiter < c.waiter AND b.waiter <> c.waiter
-UNION ALL SELECT [a.waiter, b.waiter, c.waiter, d.waiter], 4 FROM e a JOIN e b ON a.holder = b.waiter JOIN e c ON b.holder = c.waiter JOIN e d ON c.holder = d.waiter AND d.holder = a.waiter WHERE a.waiter < LEAST(b.waiter, c.waiter, d.waiter) AND b.waiter <> c.waiter AND b.waiter <> d.waiter AND c.waiter <> d.waiter)"""
+CYCLES_SQL = f"""WITH RECURSIVE {EDGES_SQL}, p AS (SELECT [waiter, holder] AS path, holder AS at FROM e WHERE waiter < holder
+UNION ALL SELECT list_append(p.path, e.holder), e.holder FROM p JOIN e ON p.at = e.waiter WHERE e.holder > p.path[1] AND NOT list_contains(p.path, e.holder)),
+c AS (SELECT p.path AS cycle, CAST(len(p.path) AS INT) AS length FROM p JOIN e ON p.at = e.waiter AND e.holder = p.path[1])"""
 
 
 def _locks(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id < 160 AND event_type IN ('purchase', 'view')")
-    return rows.select((F.col("user_id") % 12).alias("tx"), (F.col("event_id") % 40).alias("entry"), F.when(F.col("event_type") == "purchase", "holding").otherwise("waiting").alias("state"))
+    rows = table(spark, sf_dir, "events").where("event_type IN ('purchase', 'view')")
+    block = F.floor(F.col("event_id") / 24)
+    return rows.select((block * 8 + F.col("user_id") % 8).alias("tx"), (block * 6 + F.col("event_id") % 6).alias("entry"), F.when(F.col("event_type") == "purchase", "holding").otherwise("waiting").alias("state"))
 
 
 def _told(found: DataFrame) -> DataFrame:
@@ -367,13 +368,13 @@ def deadlock_edges(spark, sf_dir):
 
 @query(f"{CYCLES_SQL} SELECT array_to_string(cycle, '>') AS cycle, length FROM c")
 def deadlock_cycles(spark, sf_dir):
-    return _told(locks.cycles(locks.wait_for(_locks(spark, sf_dir)), longest=4))
+    return _told(locks.cycles(locks.wait_for(_locks(spark, sf_dir))))
 
 
 @query(f"{CYCLES_SQL}, n AS (SELECT tx, COUNT(*) AS n FROM l WHERE state = 'holding' GROUP BY tx), x AS (SELECT cycle, length, unnest(cycle) AS tx FROM c) SELECT array_to_string(cycle, '>') AS cycle, length, victim FROM (SELECT cycle, length, x.tx AS victim, ROW_NUMBER() OVER (PARTITION BY cycle ORDER BY COALESCE(n, 0), x.tx) AS rn FROM x LEFT JOIN n ON n.tx = x.tx) WHERE rn = 1")
 def deadlock_victims(spark, sf_dir):
     held = _locks(spark, sf_dir)
-    return _told(locks.victims(locks.cycles(locks.wait_for(held), longest=4), held))
+    return _told(locks.victims(locks.cycles(locks.wait_for(held)), held))
 
 
 @query("SELECT c_custkey, 100 + 5 * (ROW_NUMBER() OVER (ORDER BY c_custkey) - 1) AS id FROM customer")
@@ -522,9 +523,9 @@ def standby_consistent_ts(spark, sf_dir):
     return feeds.standby(sent, "grp", "seq", events.where("event_type = 'error'").select("grp", F.col("event_id").alias("mark")), start)
 
 
-@query("SELECT event_id, event_type, r_name FROM events, region WHERE event_type = 'signup'")
+@query("SELECT event_id, event_type, r_name FROM events, region")
 def publish_fanout(spark, sf_dir):
-    messages = table(spark, sf_dir, "events").where("event_type = 'signup'").select("event_id", "event_type")
+    messages = table(spark, sf_dir, "events").select("event_id", "event_type")
     return feeds.publish(messages, table(spark, sf_dir, "region").select("r_name"))
 
 
@@ -590,3 +591,114 @@ def cmd_fold_custom(spark, sf_dir):
 
     state = feeds.fold_commands(rows, "conv_id", "turn", "long", step)
     return state.select("conv_id", (F.pmod("state", F.lit(1 << 40)) - (1 << 39)).alias("state"))
+
+
+# Point reads, stored indexes and statistics, ranges that are rewritten, and buckets that move
+
+
+OWN_SQL = "w AS (SELECT c_custkey * 3 AS k, CASE WHEN c_custkey % 5 = 0 THEN 'D' ELSE 'U' END AS op, c_acctbal AS total FROM customer WHERE c_custkey % 2 = 0), q AS (SELECT p_partkey * 2 AS k FROM part)"
+
+
+@query(f"WITH {OWN_SQL} SELECT q.k, CASE WHEN o.o_orderkey IS NOT NULL THEN o.o_custkey WHEN w.k IS NOT NULL THEN 1 ELSE 0 END AS version, CASE WHEN w.k IS NOT NULL THEN CASE WHEN w.op = 'D' THEN 'Deleted' ELSE 'Normal' END WHEN o.o_orderkey IS NOT NULL THEN 'Normal' ELSE 'Deleted' END AS status, CASE WHEN w.op = 'D' THEN NULL WHEN w.k IS NOT NULL THEN w.total ELSE o.o_totalprice END AS total FROM q LEFT JOIN w ON w.k = q.k LEFT JOIN orders o ON o.o_orderkey = q.k")
+def point_read(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("version"), F.col("o_totalprice").alias("total"))
+    own = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select((F.col("c_custkey") * 3).alias("k"), F.when(F.col("c_custkey") % 5 == 0, "D").otherwise("U").alias("op"), F.col("c_acctbal").alias("total"))
+    return scan.point_read(base, own, table(spark, sf_dir, "part").select((F.col("p_partkey") * 2).alias("k")), "k")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def store_point_read(spark, sf_dir):
+    return scan.store_get(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), o_orderkey=77)
+
+
+def _stored(spark: SparkSession, schema: str, keys: list[str], indexes_: dict[str, str] | None = None) -> Table:
+    """A new table in the folder that executors share; it goes when the driver ends."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    made = Table.create(spark, f"{folder.rstrip('/')}/tidemark-table-{uuid.uuid4().hex}", schema, keys, indexes_)
+    made._fs.deleteOnExit(made._path(made.path))
+    return made
+
+
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS sk, o_orderkey AS pk, CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 2 END AS commit_ts FROM orders WHERE o_orderkey % 11 <> 0")
+def index_maintained(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    t = _stored(spark, "o_orderkey long, o_custkey long", ["o_orderkey"], {"by_customer": "o_custkey"})
+    t.commit(orders.withColumn("op", F.lit("I")))
+    gone = F.col("o_orderkey") % 11 == 0
+    t.commit(orders.where((F.col("o_orderkey") % 7 == 0) | gone).select("o_orderkey", (F.col("o_custkey") + 1).alias("o_custkey"), F.when(gone, "D").otherwise("U").alias("op")))
+    return t.index("by_customer")
+
+
+SUPPLIERS_SQL = "s AS (SELECT s_suppkey AS x FROM supplier), r AS (SELECT x, ROW_NUMBER() OVER (ORDER BY x) - 1 AS i, COUNT(*) OVER () AS n FROM s), st AS (SELECT x FROM r WHERE n <= 128 OR (i % (n // 128) = 0 AND i // (n // 128) < 128))"
+PROBES = [(1, 5), (3, 3), (2, 60), (-4, 1000), (50, 20), (10, 11)]
+BELOW_SQL = "((SELECT COUNT(*) FROM st WHERE x < {0}) + CASE WHEN EXISTS (SELECT 1 FROM st WHERE x = {0}) THEN 1.0 ELSE 0.5 END) / ((SELECT COUNT(*) FROM st) + 1)"
+
+
+@query(f"WITH {SUPPLIERS_SQL}, p AS (SELECT low, high, CASE WHEN high <= low THEN 0.0 ELSE CAST({BELOW_SQL.format('high')} AS DOUBLE) - CAST({BELOW_SQL.format('low')} AS DOUBLE) END AS selectivity FROM (VALUES {', '.join(map(str, PROBES))}) AS v(low, high)) SELECT low, high, selectivity, CAST(FLOOR(selectivity * (SELECT COUNT(*) FROM s)) AS BIGINT) AS rows FROM p")
+def stored_statistics(spark, sf_dir):
+    t = _stored(spark, "s_suppkey long, s_name string", ["s_suppkey"])
+    t.commit(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.lit("I").alias("op")))
+    t.analyze()
+    return t.estimate(spark.createDataFrame(PROBES, "low int, high int"))
+
+
+@query("SELECT DISTINCT x FROM (SELECT o_custkey AS x FROM orders UNION SELECT c_custkey FROM customer) ORDER BY (x * 7919) % 10007, x LIMIT 1024")
+def merged_samples(spark, sf_dir):
+    order = (F.col("x") * 7919) % 10007
+    pools = [statistics.bottom_sample(table(spark, sf_dir, t).select(F.col(c).alias("x")), "x", order=order) for t, c in (("orders", "o_custkey"), ("customer", "c_custkey"))]
+    return statistics.bottom_sample(pools[0].unionByName(pools[1]), "x", order=order)
+
+
+@query(f"{SPLIT_SQL}, q AS (SELECT slice, CAST(LEAST(FLOOR(before * parts / total), parts - 1) AS INT) AS part FROM p) SELECT part, COUNT(*) AS rows, MIN(l_orderkey) AS low, MAX(l_orderkey) AS high FROM lineitem JOIN q ON l_orderkey // 100 = slice GROUP BY part")
+def range_rewrite(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(F.col("l_orderkey") / 100).alias("slice"))
+    plan = partitions.split_plan(lines.groupBy("slice").agg((F.count(F.lit(1)) * 120).alias("bytes")), "slice", "bytes", 200_000)
+    rewritten = partitions.rewrite_ranges(lines, "slice", plan)
+    return rewritten.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("l_orderkey").alias("low"), F.max("l_orderkey").alias("high"))
+
+
+@query("SELECT l_orderkey // 1000 AS range_id, MIN(l_orderkey) AS start, MAX(l_orderkey) AS last, COUNT(DISTINCT l_orderkey // 50) AS slices, COUNT(*) AS records, CAST(SUM(64 + l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
+def range_metadata(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(F.col("l_orderkey") / 1000).alias("range_id"), F.floor(F.col("l_orderkey") / 50).alias("slice"), (F.col("l_linenumber") + 64).alias("n"))
+    return partitions.range_metadata(lines, "l_orderkey", "range_id", "slice", "n")
+
+
+U32 = "& 4294967295"
+#: The hash of one 32-bit block, step by step in 128-bit integers.
+MURMUR_SQL = f"""k1 AS (SELECT id, (id::HUGEINT * 3432918353) {U32} AS k FROM (SELECT DISTINCT l_orderkey // 1000 AS id FROM lineitem)),
+k2 AS (SELECT id, ((((k << 15) | (k >> 17)) {U32}) * 461845907) {U32} AS k FROM k1), h1 AS (SELECT id, xor(9001::HUGEINT, k) AS h FROM k2),
+h2 AS (SELECT id, xor(((((h << 13) | (h >> 19)) {U32}) * 5 + 3864292196) {U32}, 4::HUGEINT) AS h FROM h1), h3 AS (SELECT id, (xor(h, h >> 16) * 2246822507) {U32} AS h FROM h2),
+h4 AS (SELECT id, (xor(h, h >> 13) * 3266489909) {U32} AS h FROM h3)"""
+
+
+@query(f"WITH {MURMUR_SQL} SELECT id AS range_id, CAST(xor(h, h >> 16) % 4096 AS BIGINT) AS bucket FROM h4")
+def range_buckets(spark, sf_dir):
+    ids = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("range_id")).distinct()
+    return ids.withColumn("bucket", partitions.range_bucket(F.col("range_id")))
+
+
+GROWN = partitions.ring(6)
+GROWN_SQL = f"(VALUES {', '.join(map(str, GROWN))}) AS g(position, node_group)"
+
+
+@query(f"WITH b AS (SELECT o_orderkey % 4096 AS bucket, COUNT(*) AS n FROM orders GROUP BY 1), f AS (SELECT bucket, n, (SELECT MIN(position) FROM {RING_SQL} WHERE position > bucket) AS p, (SELECT MIN(position) FROM {GROWN_SQL} WHERE position > bucket) AS q FROM b) SELECT r.node_group AS source, g.node_group AS target, CAST(SUM(n) AS BIGINT) AS rows FROM f JOIN {RING_SQL} ON r.position = COALESCE(p, {RING[0][0]}) JOIN {GROWN_SQL} ON g.position = COALESCE(q, {GROWN[0][0]}) WHERE r.node_group <> g.node_group GROUP BY 1, 2")
+def bucket_migration(spark, sf_dir):
+    rows = partitions.with_bucket(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    before, after = (spark.createDataFrame(r, "position long, node_group int") for r in (RING, GROWN))
+    plan = partitions.migration(rows, before, after)
+    return partitions.moved_rows(rows, plan, F.col("bucket")).groupBy("source", "target").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("WITH c AS (SELECT c_custkey AS command, unnest([c_custkey % 10 + 1, c_custkey + 1, c_custkey]) AS k, generate_subscripts([1, 2, 3], 1) AS i FROM customer) SELECT command, array_to_string(list(COALESCE(o.c_name, '-') ORDER BY i), ',') AS names FROM c LEFT JOIN customer o ON o.c_custkey = k GROUP BY command")
+def multi_object_read(spark, sf_dir):
+    objects = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    commands = objects.select(F.col("c_custkey").alias("command"), F.array(F.col("c_custkey") % 10 + 1, F.col("c_custkey") + 1, F.col("c_custkey")).alias("wanted"))
+    found = feeds.multi_object(commands, objects, "command", "wanted", "c_custkey")
+    return found.select("command", F.array_join(F.transform("objects", lambda x: F.coalesce(x["c_name"], F.lit("-"))), ",").alias("names"))
+
+
+@query("SELECT user_id, ts_us, op FROM (SELECT user_id, epoch_us(ts) AS ts_us, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, event_id FROM events) WHERE event_id <> 42")
+def revert_pending_write(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", fn.micros(F.col("ts")).alias("ts_us"), F.when(F.col("event_type") == "error", "D").otherwise("U").alias("op"))
+    return writes.revert_write(rows, ["event_id"], event_id=42).drop("event_id")

@@ -72,7 +72,8 @@ class Table:
     def create(cls, spark: SparkSession, path: str, schema: str, keys: Sequence[str], indexes_: dict[str, str] | None = None) -> Table:
         """A table of keys and payload columns; indexes: name to indexed column."""
         table = cls(spark, path)
-        table._publish(0, {"keys": list(keys), "schema": schema, "schema_ts": 1, "log": [], "base": [], "archive": [], "indexes": indexes_ or {}, "entries": {}, "checkpoint_ts": 0, "clock": 1, "dropped": False, "statistics": {}})
+        indexes_ = {k: {"column": v, "unique": False} for k, v in (indexes_ or {}).items()}
+        table._publish(0, {"keys": list(keys), "schema": schema, "schema_ts": 1, "log": [], "base": [], "archive": [], "indexes": indexes_, "entries": {}, "checkpoint_ts": 0, "clock": 1, "dropped": False, "statistics": {}})
         return table
 
     def drop(self) -> None:
@@ -82,16 +83,29 @@ class Table:
         """No rows from now on; older versions of the table still have theirs."""
         self._change(log=[], base=[], archive=[], entries={})
 
-    def alter_indexes(self, add: dict[str, str] | None = None, drop: Sequence[str] = ()) -> None:
-        """Add indexes, built from the current snapshot and checked in the same commit, and drop others."""
+    def alter_indexes(self, add: dict[str, str] | None = None, drop: Sequence[str] = (), unique: Sequence[str] = ()) -> None:
+        """Add indexes (name to column), built from the current snapshot in the same commit, and drop others.
+
+        unique: names of added ones whose keys may not repeat; if they do already, nothing is added."""
         version = self.version()
         m = self.manifest(version)
-        names = {k: v for k, v in m["indexes"].items() if k not in drop} | (add or {})
+        added = {name: {"column": column, "unique": name in unique} for name, column in (add or {}).items()}
+        names = {k: v for k, v in m["indexes"].items() if k not in drop} | added
         entries = {k: v for k, v in m["entries"].items() if k in names}
-        for name, column in (add or {}).items():
-            entries[name] = [self._write(indexes.build(self.log(), m["keys"][0], column, ordered=True), f"index-{name}")]
+        rows = self.snapshot(version=version)
+        for name, what in added.items():
+            built = rows.select(*m["keys"], F.col(what["column"]).alias("sk"), "commit_ts", F.lit("U").alias("op")).where("sk IS NOT NULL")
+            if what["unique"] and not indexes.unique_violations(built, "sk").isEmpty():
+                raise ConflictError(f"unique violation in index {name}")
+            entries[name] = [self._write(built.repartitionByRange("sk", *m["keys"]).sortWithinPartitions("sk", *m["keys"]), f"index-{name}")]
         self._publish(version + 1, m | {"indexes": names, "entries": entries, "schema_ts": m["clock"]})
 
+    def add_columns(self, columns: str) -> None:
+        """More payload columns; rows written before have nulls there. Commits that began before fail."""
+        version = self.version()
+        m = self.manifest(version)
+        self._publish(version + 1, m | {"schema": f"{m['schema']}, {columns}", "schema_ts": m["clock"] + 1, "clock": m["clock"] + 1})
+
     def _change(self, **what) -> None:
         version = self.version()
         self._publish(version + 1, self.manifest(version) | what)
@@ -114,10 +128,71 @@ class Table:
         m = self.manifest(version)
         return versions.as_of(self.log(version), m["keys"], m["clock"] if ts is None else ts)
 
-    def index(self, name: str) -> DataFrame:
-        """Entries (sk, pk, commit_ts) of an index for the current snapshot."""
+    def _entries(self, m: dict, name: str) -> DataFrame:
+        """All versions of an index's entries: keys, sk, commit_ts, op."""
+        fields = {f.name: f.dataType.simpleString() for f in self.spark.createDataFrame([], m["schema"]).schema.fields}
+        keys = ", ".join(f"`{k}` {fields[k]}" for k in m["keys"])
+        return self._read(m["entries"].get(name, []), f"{keys}, sk {fields[m['indexes'][name]['column']]}, commit_ts long, op string")
+
+    def index(self, name: str, ts: int | None = None, version: int | None = None) -> DataFrame:
+        """Entries (sk, pk, commit_ts) of a stored index as of a timestamp; pk is the key, or a struct of several."""
+        m = self.manifest(version)
+        live = versions.as_of(self._entries(m, name), ["sk", *m["keys"]], m["clock"] if ts is None else ts)
+        pk = F.col(m["keys"][0]) if len(m["keys"]) == 1 else F.struct(*m["keys"])
+        return live.select("sk", pk.alias("pk"), "commit_ts")
+
+    def _rebuilt(self, m: dict, log: DataFrame) -> dict[str, list[str]]:
+        """Files of all indexes, built from the newest rows of a log."""
+        rows, out = versions.as_of(log, m["keys"], m["clock"]), {}
+        for name, what in m["indexes"].items():
+            built = rows.select(*m["keys"], F.col(what["column"]).alias("sk"), "commit_ts", F.lit("U").alias("op")).where("sk IS NOT NULL")
+            out[name] = [self._write(built, f"index-{name}")]
+        return out
+
+    def _index_changes(self, m: dict, version: int, name: str, rows: DataFrame, ts: int) -> DataFrame:
+        """Entries that rows (one change per key) add and delete; a unique index takes none that repeat its keys."""
+        keys, what = m["keys"], m["indexes"][name]
+        old = self.snapshot(version=version).join(rows.select(*keys), keys, "left_semi").select(*keys, F.col(what["column"]).alias("sk")).where("sk IS NOT NULL")
+        new = rows.where("op <> 'D'").select(*keys, F.col(what["column"]).alias("sk")).where("sk IS NOT NULL")
+        gone, more = old.join(new, [*keys, "sk"], "left_anti"), new.join(old, [*keys, "sk"], "left_anti")
+        if what["unique"]:
+            live = versions.as_of(self._entries(m, name), ["sk", *keys], m["clock"]).select(*keys, "sk")
+            then = live.join(gone, [*keys, "sk"], "left_anti").join(more.select("sk").distinct(), "sk", "left_semi").unionByName(more)
+            if not indexes.unique_violations(then, "sk").isEmpty():
+                raise ConflictError(f"unique violation in index {name}")
+        stamp = F.lit(ts).cast("long").alias("commit_ts")
+        return gone.select(*keys, "sk", stamp, F.lit("D").alias("op")).unionByName(more.select(*keys, "sk", stamp, F.lit("U").alias("op")))
+
+    def statistics(self) -> tuple[dict, DataFrame]:
+        """(facts, sample): what analyze() stored, with `stale`, whether a sixteenth of the records has changed since."""
         m = self.manifest()
-        return indexes.build(self.snapshot(), m["keys"][0], m["indexes"][name])
+        found = m["statistics"]
+        if not found:
+            raise LookupError(f"{self.path} has no statistics")
+        keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.createDataFrame([], m["schema"]).schema.fields if f.name in m["keys"])
+        changed = self.log().where(F.col("commit_ts") > found["clock"]).count()
+        return found | {"stale": changed > found["records"] // 16}, self._read([found["sample"]], keys)
+
+    def estimate(self, ranges: DataFrame) -> DataFrame:
+        """ranges (low, high) with `selectivity` and `rows` by the stored statistics of the first key."""
+        found, sample = self.statistics()
+        key = self.manifest()["keys"][0]
+        return statistics.range_rows(statistics.steps(sample, key), ranges, key, found["records"])
+
+    def drop_statistics(self) -> None:
+        self._change(statistics={})
+
+    @staticmethod
+    def refresh_statistics(tables: Sequence[Table]) -> list[str]:
+        """Analyze again those tables that have none or that have changed since; returns their paths."""
+        todo = [t for t in tables if t.manifest()["statistics"].get("clock") != t.manifest()["clock"]]
+        for t in todo:
+            t.analyze()
+        return [t.path for t in todo]
+
+    def warm(self) -> DataFrame:
+        """The current snapshot, held in the executors' memory and disk until unpersist()."""
+        return self.snapshot().persist()
 
     # writing
 
@@ -144,9 +219,10 @@ class Table:
                     raise ConflictError("rows that were read or written have changed")
             ts = m["clock"] + 1
             rows = self.spark.read.schema(f"{m['schema']}, op string").parquet(f"{self.path}/{staged}")
+            entries = {k: [*m["entries"].get(k, []), self._write(self._index_changes(m, version, k, rows, ts), f"index-{k}")] for k in m["indexes"]}
             name = self._write(rows.select(*columns, F.lit(ts).cast("long").alias("commit_ts"), "op"), "log")
             try:
-                self._publish(version + 1, m | {"log": [*m["log"], name], "clock": ts})
+                self._publish(version + 1, m | {"log": [*m["log"], name], "clock": ts, "entries": entries})
                 return ts
             except ConflictError:
                 continue
@@ -159,9 +235,11 @@ class Table:
         kept = versions.collect_garbage(self.log(version), m["keys"], to_ts if oldest_active is None else oldest_active)
         rows = versions.checkpoint(kept, m["keys"], to_ts)
         columns = self.log(version).columns
+        oldest = to_ts if oldest_active is None else oldest_active
+        entries = {k: [self._write(versions.collect_garbage(self._entries(m, k), ["sk", *m["keys"]], oldest).where(f"op <> 'D' OR commit_ts > {oldest}"), f"index-{k}")] for k in m["indexes"]}
         base = self._write(rows.where("target = 'base' AND (op <> 'D' OR commit_ts > {})".format(to_ts if oldest_active is None else oldest_active)).select(*columns), "base")
         archive = self._write(rows.where("target = 'archive'").select(*columns), "archive")
-        self._publish(version + 1, m | {"log": [], "base": [base], "archive": [archive], "checkpoint_ts": to_ts})
+        self._publish(version + 1, m | {"log": [], "base": [base], "archive": [archive], "checkpoint_ts": to_ts, "entries": entries})
 
     def analyze(self) -> dict:
         """Record count and sampled keys of the snapshot, stored with the table."""
@@ -179,7 +257,8 @@ class Table:
         m = self.manifest(version)
         copy = Table(self.spark, path)
         name = copy._write(self.log(version), "log")
-        copy._publish(0, m | {"log": [name], "base": [], "archive": [], "entries": {}, "statistics": {}})
+        entries = {k: [copy._write(self._entries(m, k), f"index-{k}")] for k in m["indexes"]}
+        copy._publish(0, m | {"log": [name], "base": [], "archive": [], "entries": entries, "statistics": {}})
         return copy
 
     def vacuum(self, keep: int = 1) -> int:

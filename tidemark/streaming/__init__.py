@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import statistics
 from tidemark.sources import Table
 
 
@@ -32,7 +33,11 @@ def replay_into(feed: DataFrame, table: Table, checkpoint: str, schema_ts: int =
             return
         columns = [c for c in table.log(version).columns]
         name = table._write(rows.select(*columns), "log")
-        table._publish(version + 1, m | {"log": [*m["log"], name], "clock": max(m["clock"], top), "batch": number})
+        after = m | {"log": [*m["log"], name], "clock": max(m["clock"], top), "batch": number}
+        if m["indexes"]:  # replayed changes may be of any age, so entries follow from the rows
+            whole = table._read([*after["log"], *m["base"], *m["archive"]], f"{m['schema']}, commit_ts long, op string")
+            after["entries"] = table._rebuilt(after, whole)
+        table._publish(version + 1, after)
 
     return feed.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
 
@@ -76,3 +81,24 @@ def fold_stream(commands: DataFrame, key: str, order: str, state_type: str, step
         yield pd.DataFrame({key: [group[0]], "version": [version], "state": [value]})
 
     return commands.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, version long, state {state_type}", "held string", "update", GroupStateTimeout.NoTimeout)
+
+
+def sampled(feed: DataFrame, pool: str, key: str, capacity: int = statistics.POOL, seed: int = 0) -> DataFrame:
+    """(pool, records, sample): a uniform sample of each pool's keys as rows (pool, key, op) come; op D deletes, others insert.
+
+    A pool's state is its bounded sample; pools, such as a table's ranges, are dealt to tasks."""
+    kinds = [feed.schema[c].dataType.simpleString() for c in (pool, key)]
+
+    def run(group: tuple, frames: Iterator, state: GroupState) -> Iterator:
+        import json
+
+        import pandas as pd
+
+        held = statistics.RandomPairing.load(json.loads(state.get[0])) if state.exists else statistics.RandomPairing(capacity, seed)
+        for frame in frames:
+            for k, op in zip(frame[key].tolist(), frame["op"].tolist(), strict=True):
+                held.delete(k) if op == "D" else held.insert(k)
+        state.update((json.dumps(held.dump()),))
+        yield pd.DataFrame({pool: [group[0]], "records": [held.records], "sample": [held.kept]})
+
+    return feed.select(pool, key, "op").groupBy(pool).applyInPandasWithState(run, f"{pool} {kinds[0]}, records long, sample array<{kinds[1]}>", "held string", "update", GroupStateTimeout.NoTimeout)
