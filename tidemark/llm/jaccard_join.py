@@ -33,10 +33,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK = 1 << 20  # bytes of text that are hashed at once, but for longer texts
 #: Broadcasts of node or row ids stay under so many rows (16 bytes each); above, tables are shuffled.
 BROADCAST_ROWS = 1_000_000
-#: Rows and bytes of sets that a part of a long list is meant to hold, and ranges whose elements are counted.
+#: Rows and bytes of sets that a part of a long list is meant to hold, and ranges whose elements are counted: at least
+#: RANGES, and for larger sets so many that about PER_RANGE elements fall into one, up to MOST_RANGES.
 PART = 4096
 TILE_BYTES = 32_000_000
-RANGES = 128
+RANGES, PER_RANGE, MOST_RANGES = 128, 4, 1 << 14
 U = np.uint64
 
 
@@ -234,9 +235,35 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def range_counts(grams: np.ndarray) -> bytes:
-    """Elements of a set in each of RANGES ranges of a hash, at most 255. Sets that differ in d elements differ by d at most in sum."""
-    part = (mix(grams, 60) >> U(32)) * U(RANGES) >> U(32)
-    return np.minimum(np.bincount(part.astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
+    """Elements of a set in each of a power of two of ranges of a hash, at most 255. Sets that differ in d elements differ by d at most in sum."""
+    ranges = RANGES
+    while ranges * PER_RANGE < len(grams) and ranges < MOST_RANGES:
+        ranges *= 2
+    part = (mix(grams, 60) >> U(32)) * U(ranges) >> U(32)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=ranges), 255).astype(np.uint8).tobytes()
+
+
+class Counts:
+    """range_counts() of several sets, to be compared in the ranges of the one with fewer."""
+
+    def __init__(self, packed: list[bytes]):
+        self.ranges = np.array([len(x) for x in packed])
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # ranges: (row of each set, or -1; counts)
+        for ranges in np.unique(self.ranges).tolist():
+            own = np.flatnonzero(self.ranges >= ranges)
+            held = [np.frombuffer(packed[i], dtype=np.uint8).astype(np.int64).reshape(ranges, -1).sum(axis=1) for i in own]
+            row = np.full(len(packed), -1)
+            row[own] = np.arange(len(own))
+            self.levels[ranges] = row, np.minimum(np.stack(held), 255).astype(np.int16)
+
+    def differ(self, x: int, others: np.ndarray) -> np.ndarray:
+        """At most by how many elements set x surely differs from each of the others."""
+        out, ranges = np.zeros(len(others), dtype=np.int64), np.minimum(self.ranges[others], self.ranges[x])
+        for r in np.unique(ranges).tolist():
+            row, held = self.levels[r]
+            own = np.flatnonzero(ranges == r)
+            out[own] = np.abs(held[row[others[own]]] - held[row[x]]).sum(axis=1)
+        return out
 
 
 def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -368,12 +395,11 @@ class Tile:
         self.crossing = i[0] != j[0]
         roots, self.of, self.sizes = np.unique(self.root, return_inverse=True, return_counts=True)
         self.num, self.den = scheme.num, scheme.den
-        self.counts = None
 
     def parted(self) -> bool:
         return len(self.sizes) > 1
 
-    def pairs(self, counts: np.ndarray):
+    def pairs(self, counts: Counts):
         """(x, others): each pair of different components once, the largest one's rows never first, that sizes and
         counts by ranges allow to be linked. Components may be merged in `of` between two steps."""
         large = self.of == self.sizes.argmax()
@@ -385,13 +411,13 @@ class Tile:
                 other &= self.way != self.way[x]
             other = np.flatnonzero(other)
             differ = self.n[other] + self.n[x] + 2 * (-(self.num * (self.n[other] + self.n[x])) // (self.num + self.den))
-            other = other[np.abs(counts[other] - counts[x]).sum(axis=1) <= differ]
+            other = other[counts.differ(x, other) <= differ]
             if len(other):
                 yield x, other
 
 
 #: Of a node's torn lists, so many of the smallest keys travel with it.
-KEYS = 12
+KEYS = 24
 
 
 def open_nodes(torn: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
@@ -405,7 +431,7 @@ def open_nodes(torn: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
         if not tile.parted():
             return
         at, rep = table.column("at")[0].as_py(), table.column("rep")[0].as_py()
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype=np.uint8).reshape(-1, RANGES).astype(np.int16)
+        counts = Counts(table.column("counts").to_pylist())
         column = table.column("keys").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         flat, ends = column.flatten().to_numpy(), column.value_lengths().to_numpy().cumsum()
@@ -428,7 +454,7 @@ def open_nodes(torn: DataFrame, own: DataFrame, scheme: Scheme) -> DataFrame:
         if live.any():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(live.sum(), at)), pa.array(tile.node[live])], names=["at", "node"])
 
-    return by_tile(tiled(torn, F.lit(1), PART, own), judge, "at long, node long").distinct()
+    return by_tile(tiled(torn, F.greatest(F.col("n") / PER_RANGE, F.lit(4 * RANGES)), PART * 4 * RANGES, own), judge, "at long, node long").distinct()
 
 
 def links_within(rows: DataFrame, held: DataFrame, scheme: Scheme) -> DataFrame:
@@ -442,7 +468,7 @@ def links_within(rows: DataFrame, held: DataFrame, scheme: Scheme) -> DataFrame:
         if not tile.parted():
             return
         sets = [x.values.to_numpy().view(np.uint64) for x in table.column("grams")]
-        counts = np.stack([np.frombuffer(range_counts(s), dtype=np.uint8) for s in sets]).astype(np.int16)
+        counts = Counts([range_counts(s) for s in sets])
         a, b = [], []
         for x, other in tile.pairs(counts):
             own = sets[x]
@@ -468,19 +494,24 @@ def between_components(lists: DataFrame, best: DataFrame, parts: DataFrame, docs
     Lists whose nodes but the rep are in one component are done. In the others, two passes over tiles find which
     nodes may have a link left, by sizes and counts, and then, with these nodes' sets, the links."""
     rooted = common.materialise(lists.join(parts, "node", "left").select("at", "node", "n", F.coalesce("root", "node").alias("root")))
-    torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y AND m > 2")
+    # Of lists with the same nodes, told apart by two hashes of them all, one is enough.
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in range(2)]
+    torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m"), *same).where("x <> y AND m > 2")
+    torn = torn.groupBy("m", "s0", "s1").agg(F.min("at").alias("at"))
     torn_rows = common.materialise(rooted.join(common.materialise(torn.select("at")), "at").join(best.select("at", "rep"), "at"))
     others = F.when(F.col("node") != F.col("rep"), F.col("root"))
     done = torn_rows.groupBy("at").agg(F.min(others).alias("x"), F.max(others).alias("y")).where("x = y").select("at")
     torn_rows = common.materialise(torn_rows.join(common.materialise(done), "at", "left_anti"))
-    keys = torn_rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("at")), 1, KEYS).alias("keys"))  # a node's own lists
     counts = rows.where(F.col("counts").isNotNull()).select("node", "counts").dropDuplicates(["node"])
-    own = common.materialise(keys.join(counts, "node"))
-    live = common.materialise(open_nodes(torn_rows, own, scheme))
+    live = torn_rows
+    for _ in range(2):  # a node's smallest lists tell more, the fewer lists are open
+        keys = live.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("at")), 1, KEYS).alias("keys"))  # a node's own lists
+        own = common.materialise(keys.join(counts, "node"))
+        live = common.materialise(torn_rows.join(open_nodes(live, own, scheme), ["at", "node"]))
     if live.isEmpty():
         return live.select(F.col("at").alias("a"), F.col("node").alias("b"))
     held = sets_of(live.select("node").distinct(), docs, rows, k)
-    return common.materialise(links_within(torn_rows.join(live, ["at", "node"]).select("at", "node", "n", "root"), held, scheme))
+    return common.materialise(links_within(live.select("at", "node", "n", "root"), held, scheme))
 
 
 def compatible(scheme: Scheme, a: str, b: str) -> Column:
