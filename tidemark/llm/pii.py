@@ -3,12 +3,15 @@
 Seeds are what fixed formats prove (e-mail, IPv4, card with its check digit, phone with its plus). The words on
 either side of seeds and of look-alikes are lexical patterns. Patterns and identifiers form a bipartite graph: a
 pattern's score is the belief in the identifiers it stands beside, an identifier's belief is 1 for seeds and
-otherwise the noisy-or of its patterns' scores; the two alternate for a few rounds. Patterns that end above a
-confidence with enough seeds then turn the look-alikes beside them into findings.
+otherwise the noisy-or of the scores of the patterns that were accepted. Patterns above a confidence with enough
+believed identifiers are accepted; the look-alikes beside them join the identifiers and so lend belief to further
+patterns, until a round accepts no more.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +77,31 @@ def beside(piece: Column, left: bool) -> Column:
     return F.regexp_replace(F.lower(word), "[0-9]", "0")
 
 
+def in_blocks(items: Column, step: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """A struct of `out`, an array with the array of each block of items, and `at`, a running number from 0.
+
+    step(acc, item) appends to acc's `out`, an array of kind, and moves its `at`. An array that grows by one is copied
+    each time, so one for all items of a long text would take the square of their number."""
+    empty = F.array().cast(f"array<{kind}>")
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), lambda j: F.slice(items, j * block + 1, F.lit(block)))
+    blocks = F.when(F.size(items) > block, cut).otherwise(F.array(items))
+
+    def join(acc: Column, own: Column) -> Column:
+        done = F.aggregate(own, F.struct(empty.alias("out"), acc["at"].alias("at")), step)
+        return F.struct(F.array_append(acc["out"], done["out"]).alias("out"), done["at"].alias("at"))
+
+    begin = F.struct(F.array().cast(f"array<array<{kind}>>").alias("out"), F.lit(0).cast("long").alias("at"))
+    return F.aggregate(blocks, begin, join)
+
+
 def places(kind: str, m: Column, p: Column) -> Column:
     """Spans of the matches m, which stand between the pieces p, that are seeds or look-alikes."""
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(p, i))
-        return F.struct(F.array_append(acc["starts"], start).alias("starts"), (start + F.length(F.get(m, i))).alias("at"))
+        return F.struct(F.array_append(acc["out"], start).alias("out"), (start + F.length(F.get(m, i))).alias("at"))
 
-    index = F.sequence(F.lit(0), F.size(m) - 1)
-    begin = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(0).cast("long").alias("at"))
-    starts = F.aggregate(index, begin, step, lambda acc: acc["starts"])
+    starts = F.flatten(in_blocks(F.sequence(F.lit(0), F.size(m) - 1), step, "bigint")["out"])
 
     def span(start: Column, i: Column) -> Column:
         own = F.get(m, i)
@@ -115,41 +133,46 @@ def spans(docs: DataFrame) -> DataFrame:
     return out.drop(*[f"_{a}_{k}" for a in "hmps" for k in FIND])
 
 
-def pattern_scores(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """(k, side, word, score, seeds): confidence of each pattern in the graph edges (k, side, word, v, seed).
+def accepted(edges: DataFrame, confidence: float, least: int, rounds: int) -> DataFrame:
+    """(k, side, word, score): patterns of the graph edges (k, side, word, v, seed) that are accepted in the end.
 
-    score = sum of beliefs / (identifiers + 2), so rare patterns score low. Each half-round is one sum by
-    pattern or by identifier with partial sums before its shuffle; its result is written, so that a pattern
-    or identifier with a large share of the edges is split when it is joined again."""
+    score = sum of beliefs / (identifiers + 2), so rare patterns score low; `least` identifiers must be believed. Beliefs
+    and scores only grow, so a round that accepts no more and in which scores settle ends the search; `rounds` bounds it.
+    Each half-round is one sum by pattern or by identifier with partial sums before its shuffle; its result is written,
+    so that a pattern or identifier with a large share of the edges is split when it is joined again."""
     at = ["k", "side", "word"]
-    total = F.sum(F.col("belief")) / (F.count(F.lit(1)) + 2)
-    seeds = F.sum(F.col("seed").cast("long")).alias("seeds")
-    scores = common.materialise(edges.withColumn("belief", F.col("seed").cast("double")).groupBy(*at).agg(total.alias("score"), seeds))
-    for _ in range(rounds - 1):
-        open_edges = edges.where(~F.col("seed")).join(scores.where("score > 0").select(*at, "score"), at)
+    sure, last = None, (-1, 0.0)
+    believed = edges.withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(0.0))
+    for _ in range(rounds):
+        scores = believed.groupBy(*at).agg((F.sum("belief") / (F.count(F.lit(1)) + 2)).alias("score"), F.sum((F.col("belief") > 0).cast("long")).alias("believed"))
+        sure = common.materialise(scores.where((F.col("score") >= confidence) & (F.col("believed") >= least)).select(*at, "score"))
+        now = tuple(sure.agg(F.count(F.lit(1)), F.coalesce(F.sum("score"), F.lit(0.0))).first())
+        if now[0] == 0 or now[0] == last[0] and now[1] - last[1] <= 1e-3:
+            break
+        last = now
         doubt = F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999))))
-        beliefs = common.materialise(open_edges.groupBy("k", "v").agg((1 - F.exp(doubt)).alias("got")))
+        beliefs = common.materialise(edges.where(~F.col("seed")).join(sure, at).groupBy("k", "v").agg((1 - F.exp(doubt)).alias("got")))
         believed = edges.join(beliefs, ["k", "v"], "left").withColumn("belief", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("got", F.lit(0.0))))
-        scores = common.materialise(believed.groupBy(*at).agg(total.alias("score"), seeds))
-    return scores
+    return sure
 
 
-def find(docs: DataFrame, rounds: int = 2, confidence: float = 0.6, min_seeds: int = 3, keep_text: bool = True) -> DataFrame:
+def find(docs: DataFrame, rounds: int = 20, confidence: float = 0.6, least: int = 3, keep_text: bool = True) -> DataFrame:
     """Rows of docs, each as a struct `doc`, with `base` and `added`, arrays of spans (k: number in KINDS, s, e: code
     points, end exclusive).
 
     A null text counts as empty; repeated rows and null ids are told apart by their place; further columns, of
     any name, stay in the struct as they are. keep_text: whether the text stays in it, which redact() needs."""
-    found = spans(docs)
-    found = found if keep_text else found.withColumn("doc", F.col("doc").dropFields("text"))
-    rows = common.materialise(found.withColumn("_row", F.monotonically_increasing_id()))
-    each = rows.select("_row", F.explode(F.concat("base", "alike")).alias("x")).select("_row", "x.*")
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word"))))
-    beside_each = each.select("_row", "k", "s", "e", "seed", "v", sides.alias("y")).select("_row", "k", "s", "e", "seed", "v", "y.*").where("word <> ''")
-    edges = common.materialise(beside_each.groupBy("k", "side", "word", "v").agg(F.max("seed").alias("seed")))
-    sure = pattern_scores(edges, rounds).where((F.col("score") >= confidence) & (F.col("seeds") >= min_seeds)).select("k", "side", "word")
-    found = beside_each.where(~F.col("seed")).join(sure, ["k", "side", "word"]).select("_row", F.struct("k", "s", "e").alias("x"))
-    added = found.groupBy("_row").agg(F.array_sort(F.collect_set("x")).alias("added"))  # one text's own spans
+    with common.scratch(docs.sparkSession):
+        found = spans(docs)
+        found = found if keep_text else found.withColumn("doc", F.col("doc").dropFields("text"))
+        rows = common.materialise(found.withColumn("_row", F.monotonically_increasing_id()), outer=True)
+        each = rows.select("_row", F.explode(F.concat("base", "alike")).alias("x")).select("_row", "x.*")
+        sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word"))))
+        beside_each = each.select("_row", "k", "s", "e", "seed", "v", sides.alias("y")).select("_row", "k", "s", "e", "seed", "v", "y.*").where("word <> ''")
+        edges = common.materialise(beside_each.groupBy("k", "side", "word", "v").agg(F.max("seed").alias("seed")))
+        sure = accepted(edges, confidence, least, rounds).select("k", "side", "word")
+        hits = beside_each.where(~F.col("seed")).join(sure, ["k", "side", "word"]).select("_row", F.struct("k", "s", "e").alias("x"))
+        added = common.materialise(hits.groupBy("_row").agg(F.array_sort(F.collect_set("x")).alias("added")), outer=True)  # one text's own spans
     base = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))).alias("base")
     none = F.array().cast("array<struct<k:int,s:bigint,e:bigint>>")
     return rows.join(added, "_row", "left").select("doc", base, F.coalesce("added", none).alias("added"))
@@ -167,21 +190,21 @@ def summary(found: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
     return found.select(
         F.col("doc.doc_id").cast("long").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_union("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
 
 
 def redact(found: DataFrame) -> DataFrame:
     """The rows given to find(), with [KIND] in place of each span of text (overlapping spans share the first one's mark)."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    every = F.array_sort(F.transform(F.array_union("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+    every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
     cut = lambda a, b: F.substring(F.col("doc.text"), (a + 1).cast("int"), (b - a).cast("int"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.array(cut(acc["at"], x["s"]), F.get(marks, x["k"]))
         return F.struct(F.when(x["s"] >= acc["at"], F.concat(acc["out"], fresh)).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at"))
 
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
-    whole = F.aggregate(every, begin, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(cut(acc["at"], F.length("doc.text").cast("long")))), ""))
+    done = in_blocks(F.col("_every"), step, "string")
+    whole = F.concat(F.array_join(F.transform(done["out"], lambda x: F.array_join(x, "")), ""), cut(done["at"], F.length("doc.text").cast("long")))
     text = F.when((F.size("base") + F.size("added") > 0) & F.col("doc.text").isNotNull(), whole).otherwise(F.col("doc.text"))
-    return found.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
+    return found.withColumn("_every", every).select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
