@@ -101,3 +101,18 @@ def test_mixed_rows(spark):
     assert {k: copies[k] for k in plan} == {k: len(r["shards"]) for k, r in plan.items()}
     clash = documents(spark, awkward())
     assert mixing.mix(clash).columns == clash.columns
+
+
+def test_repeated_rows_across_the_cut(spark):
+    """Rows alike are taken as often as planned, wherever the cut lies, with null ids and other columns that differ."""
+    docs = [(None if i % 2 else 7, "x y z", None, "big") for i in range(600)] + [(i, "p q", None, "small") for i in range(50)]
+    frame = documents(spark, docs).withColumn("extra", F.monotonically_increasing_id()).repartition(5)
+    want = collections.Counter()
+    for r in mixing.plan(frame, whole=True).collect():
+        want[r["doc_id"]] += len(r["shards"])
+    got = mixing.mix(frame)
+    assert got.columns == frame.columns
+    assert collections.Counter(r["doc_id"] for r in got.collect()) == +want
+    assert max(collections.Counter(r["extra"] for r in got.collect()).values()) <= 3
+    assert 0 < want[7] != 600 or 0 < want[None] != 600
+    assert collections.Counter(r["doc_id"] for r in mixing.mix(frame).collect()) == +want

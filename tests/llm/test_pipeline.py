@@ -1,6 +1,8 @@
+import collections
 import re
 
-from helpers import components, shingles
+import pytest
+from helpers import awkward, components, documents, shingles
 from test_pii import base
 
 import corpus_pipeline
@@ -45,3 +47,47 @@ def test_stages_against_plain_versions(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "ids", "n_tokens", "log_prob", "inclusion"] and got.count() > 50
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, ties, repeated rows, and a column of every name that operators use inside."""
+    near = "one two three four five six seven eight nine ten eleven twelve"
+    return documents(spark, [*awkward(), (40, near), (41, near), (40, near), (42, f"{near} mail a@b.cc", "en", "s")]).persist()
+
+
+def texts_of(frame):
+    return collections.Counter((r["doc_id"], r["text"]) for r in frame.collect())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_awkward_rows(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got, given = stage(spark, odd, DATA), texts_of(odd)
+    if name != "encoding":
+        assert got.columns == odd.columns
+    if name == "quality classifier":
+        model = quality.fit(odd, queries.table(spark, DATA, "labels"))
+        plain = {(i, t): model.score(__import__("numpy").array([quality.features((t or "").encode())]))[0] >= 0.5 for i, t in given}
+        assert texts_of(got) == {k: n for k, n in given.items() if plain[k]}
+    elif name == "near duplicates":
+        kept = texts_of(got)
+        assert not [k for k, n in kept.items() if k[1] and k[1].split() and n > 1]
+        assert [i for i, t in kept if t and t.startswith("one two")] == [40] and sum(n for (i, t), n in kept.items() if not (t or "").split()) == sum(n for (i, t), n in given.items() if not (t or "").split())
+    elif name == "personal data":
+        assert texts_of(got) == collections.Counter({(i, t and t.replace("a@b.cc", "[EMAIL]")): n for (i, t), n in given.items()})
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.collect())
+    elif name == "mixing":
+        want = collections.Counter()
+        for r in mixing.plan(odd, whole=True).collect():
+            want[r["doc_id"]] += len(r["shards"])
+        assert collections.Counter(r["doc_id"] for r in got.collect()) == +want
+    else:
+        rows = got.collect()
+        assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter(r["doc_id"] for r in odd.collect())
+        assert all((r["n_tokens"] == 0) == (len(r["ids"]) == 0) for r in rows)
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), DATA).count() == 0

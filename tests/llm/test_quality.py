@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from helpers import awkward, crc, documents, words
 
 from tidemark.llm import quality, queries
@@ -45,3 +46,32 @@ def test_one_label_or_none(spark):
 def test_strength_learns_the_order():
     x = quality.features(b"The cat sat. It was well.")
     assert len(x) == len(quality.NAMES) and all(np.isfinite(quality.features(b"")))
+
+
+def test_fit_and_scores_match_plain_ranking(spark):
+    """Gradient descent on the mean logistic loss of preference pairs, and scores by the formula, row by row."""
+    rng = random.Random(9)
+    texts = [(i, " ".join(words(rng, rng.randrange(5, 80))) + ("!! BUY" * rng.randrange(4) if i % 2 else ". ")) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0 or i % 7 == 0)) for i, _ in texts], "doc_id long, quality int")
+    model = quality.fit(documents(spark, texts), labels, pairs=300)
+    x = np.array([quality.features(t.encode()) for _, t in texts])
+    y = np.array([int(i % 2 == 0 or i % 7 == 0) for i, _ in texts])
+    order = np.lexsort((*x.T[::-1], y))
+    x, y = x[order], y[order]
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    draw = np.random.default_rng(7)
+    pairs = list(zip(draw.choice(np.flatnonzero(y == 1), 300), draw.choice(np.flatnonzero(y != 1), 300), strict=True))
+    d, w = np.array([z[a] - z[b] for a, b in pairs]), np.zeros(z.shape[1])
+    for _ in range(60_000):
+        grad = 1e-3 * w - (d / (1 + np.exp(d @ w))[:, None]).mean(axis=0)
+        w -= 0.02 * grad
+    loss = lambda v: np.log1p(np.exp(-(d @ v))).mean() + 5e-4 * v @ v
+    assert loss(model.weights) <= loss(w) + 1e-6 and loss(w) < loss(model.weights) + 1e-3
+    strengths = z @ model.weights
+    errors = min(((strengths >= t) != (y == 1)).sum() for t in np.quantile(strengths, np.linspace(0, 1, 121)))
+    assert ((strengths >= model.threshold) != (y == 1)).sum() == errors
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(documents(spark, texts), model).collect()}
+    for i, t in texts:
+        own = np.clip((np.array(quality.features(t.encode())) - model.mean) / model.scale, -6, 6)
+        s = 1 / (1 + np.exp(-(sum(a * b for a, b in zip(own, model.weights, strict=True)) - model.threshold)))
+        assert got[i][0] == pytest.approx(s) and got[i][1] == (got[i][0] >= 0.5)

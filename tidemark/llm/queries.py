@@ -72,7 +72,9 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return permutation_ann.Index(vectors, k=5).search(vectors.where("vec_id % 50 = 0"))
+    with common.scratch(spark):
+        found = permutation_ann.Index(vectors, k=5).search(vectors.where("vec_id % 50 = 0"))
+        return common.materialise(found, outer=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -88,4 +90,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by brute force, and what links reach by recursion: right at any size, fit for small ones.
+OP5_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, LEAST(a, MIN(b)) AS component_id FROM r GROUP BY a), n AS (SELECT a, COUNT(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, COALESCE(n_links, 0) AS n_links, COALESCE(component_id, vec_id) AS component_id, COALESCE(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+OP7_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, ANY_VALUE(a.n) AS n, ANY_VALUE(b.n) AS m, COUNT(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (n + m - shared)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, LEAST(a, MIN(b)) AS component_id FROM r GROUP BY a)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, COALESCE(component_id, doc_id) AS component_id FROM g LEFT JOIN c ON c.a = doc_id"""
+ORACLE_SQL: dict[str, str] = {"op5_near_dedup": OP5_SQL, "op7_jaccard_join": OP7_SQL}
