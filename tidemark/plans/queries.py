@@ -620,7 +620,7 @@ def _stored(spark: SparkSession, schema: str, keys: list[str], indexes_: dict[st
     return made
 
 
-@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS sk, o_orderkey AS pk, CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 2 END AS commit_ts FROM orders WHERE o_orderkey % 11 <> 0")
+@query("SELECT CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 1 ELSE o_custkey END AS sk, o_orderkey AS pk, CAST(CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 2 END AS BIGINT) AS commit_ts FROM orders WHERE o_orderkey % 11 <> 0")
 def index_maintained(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     t = _stored(spark, "o_orderkey long, o_custkey long", ["o_orderkey"], {"by_customer": "o_custkey"})
