@@ -8,6 +8,8 @@ count of each of its prefixes, and a running sum over words gives that of each p
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import re
 import sys
@@ -150,7 +152,7 @@ class PrefixCounter:
         return text.translate(LOWER).lower()
 
     def pieces(self, text: str) -> list[str]:
-        return (self.any_word if self.beyond_latin.search(text) else self.latin_word).findall(text)
+        return self.word_pattern(text).findall(text)
 
     def split(self, text: str) -> list[tuple[str, bool]]:
         """Runs of ordinary text (normalised) and special tokens, in order."""
@@ -166,36 +168,51 @@ class PrefixCounter:
         """Tokens of a whole text, where nothing is asked of its prefixes."""
         return sum(1 if special else sum(map(self.words.__getitem__, self.pieces(run))) for run, special in self.split(text))
 
+    def word_pattern(self, run: str):
+        return self.any_word if self.beyond_latin.search(run) else self.latin_word
+
     def prefixes(self, text: str) -> Prefixes:
         """One pass over a text that stores what all questions about its prefixes need."""
-        words: list[str | None] = []
-        begins: list[int] = []
-        ends: list[int] = []
+        runs = [(run, special, [run] if special else self.pieces(run)) for run, special in self.split(text)]
         counts: list[int] = []
-        done = 0
-        for run, special in self.split(text):
-            if special:
-                words.append(None)
-                begins.append(done)
-                ends.append(done + len(run))
-                counts.append(1)
-            else:
-                for m in (self.any_word if self.beyond_latin.search(run) else self.latin_word).finditer(run):
-                    words.append(m[0])
-                    begins.append(done + m.start())
-                    ends.append(done + m.end())
-                    counts.append(self.words[m[0]])
-            done += len(run)
-        return Prefixes(self, words, np.array(begins, dtype=np.int64), np.array(ends, dtype=np.int64), np.cumsum(np.array(counts, dtype=np.int64)), done)
+        for _, special, words in runs:
+            counts += [1] if special else map(self.words.__getitem__, words)
+        return Prefixes(self, runs, np.cumsum(np.array(counts, dtype=np.int64)))
 
 
 class Prefixes:
     """Token counts of all prefixes of a normalised text: running counts at the ends of words, and each word's own table.
 
-    A special token counts whole or not at all; the characters that a cut leaves of it stand outside the prefix."""
+    A special token counts whole or not at all; the characters that a cut leaves of it stand outside the prefix. Where
+    the words stand is found out with the first question that needs it, as most texts are only asked for their total."""
+
+    def __init__(self, counter: PrefixCounter, runs: list[tuple[str, bool, list[str]]], counts: np.ndarray):
+        self.counter, self.runs, self.counts = counter, runs, counts
+
+    def word(self, i: int) -> tuple[str, int, bool]:
+        """(word number i, where it begins, whether it is a special token)."""
+        done = 0
+        for run, special, words in self.runs:
+            if i < len(words):
+                inside = 0 if special else next(itertools.islice(self.counter.word_pattern(run).finditer(run), i, None)).start()
+                return words[i], done + inside, special
+            i -= len(words)
+            done += len(run)
+        raise IndexError(i)
+
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        """Where all words end."""
+        out: list[int] = []
+        done = 0
+        for run, special, _ in self.runs:
+            out += [done + len(run)] if special else [done + m.end() for m in self.counter.word_pattern(run).finditer(run)]
+            done += len(run)
+        return np.array(out, dtype=np.int64)
 
-    def __init__(self, counter: PrefixCounter, words: list[str | None], begins: np.ndarray, ends: np.ndarray, counts: np.ndarray, length: int):
-        self.counter, self.words, self.begins, self.ends, self.counts, self.length = counter, words, begins, ends, counts, length
+    @property
+    def length(self) -> int:
+        return sum(len(run) for run, _, _ in self.runs)
 
     def total(self) -> int:
         return int(self.counts[-1]) if len(self.counts) else 0
@@ -204,21 +221,19 @@ class Prefixes:
         """Tokens of the first `chars` characters."""
         i = int(np.searchsorted(self.ends, chars, side="right"))
         whole = int(self.counts[i - 1]) if i else 0
-        if i == len(self.words) or self.words[i] is None:
+        if i == len(self.counts):
             return whole
-        inside = chars - int(self.begins[i])
-        return whole + (self.counter.table(self.words[i])[inside] if inside > 0 else 0)
+        word, begin, special = self.word(i)
+        return whole if special or chars <= begin else whole + self.counter.table(word)[chars - begin]
 
     def longest(self, budget: int) -> int:
         """Characters of the longest prefix that fits a budget of tokens."""
         i = int(np.searchsorted(self.counts, budget, side="right"))
-        if i == len(self.words):
+        if i == len(self.counts):
             return self.length
+        word, begin, special = self.word(i)
         spent = int(self.counts[i - 1]) if i else 0
-        if self.words[i] is None:
-            return int(self.begins[i])
-        fits = [k for k, c in enumerate(self.counter.table(self.words[i])) if spent + c <= budget]
-        return int(self.begins[i]) + fits[-1]
+        return begin if special else begin + [k for k, c in enumerate(self.counter.table(word)) if spent + c <= budget][-1]
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
