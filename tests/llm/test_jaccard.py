@@ -1,5 +1,7 @@
+import collections
 import random
 
+import numpy as np
 import pytest
 from helpers import awkward, components, documents, shingles, words
 
@@ -124,3 +126,29 @@ def test_keep_one_by_row(spark):
     docs = documents(spark, [(1, a), (5, a), (5, b), (None, b), (5, b), (6, "x y z")])
     got = sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs).collect())
     assert got == [(1, a), (5, b), (6, "x y z")]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_lists_of_two_are_one_row(spark, batch):
+    """All nodes of longer and of hot lists, and both of a list of two in one row, however rows fall into batches."""
+    rng = random.Random(1)
+    posts = [(i, i % 50 + 1, [rng.randrange(60) if rng.random() < 0.3 else rng.randrange(60, 900) for _ in range(rng.randrange(8))]) for i in (rng.randrange(200) for _ in range(300))]
+    want = collections.defaultdict(dict)
+    for node, n, lists in posts:
+        for at in lists:
+            want[at][node] = n
+    scheme = jaccard_join.Scheme(8, 10, hot=np.array([3, 70]), ways=np.array([2, 2]))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = jaccard_join.members(spark.createDataFrame(posts, "node long, n long, lists array<long>"), scheme).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    more, twos = collections.defaultdict(dict), {}
+    for r in got:
+        if r["other"] is None:
+            more[r["at"]][r["node"]] = r["n"]
+        else:
+            twos[r["at"]] = {r["node"]: r["n"], r["other"]: r["other_n"]}
+    assert more == {at: x for at, x in want.items() if len(x) > 2 or at in (3, 70)} and len(got) == sum(map(len, more.values())) + len(twos)
+    assert twos == {at: x for at, x in want.items() if len(x) == 2 and at not in (3, 70)}

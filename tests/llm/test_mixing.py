@@ -116,3 +116,20 @@ def test_repeated_rows_across_the_cut(spark):
     assert max(collections.Counter(r["extra"] for r in got.collect()).values()) <= 3
     assert 0 < want[7] != 600 or 0 < want[None] != 600
     assert collections.Counter(r["doc_id"] for r in mixing.mix(frame).collect()) == +want
+
+
+def test_texts_move_once(spark):
+    """Texts are dealt to shards, and not joined row by row before."""
+    docs = documents(spark, [(i, "a b " * (i % 9), "en", "pqr"[i % 3]) for i in range(400)])
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = mixing.mix(docs)
+        steps = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in steps and steps.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in steps
+    want = collections.Counter()
+    for r in mixing.plan(docs, whole=True).collect():
+        want[r["doc_id"]] += len(r["shards"])
+    assert collections.Counter(r["doc_id"] for r in got.collect()) == +want

@@ -292,7 +292,8 @@ def posted(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
 
 
 def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
-    """(at, way, node, n): the nodes of each list that has at least two, and of all lists the sample showed to be hot.
+    """(at, way, node, n, other, other_n): the nodes of each list that has at least three, and of all lists the sample
+    showed to be hot. A list of two nodes is one row, with the second node as `other`, which is null elsewhere.
 
     Hot lists are dealt out in ways, numbered from 1; others are way 0."""
     hot, ways = scheme.hot, scheme.ways
@@ -305,12 +306,12 @@ def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
                 place = np.minimum(np.searchsorted(hot, at), len(hot) - 1)
                 is_hot = hot[place] == at
                 way[is_hot] = 1 + (mix(node[is_hot].view(np.uint64), 9) % ways[place[is_hot]].astype(np.uint64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(way), pa.array(node), pa.array(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(way), pa.array(node), pa.array(n)], names=names[:4])
 
     def runs(batches):
-        last = None  # the last row, which of its list's nodes it is, and the list's first node with its size
+        last = None  # the last row, which of its list's nodes it is, and the list's first and second node with their sizes
         for batch in batches:
-            at, way, node, n = (batch.column(c).to_numpy() for c in names)
+            at, way, node, n = (batch.column(c).to_numpy() for c in names[:4])
             if not len(at):
                 continue
             if last is not None:  # it goes in front of the batch
@@ -325,31 +326,48 @@ def members(rows: DataFrame, scheme: Scheme) -> DataFrame:
             if last is not None:
                 own = which == 0
                 nth, first, first_n = np.where(own, nth + last[4], nth), np.where(own, last[5], first), np.where(own, last[6], first_n)
-            live = ~repeat & ((nth > 0) | (way > 0))
+            new = ~repeat
             if last is not None:
-                live[0] = False
-            second = np.flatnonzero(live & (nth == 1) & (way == 0))  # now the first one is known to be in company
-            live = np.flatnonzero(live)
-            columns = [np.concatenate([x[second], x[live]]) for x in (at, way)]
-            columns += [np.concatenate([first[second], node[live]]), np.concatenate([first_n[second], n[live]])]
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-            last = (at[-1], way[-1], node[-1], n[-1], nth[-1], first[-1], first_n[-1])
-
-    names = ["at", "way", "node", "n"]
+                new[0] = False
+            number, next_ = np.cumsum(begin) - 1, np.flatnonzero(new & (nth == 1))
+            second, second_n = np.zeros(number[-1] + 1, dtype=np.int64), np.zeros(number[-1] + 1, dtype=np.int64)
+            if last is not None:
+                second[0], second_n[0] = last[7:]
+            second[number[next_]], second_n[number[next_]] = node[next_], n[next_]
+            second, second_n = second[number], second_n[number]
+            third = np.flatnonzero(new & (nth == 2) & (way == 0))  # now the first two are known to be in company
+            live = np.flatnonzero(new & ((nth > 1) | (way > 0)))
+            two = np.flatnonzero(np.append(begin[1:], False) & (nth == 1) & (way == 0))  # lists that end with their second node
+            columns = [np.concatenate([x[third], x[third], x[live], x[two]]) for x in (at, way)]
+            columns += [np.concatenate([first[third], second[third], node[live], first[two]]), np.concatenate([first_n[third], second_n[third], n[live], first_n[two]])]
+            alone = np.arange(len(columns[0])) < len(columns[0]) - len(two)
+            columns += [np.concatenate([np.zeros(alone.sum(), dtype=np.int64), x[two]]) for x in (second, second_n)]
+            if len(alone):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[:4]] + [pa.array(c, mask=alone) for c in columns[4:]], names=names)
+            last = (at[-1], way[-1], node[-1], n[-1], nth[-1], first[-1], first_n[-1], second[-1], second_n[-1])
+        if last is not None and last[4] == 1 and last[1] == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*last[:2], *last[5:])], names=names)
+
+    names = ["at", "way", "node", "n", "other", "other_n"]
     schema = "at long, way int, node long, n long"
     each = rows.where("n > 0").select(F.explode("lists").alias("at"), "node", "n").mapInArrow(spread, schema)
     each = each.repartition("at", "way").sortWithinPartitions("at", "way", "node")
-    return common.materialise(each.mapInArrow(runs, schema))
+    return common.materialise(each.mapInArrow(runs, f"{schema}, other long, other_n long"))
+
+
+def few(frame: DataFrame) -> DataFrame:
+    """A written table of ids to be joined where the rows are, if BROADCAST_ROWS allow it."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def most_posted(lists: DataFrame) -> DataFrame:
-    """(at, rep, rep_n): the node of each list that is posted in most of all lists (ties: the larger).
+def most_posted(lists: DataFrame, twos: DataFrame) -> DataFrame:
+    """(at, rep, rep_n): the node of each list that is posted in most of all lists and twos (ties: the larger).
 
     Sums by list and node combine within tasks, and what they are joined with is written before, so that a
     list or node with many rows can be split."""
-    posts = common.materialise(lists.groupBy("node").agg(F.count(F.lit(1)).alias("posts")))
-    best = lists.join(posts, "node").groupBy("at").agg(F.max(F.struct("posts", "node", "n")).alias("best"))
+    every = lists.select("node").unionByName(twos.select(F.explode(F.array("node", "other")).alias("node")))
+    posts = common.materialise(every.groupBy("node").agg(F.count(F.lit(1)).alias("posts")))
+    best = lists.join(few(posts), "node").groupBy("at").agg(F.max(F.struct("posts", "node", "n")).alias("best"))
     return common.materialise(best.select("at", F.col("best.node").alias("rep"), F.col("best.n").alias("rep_n")))
 
 
@@ -498,7 +516,8 @@ def between_components(lists: DataFrame, best: DataFrame, parts: DataFrame, docs
     same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"s{i}") for i in range(2)]
     torn = rooted.groupBy("at").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m"), *same).where("x <> y AND m > 2")
     torn = torn.groupBy("m", "s0", "s1").agg(F.min("at").alias("at"))
-    torn_rows = common.materialise(rooted.join(common.materialise(torn.select("at")), "at").join(best.select("at", "rep"), "at"))
+    torn = few(common.materialise(torn.select("at")))
+    torn_rows = common.materialise(rooted.join(torn, "at").join(best.select("at", "rep").join(torn, "at"), "at"))
     others = F.when(F.col("node") != F.col("rep"), F.col("root"))
     done = torn_rows.groupBy("at").agg(F.min(others).alias("x"), F.max(others).alias("y")).where("x = y").select("at")
     torn_rows = common.materialise(torn_rows.join(common.materialise(done), "at", "left_anti"))
@@ -531,8 +550,9 @@ def sets_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataF
         common.give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("text")
-    # Repeated rows bring equal sets; a node needs one.
-    return common.materialise(texts.mapInArrow(sets, "node long, grams array<long>").dropDuplicates(["node"]))
+    found = common.materialise(texts.mapInArrow(sets, "node long, grams array<long>"))
+    # Repeated rows bring equal sets; a node needs one. Sets are wide, so they only move if there are such rows.
+    return found if found.count() == one.count() else common.materialise(found.dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -568,10 +588,12 @@ def grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     component, its smallest doc_id."""
     scheme = choose_scheme(docs, k, num, den)
     rows = posted(docs, k, scheme)
-    lists = members(rows, scheme)
+    every = members(rows, scheme)
+    lists, twos = every.where("other IS NULL").select("at", "way", "node", "n"), every.where("other IS NOT NULL").select("node", "n", "other", "other_n")
     nodes = common.materialise(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep_doc")))
-    best = most_posted(lists)
-    first = common.materialise(ordered(lists.join(best, "at").where(compatible(scheme, "n", "rep_n")), "node", "rep"))
+    best = most_posted(lists, twos)
+    met = lists.join(best, "at").select("node", "n", "rep", "rep_n").unionAll(twos)  # a list of two proposes them
+    first = common.materialise(ordered(met.where(compatible(scheme, "n", "rep_n")), "node", "rep"))
     links = verified(first, docs, rows, k, scheme)
     parts = common.connected_components(links)
     more = between_components(lists, best, parts, docs, rows, k, scheme)

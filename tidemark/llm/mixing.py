@@ -16,6 +16,13 @@ from tidemark.llm import common
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
+#: Tables with a row per block, or per row of the blocks that are cut, are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
+
+
+def near(frame: DataFrame) -> DataFrame:
+    """A written table to be joined where the rows are, unless it is large, so that texts don't move."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -88,16 +95,23 @@ def place(blocks: DataFrame, levels: int, seed: int) -> DataFrame:
     return both.select("_s", "_b", "times", "room", F.coalesce(F.transform("at", lambda x: x["shard"]), none).alias("at"))
 
 
-def taken(rows: DataFrame, per: DataFrame, levels: int, seed: int, whole: bool = False) -> DataFrame:
-    """rows with source_size, target, taken and shards: the words of each row that the mix takes, over all its
+def in_blocks(rows: DataFrame, source: str, per: DataFrame) -> DataFrame:
+    """rows with their source's columns of per, the source itself as _src, and _block."""
+    small = per.select(F.col("source").alias("_src"), "source_size", "target", "blocks")
+    return rows.join(near(small), F.col(source).eqNullSafe(F.col("_src"))).withColumn("_block", block_of(F.col("blocks")))
+
+
+def with_plan(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """rows that are in_blocks() with times, room and `at` of their blocks."""
+    return rows.join(near(dealt), F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
+
+
+def taken(rows: DataFrame, whole: bool = False) -> DataFrame:
+    """rows that are with_plan() with taken and shards: the words of each row that the mix takes, over all its
     copies, and the shard of each copy.
 
     Only a block that is cut is ordered row by row. whole: the row at the cut is taken whole if at least half
     of it would be, and else not at all; otherwise just so many of its words."""
-    small = per.select(F.col("source").alias("_src"), "source_size", "target", "blocks")
-    rows = rows.join(small, F.col("source").eqNullSafe(F.col("_src"))).withColumn("_block", block_of(F.col("blocks")))
-    dealt = common.materialise(place(block_plan(rows), levels, seed))
-    rows = rows.join(dealt, F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")), "left").drop("_s", "_b")
     within = Window.partitionBy("_src", "_block").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = F.least(F.greatest(F.col("room") - (F.sum("_size").over(within) - F.col("_size")), F.lit(0)), F.col("_size"))
     inside = rows.where(F.col("room").isNull()).withColumn("part", F.lit(0).cast("long"))
@@ -175,15 +189,21 @@ def mix(docs: DataFrame, levels: int = 4, seed: int = 11) -> DataFrame:
     with common.scratch(docs.sparkSession):
         rows = sized(docs, seed).withColumn("_p", F.spark_partition_id())
         slim = common.materialise(rows.select("_doc.doc_id", "_doc.source", "_size", "_h"))
-        got = taken(slim, common.materialise(targets(slim)), levels, seed, whole=True)
+        per = common.materialise(targets(slim), outer=True)
+        small = in_blocks(slim, "source", per)
+        plan_ = common.materialise(place(block_plan(small), levels, seed), outer=True)
+        got = taken(with_plan(small, plan_).where(F.col("room").isNotNull()), whole=True)
         each = got.groupBy(F.col("_h").alias("_g"), F.col("doc_id").alias("_d"), "shards").agg(F.count(F.lit(1)).alias("n"))
         # Rows alike are of one block, so there is one list of shards for them, or two where the block is cut.
-        mine = each.groupBy("_g", "_d").agg(F.array_sort(F.collect_list(F.struct("shards", "n"))).alias("lists"))
-        mine = common.materialise(mine.where((F.size("lists") > 1) | (F.size(F.get("lists", 0)["shards"]) > 0)), outer=True)
-    full = rows.join(mine, (F.col("_h") == F.col("_g")) & F.col("_doc.doc_id").eqNullSafe(F.col("_d")))
-    dealt = full.where(F.size("lists") == 1).select("_doc", "_h", F.posexplode(F.get("lists", 0)["shards"]).alias("_copy", "_shard"))
+        mine = common.materialise(each.groupBy("_g", "_d").agg(F.array_sort(F.collect_list(F.struct("shards", "n"))).alias("lists")), outer=True)
+    # Rows of a block that isn't cut follow the block, so only the cut ones are looked up one by one.
+    full = with_plan(in_blocks(rows.drop("_size"), "_doc.source", per), plan_)
+    full = full.join(near(mine), (F.col("_h") == F.col("_g")) & F.col("_doc.doc_id").eqNullSafe(F.col("_d")) & F.col("room").isNotNull(), "left")
+    uncut = F.when(F.col("_doc.text").rlike(common.WORD), F.slice("at", F.lit(1), F.col("times").cast("int")))
+    shards = F.when(F.col("room").isNull(), uncut).when(F.size("lists") == 1, F.get("lists", 0)["shards"])
+    dealt = full.select("_doc", "_h", F.posexplode(shards).alias("_copy", "_shard"))
     if not mine.where(F.size("lists") > 1).isEmpty():
-        dealt = dealt.unionByName(divided(full.where(F.size("lists") > 1)))
+        dealt = dealt.unionByName(divided(full.where(F.size("lists") > 1).select("_doc", "_h", "_p", "_g", "_d", "lists")))
     dealt = dealt.withColumn("_o", F.xxhash64(F.lit(seed), "_h", "_copy"))
     return dealt.repartitionByRange("_shard", "_o").sortWithinPartitions("_shard", "_o").select("_doc.*")
 
@@ -211,5 +231,6 @@ def plan(docs: DataFrame, levels: int = 4, seed: int = 11, whole: bool = False)
     order; rows alike in id, source and text may share a cut in any order, as their results are the same."""
     with common.scratch(docs.sparkSession):
         slim = common.materialise(sized(docs, seed).select("_doc.doc_id", "_doc.source", "_size", "_h"))
-        got = common.materialise(taken(slim, common.materialise(targets(slim)), levels, seed, whole), outer=True)
+        small = in_blocks(slim, "source", common.materialise(targets(slim)))
+        got = common.materialise(taken(with_plan(small, common.materialise(place(block_plan(small), levels, seed))), whole), outer=True)
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", "taken", "shards")
