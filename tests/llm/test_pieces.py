@@ -104,3 +104,8 @@ def test_models_of_one_size_are_told_apart(spark, model):
     first, second = (sentence_pieces.decode(ids, m).first()["text"] for m in (model, other))
     want = ["".join(m["pieces"][i] for i in (400, 500)).replace("\u2581", " ").removeprefix(" ") for m in (model, other)]
     assert [first, second] == want and first != second
+
+
+def test_query_decodes_every_sample(spark):
+    got = queries.op3_sentence_pieces(spark, DATA).select("sample", "round_trip").collect()
+    assert {r["sample"] for r in got} == {1, 2} and all(r["round_trip"] for r in got)

@@ -34,7 +34,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentence_pieces.read_model(tokenizer_path("piece_bpe_32k.model"))
-    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), model, k=2, check=1)
+    found = sentence_pieces.encode(table(spark, sf_dir, "documents"), model, k=2, check=2)
     return found.select("doc_id", "sample", F.size("ids").alias("n_pieces"), "log_prob", "inclusion", "round_trip", F.hex(F.xxhash64("ids")).alias("ids_hash"))
 
 
