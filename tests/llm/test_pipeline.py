@@ -6,7 +6,7 @@ from helpers import awkward, components, documents, shingles
 from test_pii import base
 
 import corpus_pipeline
-from tidemark.llm import common, mixing, quality, queries
+from tidemark.llm import common, mixing, quality, queries, sentence_pieces
 
 DATA = "/root/testdata/sf0.01"
 
@@ -91,3 +91,14 @@ def test_stages_on_awkward_rows(spark, odd, name):
 def test_stages_on_an_empty_table(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), DATA).count() == 0
+
+
+def test_encoding_decodes_what_it_returns(spark, monkeypatch):
+    docs = documents(spark, [(1, "a\u2581b  c"), (2, "a b  c"), (3, "\u65e5\u672c \U0001f642\n"), (4, None)])
+    got = {r["doc_id"]: r for r in corpus_pipeline.encoding_stage(spark, docs, DATA).collect()}
+    model = sentence_pieces.read_model(queries.tokenizer_path("piece_bpe_32k.model"))
+    plain = {r["doc_id"]: r["ids"] for r in sentence_pieces.encode(docs, model).collect()}
+    assert {i: r["ids"] for i, r in got.items()} == plain
+    monkeypatch.setattr(sentence_pieces, "decoded", lambda ids, vocabulary: "something else")
+    with pytest.raises(Exception, match="don't decode to the text of document"):
+        corpus_pipeline.encoding_stage(spark, docs, DATA).collect()
