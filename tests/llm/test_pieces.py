@@ -109,3 +109,12 @@ def test_models_of_one_size_are_told_apart(spark, model):
 def test_query_decodes_every_sample(spark):
     got = queries.op3_sentence_pieces(spark, DATA).select("sample", "round_trip").collect()
     assert {r["sample"] for r in got} == {1, 2} and all(r["round_trip"] for r in got)
+
+
+def test_first_letters_need_no_search(model, monkeypatch):
+    """Of each letter, the first step through the pieces is looked up by its place, and only further ones in the hashed table."""
+    v, asked, move = sentence_pieces.Vocabulary(model, 1.0), [], sentence_pieces.Vocabulary.move
+    monkeypatch.setattr(sentence_pieces.Vocabulary, "move", lambda self, states, letters: asked.extend(states.tolist()) or move(self, states, letters))
+    text = "the hen 🙂 naïve ☃  日本語\x00"
+    ((found, *_),) = sentence_pieces.sample([text], np.array([3]), v, 1)
+    assert asked and 0 not in asked and sentence_pieces.decoded(found[0], v) == text

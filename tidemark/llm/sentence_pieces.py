@@ -9,6 +9,7 @@ so the lattice of each distinct word is built once, for many words at a time, an
 
 from __future__ import annotations
 
+import collections
 import itertools
 import math
 import re
@@ -85,13 +86,14 @@ class Vocabulary:
         self.pieces = model["pieces"]
         usable = [i for i, p in enumerate(self.pieces) if not model["special"][i] and not model["byte"][i]]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model["byte"][i]}
-        self.printed = ["" if model["special"][i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
+        printed = ["" if model["special"][i] else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         self.high = np.zeros(len(self.pieces), dtype=bool)  # bytes that are only part of a letter
         self.byte_of = {}
         for b, i in self.bytes.items():
-            self.printed[i] = chr(b)
+            printed[i] = chr(b)
             self.high[i] = b >= 128
             self.byte_of[i] = bytes([b])
+        self.printed = np.array([*printed, None], dtype=object)[:-1]  # looked up for many ids at once
         self.weight = model["weights"] * sharpness
         # A byte's weight is below that of all pieces: bytes only stand for letters without a piece.
         self.byte_weight = float(self.weight.min() - 3.0)
@@ -107,6 +109,10 @@ class Vocabulary:
                 at = moves[key]
             ids[at] = i
         self.ids = np.array(ids)
+        self.begin = np.full(0x110000, -1, dtype=np.int32)  # the state after a first letter
+        for key, state in moves.items():
+            if key >> 21 == 0:
+                self.begin[key] = state
         size = 1 << (len(moves).bit_length() + 1)
         self.mask = size - 1
         self.keys, self.to = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
@@ -124,8 +130,11 @@ class Vocabulary:
         """The states after letters, or -1."""
         keys = states << 21 | letters
         at = self.slot(keys)
-        out = np.full(len(keys), -1, dtype=np.int64)
-        todo = np.arange(len(keys))
+        got = self.keys[at]
+        hit = got == keys
+        out = np.where(hit, self.to[at], -1)
+        todo = np.flatnonzero(~hit & (got != -1))
+        at[todo] = at[todo] + 1 & self.mask
         while len(todo):
             got = self.keys[at[todo]]
             hit = got == keys[todo]
@@ -141,18 +150,23 @@ class Lattice:
     Built a part of the words at a time, which keeps working memory small, and put together in narrow numbers."""
 
     def __init__(self, words: list[str], vocabulary: Vocabulary):
-        parts, letters, begin = [], 0, 0
-        for i, word in enumerate(words):
-            letters += len(word)
-            if letters >= PART or i == len(words) - 1:
-                parts.append(LatticePart(words[begin : i + 1], vocabulary))
-                letters, begin = 0, i + 1
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        parts, runs, begin = [], np.cumsum(lengths), 0
+        while begin < len(words):
+            end = int(np.searchsorted(runs, (runs[begin - 1] if begin else 0) + PART)) + 1
+            parts.append(LatticePart(words[begin:end], lengths[begin:end], vocabulary))
+            begin = end
         nodes = np.cumsum([0, *(len(p.rest) for p in parts)])
         arcs = np.cumsum([0, *(len(p.id) for p in parts)])
         total = np.cumsum([0.0, *(p.below[-1] for p in parts)])
 
         def joined(name: str, shift=None, kind=np.int32):
-            return np.concatenate([(getattr(p, name) if shift is None else getattr(p, name) + shift[j]).astype(kind, copy=False) for j, p in enumerate(parts)])
+            own = [getattr(p, name) for p in parts]
+            out, at = np.empty(sum(map(len, own)), dtype=kind), 0
+            for j, x in enumerate(own):
+                np.add(x, 0 if shift is None else shift[j], out=out[at : at + len(x)], casting="same_kind")
+                at += len(x)
+            return out
 
         self.first, self.last, self.start, self.end = (joined(x, nodes) for x in ("first", "last", "start", "end"))
         self.id, self.likeliest = joined("id"), joined("likeliest", arcs)
@@ -191,9 +205,8 @@ class Lattice:
 class LatticePart:
     """Lattices of some words; see Lattice."""
 
-    def __init__(self, words: list[str], vocabulary: Vocabulary):
+    def __init__(self, words: list[str], lengths: np.ndarray, vocabulary: Vocabulary):
         v = vocabulary
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
         letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
         begin = np.cumsum(lengths) - lengths  # of a word's letters
@@ -202,21 +215,23 @@ class LatticePart:
         node = np.arange(len(letters)) + word  # in front of each letter
         end = self.last[word]
         starts, ends, ids = [], [], []
-        at, state, step = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64), 0
+        room = end - node  # letters up to the word's end
+        at, state, step = np.arange(len(letters)), v.begin[letters].astype(np.int64), 1
+        single = v.ids[state] >= 0
+        single[state < 0] = False
         while len(at):
-            state = v.move(state, letters[at + step])
-            fine = state >= 0
+            fine = np.flatnonzero(state >= 0)
             at, state = at[fine], state[fine]
-            step += 1
-            got = v.ids[state] >= 0
-            starts.append(node[at[got]])
-            ends.append(node[at[got]] + step)
-            ids.append(v.ids[state[got]])
-            on = node[at] + step < end[at]
+            piece = v.ids[state]
+            got = np.flatnonzero(piece >= 0)
+            start = node[at[got]]
+            starts.append(start)
+            ends.append(start + step)
+            ids.append(piece[got])
+            on = np.flatnonzero(room[at] > step)
             at, state = at[on], state[on]
-        single = np.zeros(len(letters), dtype=bool)
-        if starts:
-            single[np.searchsorted(node, starts[0])] = True
+            state = v.move(state, letters[at + step])
+            step += 1
         bare = np.flatnonzero(~single)  # letters without a piece: one arc of their bytes, told by -1 - letter if there are more
         wide = 1 + (letters[bare] > 0x7F) + (letters[bare] > 0x7FF) + (letters[bare] > 0xFFFF)
         s = np.concatenate([*starts, node[bare]])
@@ -236,8 +251,7 @@ class LatticePart:
         self.start, self.end, self.id = s[place], e[place], i[place]
         w = v.weight[np.maximum(self.id, 0)]
         w[by[len(by) - len(bare) :]] = v.byte_weight * wide
-        self.log_q = self.normalised(w, lengths, nodes)
-        q = np.exp(self.log_q)
+        self.log_q, q = self.normalised(w, lengths, nodes)
         # Drawing an arc: the likeliest one of a node is tried first, others by their running sums.
         inner = np.flatnonzero(self.arcs[1:] > self.arcs[:-1])
         top = np.full(nodes, -1.0)
@@ -251,8 +265,8 @@ class LatticePart:
         self.rest = self.below[self.arcs[1:]] - self.below[self.arcs[:-1]]
         self.chance = top / np.maximum(top + self.rest, 1e-300)
 
-    def normalised(self, w: np.ndarray, lengths: np.ndarray, nodes: int) -> np.ndarray:
-        """log of an arc's share in the sum over all paths from the word's begin to the node where it ends."""
+    def normalised(self, w: np.ndarray, lengths: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """An arc's share in the sum over all paths from the word's begin to the node where it ends: its log, and itself."""
         of = np.repeat(np.arange(len(lengths)), lengths + 1)
         where = (np.arange(nodes) - self.first[of])[self.end]
         level = 3.0  # a factor per letter that keeps sums near 1; it cancels
@@ -265,7 +279,8 @@ class LatticePart:
             now = arcs[a:b]
             np.add.at(sums, self.end[now], sums[self.start[now]] * x[now])
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.log(sums[self.start] * x / sums[self.end])
+            q = sums[self.start] * x / sums[self.end]
+            out = np.log(q)
         logs = np.zeros(nodes)
         for k in np.flatnonzero(lengths > SHORT):
             logs[self.first[k]] = 0.0
@@ -275,7 +290,8 @@ class LatticePart:
                 top = each.max()
                 logs[node] = top + np.log(np.exp(each - top).sum())
                 out[a:b] = each - logs[node]
-        return out
+                q[a:b] = np.exp(out[a:b])
+        return out, q
 
 
 class Branches:
@@ -326,14 +342,6 @@ class Branches:
         return value, share, at, int(arc)
 
 
-class Numbers(dict):
-    """Numbers things as they come."""
-
-    def __missing__(self, key) -> int:
-        n = self[key] = len(self)
-        return n
-
-
 def inclusion(above: float) -> float:
     """log of the probability that a Gumbel variable around `above` exceeds 0."""
     if above == np.inf:
@@ -343,7 +351,7 @@ def inclusion(above: float) -> float:
 
 def sample(texts: list[str], keys: np.ndarray, vocabulary: Vocabulary, k: int):
     """For each text: list of up to k (ids, log-probability, inclusion log-probability), by falling perturbed value."""
-    index = Numbers()
+    index = collections.defaultdict(itertools.count().__next__)  # numbers words as they come
     flat: list[int] = []
     sizes = []
     for text in texts:
@@ -422,7 +430,7 @@ def piece_ids(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
 def decoded(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     """The text of piece ids: bytes joined to letters, the mark of a space as a space, the one in front dropped."""
     if not vocabulary.high[ids].any():
-        text = "".join(map(vocabulary.printed.__getitem__, ids.tolist()))
+        text = "".join(vocabulary.printed[ids].tolist())
     else:
         text = b"".join([vocabulary.byte_of.get(i) or vocabulary.printed[i].encode() for i in ids.tolist()]).decode("utf-8", "replace")
     return text.removeprefix(" ")
