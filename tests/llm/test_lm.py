@@ -1,11 +1,13 @@
 import collections
 import math
+import random
 
+import numpy as np
 import pytest
-from helpers import awkward, crc, documents
+from helpers import awkward, crc, documents, words
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, queries
+from tidemark.llm import common, lm_scoring, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -112,3 +114,24 @@ def test_order_stays_with_many_words(spark):
     rows = [(i, t) for i, t in enumerate([many, many, "x a b c d t", "x a b c d t", "y a b c d u", "y a b c d u"])]
     got = {r["doc_id"]: r["score"] for r in lm_scoring.score(documents(spark, rows), order=6).collect()}
     assert {i: got[i] for i in range(2, 6)} == pytest.approx({i: x for i, x in backoff(rows[:], lambda i: True, 6).items() if i > 1})
+
+
+def test_states_stand_once_and_in_order(spark):
+    """All parts of a key are added up before texts ask for it, which they do several times."""
+    docs = documents(spark, SMALL)
+    with common.scratch(spark):
+        rows = lm_scoring.Model(docs.select("text"), 1.0, 2, 3, 0.75).entries.collect()
+    assert rows and len({r["bucket"] for r in rows}) == len(rows)
+    for r in rows:
+        keys = np.frombuffer(r["key"], np.uint64)
+        assert (keys[1:] > keys[:-1]).all() and len(r["more"]) == len(r["base"]) == len(r["key"])
+
+
+def test_texts_hash_alike_in_any_company(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, rng.randrange(300))).encode() for _ in range(60)] + [b"", b" \t", b"Ab aB ab", b"x" * 9000, " é\x00 ".encode()]
+    alone = [lm_scoring.hashed([t])[0].tolist() for t in texts]
+    monkeypatch.setattr(lm_scoring, "HASH_BYTES", 1000)  # several parts, and texts longer than one
+    keys, sizes = lm_scoring.hashed(texts)
+    assert keys.tolist() == sum(alone, []) and sizes.tolist() == [len(x) for x in alone] == [len(t.split()) + 1 for t in texts]
+    assert len(set(alone[-3][:3])) == 1

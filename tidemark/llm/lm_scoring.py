@@ -29,8 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Places that a task counts before it sends their sums on; occurrences from which a history is dealt to several groups.
 BLOCK, HOT = 1_000_000, 500_000
-#: Bytes of text that are hashed at once, and that fall to one bucket of states.
-BLOCK_BYTES, BUCKET_BYTES = 4_000_000, 4_000_000
+#: Bytes of text that are held at once, that of these are hashed at once, and that fall to one bucket of states.
+BLOCK_BYTES, HASH_BYTES, BUCKET_BYTES = 4_000_000, 250_000, 4_000_000
 #: Parts that n-grams of three or more words are counted in, by history, and that the texts are scored in, one after the
 #: other, as n-grams on their way fill the disk.
 COUNT_PARTS, PARTS = 2, 4
@@ -52,8 +52,6 @@ def extended(history: np.ndarray, tail: np.ndarray) -> np.ndarray:
 STEP = 0xF1357AEA2E62A9C5
 BYTE = np.random.default_rng(9).integers(1, 1 << 64, 256, dtype=np.uint64)
 BYTE[65:91] = BYTE[97:123]  # A-Z count as lower case
-WHITE = np.zeros(256, dtype=bool)
-WHITE[[9, 10, 11, 12, 13, 32]] = True
 END_KEY = U(0x2545F4914F6CDD1D)
 
 
@@ -65,12 +63,23 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit keys of the words of all texts, END_KEY after each text, and how many places each text has."""
+    up, down = common.worker_cache("powers", lambda: [powers(x, 2 * HASH_BYTES) for x in (STEP, pow(STEP, -1, 1 << 64))])
+    parts = [hashed_part(texts[a:b], up, down) for a, b in blocks(texts, HASH_BYTES)]
+    return tuple(map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def hashed_part(texts: list[bytes], up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As hashed(), of few texts; up and down: powers of STEP and of its inverse, which only a long text needs more of."""
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    white = np.concatenate([[True], WHITE[data]])
+    if len(data) > len(up):
+        up, down = powers(STEP, len(data)), powers(pow(STEP, -1, 1 << 64), len(data))
+    white = np.ones(len(data) + 1, dtype=bool)
+    white[1:] = (data == 32) | (data - np.uint8(9) < 5)
     edges = np.flatnonzero(white[1:] != white[:-1])
     begins, ends = edges[::2], edges[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers(STEP, len(data)))])
-    words = mixed((sums[ends] - sums[begins]) * powers(pow(STEP, -1, 1 << 64), len(data))[begins])
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(BYTE.take(data) * up[: len(data)], out=sums[1:])
+    words = mixed((sums[ends] - sums[begins]) * down[begins])
     borders = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
     sizes = np.bincount(np.searchsorted(borders, begins, side="right"), minlength=len(texts)) + 1
     x = np.full(sizes.sum(), END_KEY)
@@ -98,10 +107,11 @@ def runs(x: np.ndarray, sizes: np.ndarray, order: int):
     key = x
     for n in range(2, order + 1):
         at = np.flatnonzero(place >= n - 1)
-        yield at, key[at - 1], key[at]
-        longer = np.zeros_like(x)
-        longer[at] = extended(key[at - 1], key[at])
-        key = longer
+        history, tail = key[at - 1], key[at]
+        yield at, history, tail
+        if n < order:
+            key = np.zeros_like(x)
+            key[at] = extended(history, tail)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -111,10 +121,30 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 def packs(group: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
     """The groups there are, and each array's part for each of them."""
-    by = np.argsort(group, kind="stable")
-    own, begins = np.unique(group[by], return_index=True)
+    low = len(group) and int(group.max()) < 1 << 16  # short numbers are sorted by their digits
+    by = np.argsort(group.astype(np.uint16) if low else group, kind="stable")
+    return cut_up(group[by], *(x[by] for x in arrays))
+
+
+def cut_up(group: np.ndarray, *arrays: np.ndarray) -> tuple[list[int], list[list[bytes]]]:
+    """As packs(), of arrays that stand by group."""
+    begins = run_begins(group)
     cut = [*begins.tolist(), len(group)]
-    return own.tolist(), [[a[cut[i] : cut[i + 1]].tobytes() for i in range(len(own))] for a in (x[by] for x in arrays)]
+    return group[begins].tolist(), [[a[cut[i] : cut[i + 1]].tobytes() for i in range(len(begins))] for a in arrays]
+
+
+def run_begins(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def equal_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(an order that sorts keys, the places in it where a new key begins, how often each key occurs)."""
+    by = np.argsort(keys)  # not a stable sort, which is several times slower
+    begins = run_begins(keys[by])
+    return by, begins, np.diff(begins, append=len(keys))
 
 
 def batch_of(group: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
@@ -129,15 +159,15 @@ def unpacked(column, kind=np.uint64) -> np.ndarray:
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, with sums of their values."""
-    own, back = np.unique(keys, return_inverse=True)
-    return own, [np.bincount(back, weights=v, minlength=len(own)) for v in values]
+    by, begins, _ = equal_runs(keys)
+    return keys[by[begins]], [np.add.reduceat(v[by], begins, dtype=np.float64) if len(by) else np.zeros(0) for v in values]
 
 
 class Known:
     """Sorted keys with values, few enough to travel with the plan."""
 
-    def __init__(self, keys: np.ndarray, *values: np.ndarray):
-        by = np.argsort(keys)
+    def __init__(self, keys: np.ndarray, *values: np.ndarray, in_order: bool = False):
+        by = slice(None) if in_order else np.argsort(keys)
         self.keys, self.values = keys[by], [v[by] for v in values]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +203,14 @@ def counted(texts: DataFrame, keys_of, group_of, names: list[str], add, schema:
         def flush():
             arrays = [np.concatenate(a) for a in zip(*held, strict=True)]
             held.clear()
-            _, first, times = np.unique(extended(*arrays) if len(arrays) > 1 else arrays[0], return_index=True, return_counts=True)
-            arrays = [a[first] for a in arrays]
-            return batch_of(group_of(*arrays), **dict(zip(names, arrays, strict=True)), n=times.astype(np.int32))
+            key, group = extended(*arrays) if len(arrays) > 1 else arrays[0], group_of(*arrays)
+            # In order of groups and, but for their last bits, of keys: rows that this keeps apart meet in their group.
+            bits = U(int(group.max()).bit_length())
+            by = np.argsort(group.astype(np.uint64) << U(64) - bits | key >> bits) if bits else np.argsort(key)
+            begins = run_begins(key[by])
+            first = by[begins]
+            own, parts = cut_up(group[first], *(a[first] for a in arrays), np.diff(begins, append=len(key)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=["bucket", *names, "n"])
 
         for batch in batches:
             data = common.text_bytes(batch.column("text"))
@@ -221,9 +256,9 @@ def gram_sums(texts: DataFrame, order: int, least: int, discount: float, groups:
     def add(table):
         group = table.column("bucket")[0].as_py()
         history, tail = unpacked(table.column("history")), unpacked(table.column("tail"))
-        _, first, back = np.unique(extended(history, tail), return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=unpacked(table.column("n"), np.int32))
-        history, tail = history[first], tail[first]
+        by, begins, _ = equal_runs(extended(history, tail))
+        n = np.add.reduceat(unpacked(table.column("n"), np.int32)[by], begins, dtype=np.float64)
+        history, tail = history[by[begins]], tail[by[begins]]
         kept = n >= least
         own, of = np.unique(history, return_inverse=True)
         c = np.bincount(of, weights=n, minlength=len(own))
@@ -344,11 +379,22 @@ def with_column(table: DataFrame, name: str, kind: type, of: str, f) -> DataFram
     return table.select("bucket", "key", of).mapInArrow(each, f"bucket int, key binary, {name} binary")
 
 
+def merged(entries):
+    """One row of a bucket's entries: each key once, in order, with the sums of its parts."""
+    keys, more, base = [], [], []
+    for key, m, b in zip(*(entries.column(c).to_pylist() for c in ("key", "more", "base")), strict=True):
+        keys.append(np.frombuffer(key, np.uint64))
+        more.append(np.frombuffer(m) if m else np.zeros(len(keys[-1])))
+        base.append(np.frombuffer(b) if b else np.zeros(len(keys[-1])))
+    own, sums = summed(*map(np.concatenate, (keys, more, base)))
+    return pa.table({"bucket": entries.column("bucket")[:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("key", "more", "base"), (own, *sums), strict=True)}})
+
+
 class Model:
-    """The automaton: entries, a table of all keys' (bucket, key, more, base), packed; common words with their base and
-    more, which travel with the plan; the number of training tokens; and what a word's count is divided by.
+    """The automaton: entries, a table of all keys' (bucket, key, more, base), packed in one row a bucket; common words with
+    their base and more, which travel with the plan; the number of training tokens; and what a word's count is divided by.
 
-    base: log10(count + 0.5) of a word, which is above 0. A key's parts stand in several rows and add up."""
+    base: log10(count + 0.5) of a word, which is above 0. A key has up to three parts, which add up."""
 
     def __init__(self, texts: DataFrame, share: float, least: int, order: int, discount: float):
         spark = texts.sparkSession
@@ -383,7 +429,7 @@ class Model:
             entries = parts[0].select("bucket", "key", "more", "base")
             for part in parts[1:]:
                 entries = entries.unionByName(part)
-            self.entries = common.materialise(entries, outer=True)
+            self.entries = common.materialise(entries.groupBy("bucket").applyInArrow(merged, ENTRY), outer=True)
         self.common = Known(frequent.keys, np.log10(frequent.values[0] + 0.5), more)
 
 
@@ -416,7 +462,8 @@ def walked(rows: DataFrame, model: Model, order: int) -> DataFrame:
                     out.write_batch(info)
                 asked = [(x[~hit], doc[~hit]), *((extended(h, t), doc[at]) for at, h, t in runs(x, sizes, order))]
                 keys, of = (np.concatenate(a) for a in zip(*asked, strict=True))
-                own, (keys, of) = packs(bucket_of(keys, buckets), keys, of)
+                by = np.argsort(keys)  # by bucket as well, and each bucket finds keys faster in order
+                own, (keys, of) = cut_up(bucket_of(keys[by], buckets), keys[by], of[by])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([*own, block % buckets], pa.int32()), pa.array([block] * (len(own) + 1)), pa.array([*keys, b""], pa.binary()), pa.array([*of, b""], pa.binary()), pa.array([None] * len(own) + [sink.getvalue().to_pybytes()], pa.binary())],
                     names=["bucket", "block", "keys", "docs", "info"],
@@ -426,24 +473,19 @@ def walked(rows: DataFrame, model: Model, order: int) -> DataFrame:
 
     def find(asked, entries):
         """Per block, what the bucket's states add to its documents."""
-        keys, more, base = [], [], []
-        for key, m, b in zip(*(entries.column(c).to_pylist() for c in ("key", "more", "base")), strict=True):
-            keys.append(np.frombuffer(key, np.uint64))
-            more.append(np.frombuffer(m) if m else np.zeros(len(keys[-1])))
-            base.append(np.frombuffer(b) if b else np.zeros(len(keys[-1])))
-        held = Known(*(lambda k, v: (k, *v))(*summed(*(np.concatenate(a) if a else np.zeros(0) for a in (keys, more, base)))))
+        held = Known(*(unpacked(entries.column(c), t) for c, t in (("key", U), ("more", float), ("base", float))), in_order=True)
         where, docs_of, sums_of, infos = [], [], [], []
         for block, keys, of, info in zip(*(asked.column(c).to_pylist() for c in ("block", "keys", "docs", "info")), strict=True):
             keys, of = np.frombuffer(keys, np.uint64), np.frombuffer(of, np.int32)
             hit, at = held.find(keys)
             if info is None and not hit.any():
                 continue
-            at = at[hit]
-            own, back = np.unique(of[hit], return_inverse=True)
+            at, of = at[hit], of[hit]
+            own = np.flatnonzero(np.bincount(of)).astype(np.int32)
             more, base = (v[at] for v in held.values)
             where.append(block)
             docs_of.append(own.tobytes())
-            sums_of.append(np.stack([np.bincount(back, weights=v, minlength=len(own)) for v in (base > 0, base, more)], axis=1).tobytes() if len(own) else b"")
+            sums_of.append(np.stack([np.bincount(of, weights=v)[own] for v in (base > 0, base, more)], axis=1).tobytes() if len(own) else b"")
             infos.append(info)
         return pa.table({"block": pa.array(where, pa.int64()), "docs": pa.array(docs_of, pa.binary()), "sums": pa.array(sums_of, pa.binary()), "info": pa.array(infos, pa.binary())})
 
