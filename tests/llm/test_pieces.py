@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -118,3 +119,25 @@ def test_first_letters_need_no_search(model, monkeypatch):
     text = "the hen 🙂 naïve ☃  日本語\x00"
     ((found, *_),) = sentence_pieces.sample([text], np.array([3]), v, 1)
     assert asked and 0 not in asked and sentence_pieces.decoded(found[0], v) == text
+
+
+def test_lattices_of_parts_are_not_held_twice(vocabulary, monkeypatch):
+    """While parts are put together they are narrow and let go, so the peak is not twice what stays."""
+    rng = np.random.default_rng(5)
+    words = ["▁" + "".join(chr(97 + c) for c in rng.integers(0, 26, 9)) for _ in range(60_000)]
+    monkeypatch.setattr(sentence_pieces, "PART", 1 << 14)
+    tracemalloc.start()
+    try:
+        lattice = sentence_pieces.Lattice(words, vocabulary)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.8 * sum(x.nbytes for x in vars(lattice).values())
+
+
+def test_small_blocks_and_parts_change_no_row(spark, model, monkeypatch):
+    docs = queries.table(spark, DATA, "documents").limit(60)
+    a = sentence_pieces.encode(docs, model, k=2, check=2).collect()
+    monkeypatch.setattr(sentence_pieces, "PART", 1 << 9)
+    b = sentence_pieces.encode(docs, model, k=2, check=2, block=1 << 12).collect()
+    assert sorted(a, key=lambda r: (r["doc_id"], r["sample"])) == sorted(b, key=lambda r: (r["doc_id"], r["sample"]))

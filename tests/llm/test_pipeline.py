@@ -102,3 +102,18 @@ def test_encoding_decodes_what_it_returns(spark, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "decoded", lambda ids, vocabulary: "something else")
     with pytest.raises(Exception, match="don't decode to the text of document"):
         corpus_pipeline.encoding_stage(spark, docs, DATA).collect()
+
+
+def test_encoding_holds_little_text_at_once(spark, monkeypatch):
+    """Workers get few bytes a batch, whoever writes the stage's result, and encode about half a MB of them at a time."""
+    docs = documents(spark, [(i, f"{i} hen " * 200) for i in range(1500)]).coalesce(1)
+    sample = sentence_pieces.sample
+
+    def bounded(texts, *more):
+        assert sum(map(len, texts)) <= 1 << 19
+        return sample(texts, *more)
+
+    monkeypatch.setattr(sentence_pieces, "sample", bounded)
+    got = corpus_pipeline.encoding_stage(spark, docs, DATA)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()  # it was written with materialise()'s limits
+    assert got.count() == 1500 and got.where("n_tokens < 400").count() == 0

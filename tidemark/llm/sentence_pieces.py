@@ -160,18 +160,18 @@ class Lattice:
         arcs = np.cumsum([0, *(len(p.id) for p in parts)])
         total = np.cumsum([0.0, *(p.below[-1] for p in parts)])
 
-        def joined(name: str, shift=None, kind=np.int32):
-            own = [getattr(p, name) for p in parts]
-            out, at = np.empty(sum(map(len, own)), dtype=kind), 0
+        def joined(name: str, shift=None, kind=np.int32, runs: bool = False):
+            """One array of the parts' own, which they let go; runs: running sums, whose last is the next part's first."""
+            own = [p.__dict__.pop(name) for p in parts]
+            out, at = np.empty(sum(map(len, own)) - runs * (len(own) - 1), dtype=kind), 0
             for j, x in enumerate(own):
                 np.add(x, 0 if shift is None else shift[j], out=out[at : at + len(x)], casting="same_kind")
-                at += len(x)
+                at += len(x) - runs
             return out
 
         self.first, self.last, self.start, self.end = (joined(x, nodes) for x in ("first", "last", "start", "end"))
         self.id, self.likeliest = joined("id"), joined("likeliest", arcs)
-        self.arcs = np.concatenate([p.arcs[:-1] + arcs[j] for j, p in enumerate(parts)] + [arcs[-1:]]).astype(np.int32)
-        self.below = np.concatenate([p.below[:-1] + total[j] for j, p in enumerate(parts)] + [total[-1:]])
+        self.arcs, self.below = joined("arcs", arcs, runs=True), joined("below", total, np.float64, runs=True)
         self.log_q, self.rest, self.chance = (joined(x, kind=np.float64) for x in ("log_q", "rest", "chance"))
 
     def walk(self, nodes: np.ndarray, begins: np.ndarray, seed: np.ndarray, round_: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +264,8 @@ class LatticePart:
         self.below = np.concatenate([[0.0], np.cumsum(rest)])
         self.rest = self.below[self.arcs[1:]] - self.below[self.arcs[:-1]]
         self.chance = top / np.maximum(top + self.rest, 1e-300)
+        for name in ("first", "last", "start", "end", "id", "likeliest", "arcs"):  # narrow, as all parts wait to be put together
+            setattr(self, name, getattr(self, name).astype(np.int32))
 
     def normalised(self, w: np.ndarray, lengths: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
         """An arc's share in the sum over all paths from the word's begin to the node where it ends: its log, and itself."""
@@ -436,14 +438,15 @@ def decoded(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return text.removeprefix(" ")
 
 
-def encode(docs: DataFrame, model: dict, k: int = 1, sharpness: float = 1.0, key: str = "doc_id", check: int = 0) -> DataFrame:
+def encode(docs: DataFrame, model: dict, k: int = 1, sharpness: float = 1.0, key: str = "doc_id", check: int = 0, block: int = BLOCK) -> DataFrame:
     """doc_id, sample (from 1), ids, log_prob, inclusion and round_trip for each sampled segmentation of each row.
 
     Up to k distinct segmentations a row, fewer where no more exist, by falling perturbed log-probability.
     inclusion: log of the probability that such a sample holds this segmentation, given the best one left out.
     Samples depend on the key column's value and nothing else about the row but its text; a null key counts as 0. A
     null or empty text has one segmentation, without pieces. round_trip: whether decoding gives the text back, for
-    the first `check` samples (null for others); U+2581 in a text comes back as a space. Repeated rows give equal rows."""
+    the first `check` samples (null for others); U+2581 in a text comes back as a space. Repeated rows give equal rows.
+    block: bytes of text that a worker encodes at once; fewer take less memory and more time, and change no row."""
     mark = common.digest(model)
 
     def work(batches):
@@ -453,8 +456,8 @@ def encode(docs: DataFrame, model: dict, k: int = 1, sharpness: float = 1.0, key
             keys = batch.column("_key").to_numpy()
             sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy())
             begin = 0
-            while begin < len(keys):  # rows of about BLOCK bytes of text at a time
-                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + BLOCK, side="right")))
+            while begin < len(keys):  # rows of about `block` bytes of text at a time
+                end = max(begin + 1, int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + block, side="right")))
                 texts = [t or "" for t in batch.column("text").slice(begin, end - begin).to_pylist()]
                 found = sample(texts, keys[begin:end], v, k)
                 rows, ranks, ids, logs, included, fine = [], [], [], [], [], []
@@ -473,6 +476,7 @@ def encode(docs: DataFrame, model: dict, k: int = 1, sharpness: float = 1.0, key
                     [batch.column("doc_id").slice(begin, end - begin).take(pa.array(rows)), pa.array(ranks, pa.int32()), lists, pa.array(logs, pa.float64()), pa.array(included, pa.float64()), pa.array(fine, pa.bool_())], names=names
                 )
                 begin = end
+        common.give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64(key), F.lit(0)).alias("_key"))
     return rows.mapInArrow(work, "doc_id long, sample int, ids array<int>, log_prob double, inclusion double, round_trip boolean")
