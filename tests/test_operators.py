@@ -81,6 +81,21 @@ def test_histogram(spark):
     assert rows(none, "rows") == [(12,)]
 
 
+def test_histogram_of_a_whole_table(spark, tmp_path):
+    for n in (0, 1, 127, 128, 1025, 5000):
+        keys = random.Random(n).sample(range(100_000), n)
+        df = spark.createDataFrame([(x,) for x in [*keys, *keys[:50], None]], "x int").repartition(7)
+        statistics.in_order(df, "x").write.parquet(f"{tmp_path}/{n}")
+        ordered = spark.read.parquet(f"{tmp_path}/{n}")
+        every = max(1, (n + 1) // 128)
+        want = [*sorted(keys), None] if n < 128 else (sorted(keys) + [None])[::every][:128]
+        got = [r["x"] for r in statistics.whole_steps(ordered, "x").collect()]
+        assert sorted(got, key=lambda x: (x is None, x)) == want
+    probes = spark.createDataFrame([(1,), (9,)], "p int")
+    null_last = spark.createDataFrame([(1,), (5,), (None,)], "x int")
+    assert dict(rows(statistics.below(null_last, probes, "x", "p"), "p", "selectivity")) == {1: 0.25, 9: 0.625}
+
+
 def test_random_pairing_is_uniform():
     hits = {k: 0 for k in range(40)}
     for seed in range(3000):

@@ -40,6 +40,16 @@ def test_query(spark, db, name):
     assert got == sorted(([plain(r[c]) for c in columns] for r in want), key=order)
 
 
+@pytest.mark.parametrize("copies", [0, 650])
+def test_stored_statistics_of_other_sizes(spark, tmp_path, copies):
+    """More suppliers than a sample holds, and none."""
+    con, name = duckdb.connect(), "stored_statistics"
+    con.sql(f"COPY (SELECT * REPLACE (CAST(s_suppkey + 10 * i AS BIGINT) AS s_suppkey) FROM '{DATA}/supplier.parquet', range({copies}) AS t(i)) TO '{tmp_path}/supplier.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = sorted(con.sql(ORACLE_SQL[name]).fetchall())
+    assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want and len(want) == 6
+
+
 def test_plans_push_down_and_prune(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = QUERIES["store_scan"](spark, DATA)._jdf.queryExecution().executedPlan().toString()

@@ -129,6 +129,24 @@ def test_statistics_are_read_back(spark, table):
         table.statistics()
 
 
+def test_steps_come_from_all_keys(spark, table):
+    ranges = spark.createDataFrame([(0, 230), (-5, 9999), (1, 5)], "low int, high int")
+    table.analyze()
+    assert [(r["selectivity"], r["rows"]) for r in table.estimate(ranges).collect()] == [(0.0, 0)] * 3
+    table.commit(spark.range(3000).selectExpr("CAST(id * 7 % 3000 AS int) AS k", "1 AS v", "'I' AS op"))
+    table.analyze()
+    table.vacuum()
+    got = {r["low"]: (r["selectivity"], r["rows"]) for r in table.estimate(ranges).collect()}
+    assert got == {0: (pytest.approx(10 / 129), 232), -5: (pytest.approx(128 / 129), 2976), 1: (0.0, 0)}
+
+
+def test_statistics_of_composite_keys(spark, tmp_path):
+    t = Table.create(spark, f"{tmp_path}/t3", "v string, step int, b int", ["step", "b"])
+    t.commit(spark.range(4000).selectExpr("'x' AS v", "CAST(id % 300 AS int) AS step", "CAST(id AS int) AS b", "'I' AS op"))
+    assert t.analyze()["records"] == 4000 and t.statistics()[1].count() == 1024
+    assert t.estimate(spark.createDataFrame([(2, 100)], "low int, high int")).first()["selectivity"] == pytest.approx(49 / 129)
+
+
 def test_stream_keeps_a_sample(spark, tmp_path):
     schema = "pool string, k int, op string"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")

@@ -37,15 +37,35 @@ def prune(sample: DataFrame, deleted: DataFrame, *keys: str) -> DataFrame:
     return sample.join(deleted.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def _step(i: Column, n: Column, most: int) -> Column:
+    """Which step the key with i of n keys in front of it is; null if it is none."""
+    every = F.greatest(F.lit(1), F.floor(n / most))
+    return F.when(n <= most, i).when((i % every == 0) & (i / every < most), i / every).cast("int")
+
+
 def steps(sample: DataFrame, key: str, most: int = STEPS) -> DataFrame:
     """(step, key): the sorted distinct keys if at most `most`, else every n // most-th from the first on.
 
     The sample is bounded, so that one task ranks it."""
     distinct = sample.select(key).distinct()
     ranked = distinct.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
-    every = F.greatest(F.lit(1), F.floor(F.col("n") / most))
-    few = F.col("n") <= most
-    return ranked.where(few | ((F.col("i") % every == 0) & (F.col("i") / every < most))).select(F.when(few, F.col("i")).otherwise(F.col("i") / every).cast("int").alias("step"), key)
+    step = _step(F.col("i"), F.col("n"), most)
+    return ranked.where(step.isNotNull()).select(step.alias("step"), key)
+
+
+def in_order(table: DataFrame, key: str) -> DataFrame:
+    """(key, _at): a table's distinct keys, sorted over all partitions, null last, with partition and place; to be written."""
+    up = F.col(key).asc_nulls_last()
+    return table.select(key).distinct().repartitionByRange(up).sortWithinPartitions(up).withColumn("_at", F.monotonically_increasing_id())
+
+
+def whole_steps(ordered: DataFrame, key: str, most: int = STEPS) -> DataFrame:
+    """(key): the steps among all of a table's keys, from what in_order() gave and was written, lest keys are dealt anew."""
+    part = ordered.withColumns({"_part": F.shiftright("_at", 33), "_i": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    sizes, every = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")), Window.partitionBy()  # a row a partition
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_n").over(every).alias("_n"))
+    return part.join(F.broadcast(sizes), "_part").where(_step(F.col("_ahead") + F.col("_i"), F.col("_n"), most).isNotNull()).select(key)
 
 
 def below(step_table: DataFrame, probes: DataFrame, key: str, probe: str) -> DataFrame:
@@ -53,12 +73,12 @@ def below(step_table: DataFrame, probes: DataFrame, key: str, probe: str) -> Dat
 
     A probe that is a step stands at its interval's end; other probes stand in its middle. The steps are at most
     STEPS rows and travel as one array."""
-    packed = step_table.groupBy().agg(F.array_sort(F.collect_list(key)).alias("_s"))
+    packed = step_table.groupBy().agg(F.array_sort(F.collect_list(key)).alias("_s"), F.count(F.lit(1)).alias("_steps"))
     both = probes.join(F.broadcast(packed))
-    n = F.size("_s")
+    n = F.col("_steps")  # _s has no null key
     lower = F.size(F.filter("_s", lambda x: x < F.col(probe)))
     place = F.when(F.get("_s", lower) == F.col(probe), 1.0).otherwise(0.5)
-    return both.withColumn("selectivity", F.when(n == 0, F.lit(None)).otherwise((lower + place) / (n + 1))).drop("_s")
+    return both.withColumn("selectivity", F.when(n == 0, F.lit(None)).otherwise((lower + place) / (n + 1))).drop("_s", "_steps")
 
 
 def range_rows(step_table: DataFrame, ranges: DataFrame, key: str, records: int) -> DataFrame:

@@ -163,21 +163,26 @@ class Table:
         stamp = F.lit(ts).cast("long").alias("commit_ts")
         return gone.select(*keys, "sk", stamp, F.lit("D").alias("op")).unionByName(more.select(*keys, "sk", stamp, F.lit("U").alias("op")))
 
+    def _key_schema(self, m: dict, keys: Sequence[str]) -> str:
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.createDataFrame([], m["schema"]).schema.fields if f.name in keys)
+
     def statistics(self) -> tuple[dict, DataFrame]:
-        """(facts, sample): what analyze() stored, with `stale`, whether a sixteenth of the records has changed since."""
+        """(facts, sample): what analyze() stored, with `stale`, whether a sixteenth of the records has changed since.
+
+        Statistics that were stored without steps count as none."""
         m = self.manifest()
         found = m["statistics"]
-        if not found:
+        if "steps" not in found:
             raise LookupError(f"{self.path} has no statistics")
-        keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.createDataFrame([], m["schema"]).schema.fields if f.name in m["keys"])
         changed = self.log().where(F.col("commit_ts") > found["clock"]).count()
-        return found | {"stale": changed > found["records"] // 16}, self._read([found["sample"]], keys)
+        return found | {"stale": changed > found["records"] // 16}, self._read([found["sample"]], self._key_schema(m, m["keys"]))
 
     def estimate(self, ranges: DataFrame) -> DataFrame:
-        """ranges (low, high) with `selectivity` and `rows` by the stored statistics of the first key."""
-        found, sample = self.statistics()
-        key = self.manifest()["keys"][0]
-        return statistics.range_rows(statistics.steps(sample, key), ranges, key, found["records"])
+        """ranges (low, high) with `selectivity` and `rows` by the stored steps of the first key; nothing is in an empty table."""
+        found, m = self.statistics()[0], self.manifest()
+        key = m["keys"][0]
+        steps = self._read([found["steps"]], self._key_schema(m, [key]))
+        return statistics.range_rows(steps, ranges, key, found["records"]).withColumn("selectivity", F.coalesce("selectivity", F.lit(0.0)))
 
     def drop_statistics(self) -> None:
         self._change(statistics={})
@@ -185,7 +190,7 @@ class Table:
     @staticmethod
     def refresh_statistics(tables: Sequence[Table]) -> list[str]:
         """Analyze again those tables that have none or that have changed since; returns their paths."""
-        todo = [t for t in tables if t.manifest()["statistics"].get("clock") != t.manifest()["clock"]]
+        todo = [t for t in tables if "steps" not in (m := t.manifest())["statistics"] or m["statistics"]["clock"] != m["clock"]]
         for t in todo:
             t.analyze()
         return [t.path for t in todo]
@@ -242,13 +247,22 @@ class Table:
         self._publish(version + 1, m | {"log": [], "base": [base], "archive": [archive], "checkpoint_ts": to_ts, "entries": entries})
 
     def analyze(self) -> dict:
-        """Record count and sampled keys of the snapshot, stored with the table."""
+        """Record count, sampled keys and the first key's steps among all keys of the snapshot, stored with the table.
+
+        Keys are written once and read from there, so that versions are compared once."""
         version = self.version()
         m = self.manifest(version)
-        rows = self.snapshot(version=version)
+        first = m["keys"][0]
+        staged = [self._write(self.snapshot(version=version).select(*m["keys"]), "staged")]
+        rows = self._read(staged, self._key_schema(m, m["keys"]))
         records = rows.count()
         sample = self._write(statistics.bottom_sample(rows, *m["keys"]), "sample")
-        found = {"records": records, "sample": sample, "clock": m["clock"]}
+        staged.append(self._write(statistics.in_order(rows, first), "staged"))
+        ordered = self._read(staged[1:], f"{self._key_schema(m, [first])}, _at long")
+        steps = self._write(statistics.whole_steps(ordered, first), "steps")
+        for name in staged:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        found = {"records": records, "sample": sample, "steps": steps, "clock": m["clock"]}
         self._publish(version + 1, m | {"statistics": found})
         return found
 
@@ -270,7 +284,7 @@ class Table:
         listed: set[str] = set()
         for v in range(oldest, newest + 1):
             m = self.manifest(v)
-            listed |= {*m["log"], *m["base"], *m["archive"], *(n for e in m["entries"].values() for n in e), m["statistics"].get("sample", "")}
+            listed |= {*m["log"], *m["base"], *m["archive"], *(n for e in m["entries"].values() for n in e), m["statistics"].get("sample", ""), m["statistics"].get("steps", "")}
         gone = 0
         for kind in self._fs.listStatus(self._path(self.path)):
             if kind.isDirectory() and kind.getPath().getName() != "_manifests":
